@@ -81,7 +81,7 @@ def recipe_ingredients(recipes: DataFrame) -> DataFrame:
 def item_features(recipes: DataFrame, max_ingredients: int = 24) -> DataFrame:
     """Weighted feature rows of every recipe: recipe_id, feature, weight."""
     clean = F.filter(F.array_distinct(F.transform(
-        F.coalesce(F.col("ingredients"), F.array().cast("array<string>")), tx.normalize_text)), lambda x: x != "")
+        F.coalesce(F.col("ingredients"), F.array().cast("array<string>")), lambda x: tx.normalize_text(x))), lambda x: x != "")
     base = recipes.withColumn("_ing", F.slice(clean, 1, max_ingredients))
     entry = lambda name, weight: F.struct(name.alias("feature"), F.lit(weight).cast("double").alias("weight"))
     share = 1.0 / F.size("_ing")

@@ -54,13 +54,13 @@ def _substring_hits(texts: DataFrame, needles: DataFrame, text_col: str, needle_
     return pieces.join(needles, pieces["_piece"] == needles[needle_col]).drop("_piece")
 
 
-def expand_names(df: DataFrame, name_col: str, spark: SparkSession,
-                 aliases: Mapping[str, Sequence[str]] = vocab.RESTRICTION_ALIASES) -> DataFrame:
+def expand_names(df: DataFrame, name_col: str, aliases: Mapping[str, Sequence[str]] = vocab.RESTRICTION_ALIASES,
+                 masked_names: Sequence[str] = vocab.MASKED_RESTRICTIONS) -> DataFrame:
     """Add `phrase` (the name and its aliases) and `masked` (dairy-like names look at masked text)."""
     table = F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     extra = F.coalesce(F.try_element_at(table, F.col(name_col)), F.array().cast("array<string>"))
     return (df.withColumn("phrase", F.explode(F.array_distinct(F.concat(F.array(F.col(name_col)), extra))))
-            .withColumn("masked", F.col(name_col).isin(*vocab.MASKED_RESTRICTIONS)))
+            .withColumn("masked", F.col(name_col).isin(*masked_names)))
 
 
 def two_views(dictionary: DataFrame, masks: Sequence[str] = vocab.MASK_PHRASES) -> DataFrame:
@@ -72,11 +72,11 @@ def two_views(dictionary: DataFrame, masks: Sequence[str] = vocab.MASK_PHRASES)
             .select("normalized_name", "v.masked", "v.view"))
 
 
-def name_hits(dictionary: DataFrame, names: DataFrame, name_col: str,
-              masks: Sequence[str] = vocab.MASK_PHRASES) -> DataFrame:
+def name_hits(dictionary: DataFrame, names: DataFrame, name_col: str, masks: Sequence[str] = vocab.MASK_PHRASES,
+              aliases: Mapping[str, Sequence[str]] = vocab.RESTRICTION_ALIASES,
+              masked_names: Sequence[str] = vocab.MASKED_RESTRICTIONS) -> DataFrame:
     """Directional restriction rule: rows of `names` with every dictionary text they match."""
-    spark = dictionary.sparkSession
-    wanted = expand_names(names.where(F.col(name_col) != ""), name_col, spark)
+    wanted = expand_names(names.where(F.col(name_col) != ""), name_col, aliases, masked_names)
     views = two_views(dictionary, masks).withColumnRenamed("masked", "_m")
     hits = phrase_hits(views, wanted, "view")
     return hits.where(F.col("_m") == F.col("masked")).drop("_m", "view", "phrase", "masked").distinct()
@@ -100,15 +100,17 @@ def strict_restrictions(restrictions: DataFrame) -> DataFrame:
             .select("user_id", tx.normalize_ingredient(given).alias("name")).distinct())
 
 
-def hard_filter(candidates: DataFrame, recipes: DataFrame, restrictions: DataFrame,
-                masks: Sequence[str] = vocab.MASK_PHRASES) -> DataFrame:
+def hard_filter(candidates: DataFrame, recipes: DataFrame, restrictions: DataFrame, **rule) -> DataFrame:
     """Drop what a strict restriction forbids.  Fails closed: a user with a strict restriction gets
-    no recipe without ingredients, and a blank restricted name drops all recipes of that user."""
+    no recipe without ingredients, and a blank restricted name drops all recipes of that user.
+
+    `rule`: masks, aliases, masked_names of `name_hits`.
+    """
     strict = strict_restrictions(restrictions)
     rows = recipe_ingredients(recipes)
     dictionary = rows.select("normalized_name").distinct()
     names = strict.where("name != ''").select("name").distinct()
-    hits = name_hits(dictionary, names, "name", masks)
+    hits = name_hits(dictionary, names, "name", **rule)
     recipe_names = rows.join(hits, "normalized_name").select("recipe_id", "name").distinct()
     blocked = (candidates.select("user_id", "recipe_id").distinct().join(recipe_names, "recipe_id")
                .join(strict, ["user_id", "name"], "left_semi").select("user_id", "recipe_id").distinct())

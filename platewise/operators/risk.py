@@ -61,14 +61,14 @@ def population_signals(population: DataFrame, catalog: DataFrame,
     return first.unionByName(one(b).join(first.select("normalized_name"), "normalized_name", "left_anti"))
 
 
-def best_signals(dictionary: DataFrame, signals: DataFrame) -> DataFrame:
+def best_signals(dictionary: DataFrame, signals: DataFrame, **rule) -> DataFrame:
     """Best matching signal per dictionary text (and per user, if the signals have one): the most
     certain, then the riskiest, then by name."""
     per_user = "user_id" in signals.columns
     names = signals.select(*(["user_id"] if per_user else []), F.col("normalized_name").alias("signal"),
                            "ingredient_name", "risk_score", "confidence")
     vocabulary = names.select("signal").distinct()
-    hits = name_hits(dictionary.select("normalized_name").distinct(), vocabulary, "signal")
+    hits = name_hits(dictionary.select("normalized_name").distinct(), vocabulary, "signal", **rule)
     keys = (["user_id"] if per_user else []) + ["normalized_name"]
     best = hits.join(names, "signal").groupBy(*keys).agg(
         F.max(F.struct("confidence", "risk_score", "signal", "ingredient_name")).alias("s"))
@@ -76,7 +76,7 @@ def best_signals(dictionary: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def recipe_ingredient_risk(pairs: DataFrame, recipes: DataFrame, personal: DataFrame, population: DataFrame,
-                           keywords: Mapping[str, float] | None = None) -> DataFrame:
+                           keywords: Mapping[str, float] | None = None, **rule) -> DataFrame:
     """Ingredient risk of every (user, recipe) pair.
 
     Population scores are settled once per catalog ingredient; only personal signals are joined
@@ -84,7 +84,7 @@ def recipe_ingredient_risk(pairs: DataFrame, recipes: DataFrame, personal: DataF
     """
     rows = recipe_ingredients(recipes)
     dictionary = rows.select("normalized_name").distinct()
-    pop = best_signals(dictionary, population).select(
+    pop = best_signals(dictionary, population, **rule).select(
         "normalized_name", F.col("risk_score").alias("pop_risk"), F.col("confidence").alias("pop_conf"),
         F.col("ingredient_name").alias("pop_name"))
     # Keyword priors normalize twice, which changes nothing.
@@ -92,7 +92,7 @@ def recipe_ingredient_risk(pairs: DataFrame, recipes: DataFrame, personal: DataF
                .withColumn("base", F.coalesce("pop_risk", tx.keyword_prior(F.col("normalized_name"), keywords)))
                .withColumn("base_conf", F.coalesce("pop_conf", F.lit(0.15))))
     ready = rows.select("recipe_id", "pos", "normalized_name").join(settled, "normalized_name")
-    mine = best_signals(dictionary, personal).select(
+    mine = best_signals(dictionary, personal, **rule).select(
         "user_id", "normalized_name", F.col("risk_score").alias("own"), F.col("confidence").alias("own_conf"),
         F.col("ingredient_name").alias("own_name"))
     keyed = pairs.select("user_id", "recipe_id").distinct()

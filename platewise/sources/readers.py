@@ -54,9 +54,10 @@ def parse_list_columns(df: DataFrame, text_cols: Sequence[str], number_cols: Seq
     return df
 
 
-def load_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """One parquet table; local timestamps become UTC instants."""
-    df = spark.read.option("mergeSchema", "true").parquet(f"{base}/{name}.parquet")
+def load_table(spark: SparkSession, base: str, name: str, evolved: bool = False) -> DataFrame:
+    """One parquet table; local timestamps become UTC instants.  `evolved` merges the schemas of all
+    files, which reads every footer."""
+    df = spark.read.option("mergeSchema", evolved).parquet(f"{base}/{name}.parquet")
     for field in df.schema:
         if isinstance(field.dataType, T.TimestampNTZType):
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
