@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("tables", "scalars", "aggregates", "safety")
+_MODULES = ("tables", "scalars", "aggregates", "safety", "health")
 
 
 def _load() -> None:

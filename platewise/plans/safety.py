@@ -150,7 +150,7 @@ def annotate_gentle(d: Domain):
 # ---- check-ins ------------------------------------------------------------------------------------------
 
 @query("validate_checkin", sql(f"""
-    SELECT checkin_id, user_id, {ts('created_at')} AS created_at, {r6('coalesce(greatest(0.0, least(1.0, sev)), 0)')} AS severity, 'cramps|gas' AS symptoms, summary, complete,
+    SELECT checkin_id, user_id, {ts('created_at')} AS created_at, {r6('CASE WHEN sev IS NULL THEN 0 ELSE greatest(0.0, least(1.0, sev)) END')} AS severity, 'cramps|gas' AS symptoms, summary, complete,
         w0[1] AS hours_0_8, coalesce(array_to_string(w1, '|'), '') AS hours_9_16, w2[1] AS hours_17_24, sev IS NOT NULL AND (NOT complete OR (summary <> '' AND len(w1) > 0)) AS valid FROM raw_checkins""", "raw_checkins"))
 def validate_checkin(d: Domain):
     return ck.validate_checkins(d.raw_checkins)
