@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalog, context, exposure, matching, risk
+from ..operators import context, exposure, matching, risk
+from ..session import cut_lineage
 from .mapping import ALIASES, KEYWORDS, NOW, RULE, Domain, c01, n_ing, r6, sql, status, ts
 from .registry import query
 from .safety import _GROUPS, SIGNAL_DEPS, SIGNALS
@@ -107,10 +108,13 @@ def _context(d: Domain, refs=None):
 
 @query("agg_recent_context", sql(f"""
     SELECT ref_id::VARCHAR AS ref_id, {r6('smax')} AS recent_symptom_severity, {r6('smax')} AS recent_symptom_max, {r6('smean')} AS recent_symptom_mean, {r6('fnone')} AS recent_no_symptom_fraction,
-        {r6('npos')} AS recent_positive_report_count, {r6('nmeal')} AS recent_meal_count, {r6('load')} AS recent_trigger_load, {r6('hsym')} AS hours_since_last_symptom, {r6('hsym_m')} AS hours_since_last_symptom_missing,
-        {r6('hmeal')} AS hours_since_last_meal, {r6('hmeal_m')} AS hours_since_last_meal_missing FROM c""", "meals", "reports", refs=_REFS, c=_CONTEXT))
+        {r6('npos')} AS recent_positive_report_count, {r6('nmeal')} AS recent_meal_count, {r6('load')} AS recent_trigger_load, {r6('hsym * 3600')} AS seconds_since_last_symptom, {r6('hsym_m')} AS hours_since_last_symptom_missing,
+        {r6('hmeal * 3600')} AS seconds_since_last_meal, {r6('hmeal_m')} AS hours_since_last_meal_missing FROM c""", "meals", "reports", refs=_REFS, c=_CONTEXT))
 def agg_recent_context(d: Domain):
-    return _context(d)
+    out = _context(d)
+    for c in ("symptom", "meal"):
+        out = out.withColumn(f"seconds_since_last_{c}", F.col(f"hours_since_last_{c}") * 3600).drop(f"hours_since_last_{c}")
+    return out
 
 
 # ---- recipe risk, features, rerank -------------------------------------------------------------------------
@@ -175,7 +179,7 @@ _HEUR = f"least(1.0, 0.08 + 0.52 * score + 0.12 * {c01('nut[2] / 40')} + 0.08 *
         {r6('groups')} AS trigger_group_count, {r6('hit')} AS trigger_ingredient_count, {r6('frac')} AS trigger_ingredient_fraction, {r6('lac')} AS trigger_lactose_count, {r6('lac > 0')} AS trigger_lactose_present, {r6('pol')} AS trigger_polyols_count,
         {r6('score')} AS ingredient_risk_score, {r6('iconf')} AS ingredient_risk_confidence, {r6('k')} AS personal_risk_match_count, {r6('coverage')} AS personal_risk_coverage, {r6('mx')} AS personal_risk_max, {r6('mn')} AS personal_risk_mean,
         {r6('smax')} AS recent_symptom_max, {r6('smean')} AS recent_symptom_mean, {r6('fnone')} AS recent_no_symptom_fraction, {r6('npos')} AS recent_positive_report_count, {r6('nmeal')} AS recent_meal_count, {r6('load')} AS recent_trigger_load,
-        {r6('hsym')} AS hours_since_last_symptom, {r6('hmeal_m')} AS hours_since_last_meal_missing, {r6('coalesce(lc, 0)')} AS logged_calories, {r6('lc IS NULL')} AS logged_calories_missing, {r6("coalesce(CASE WHEN src = 'manual' THEN lp END, 0)")} AS logged_protein_g,
+        {r6('hsym * 3600')} AS seconds_since_last_symptom, {r6('hmeal_m')} AS hours_since_last_meal_missing, {r6('coalesce(lc, 0)')} AS logged_calories, {r6('lc IS NULL')} AS logged_calories_missing, {r6("coalesce(CASE WHEN src = 'manual' THEN lp END, 0)")} AS logged_protein_g,
         {r6("(CASE WHEN src = 'manual' THEN lf END) IS NULL")} AS logged_fat_g_missing, {r6('ps')} AS logged_portion_size, {r6('coalesce(nc, 0)')} AS logged_nutrition_confidence, {r6("pu = 'cups'")} AS portion_unit_volume, {r6("pu = ''")} AS portion_unit_unknown,
         {r6('sin(2 * pi() * (hour(logged_at) + minute(logged_at) / 60.0::DOUBLE) / 24)')} AS time_of_day_sin FROM row_""", "meals", "recipes", "reports", *SIGNAL_DEPS, **_FEATURE_CTES))
 def fn_symptom_features(d: Domain):
@@ -183,7 +187,7 @@ def fn_symptom_features(d: Domain):
         "user_id", "recipe_id", "ref_id", "contains_onion", "recipe_calories", "recipe_fat_pdv", "recipe_carbs_pdv", "recipe_nutrition_missing", "recipe_ingredients_missing", "recipe_minutes_missing", "recipe_minutes",
         "recipe_ingredient_count", "recipe_ingredient_count_missing", "recipe_step_count", "trigger_group_count", "trigger_ingredient_count", "trigger_ingredient_fraction", "trigger_lactose_count", "trigger_lactose_present",
         "trigger_polyols_count", "ingredient_risk_score", "ingredient_risk_confidence", "personal_risk_match_count", "personal_risk_coverage", "personal_risk_max", "personal_risk_mean", "recent_symptom_max", "recent_symptom_mean",
-        "recent_no_symptom_fraction", "recent_positive_report_count", "recent_meal_count", "recent_trigger_load", "hours_since_last_symptom", "hours_since_last_meal_missing", "logged_calories", "logged_calories_missing",
+        "recent_no_symptom_fraction", "recent_positive_report_count", "recent_meal_count", "recent_trigger_load", (F.col("hours_since_last_symptom") * 3600).alias("seconds_since_last_symptom"), "hours_since_last_meal_missing", "logged_calories", "logged_calories_missing",
         "logged_protein_g", "logged_fat_g_missing", "logged_portion_size", "logged_nutrition_confidence", "portion_unit_volume", "portion_unit_unknown", "time_of_day_sin")
 
 
@@ -202,7 +206,7 @@ def _examples(d: Domain):
 
 @query("split_group_disjoint")
 def split_group_disjoint(d: Domain):
-    labels = context.match_meals_to_outcomes(d.meals, context.explicit_outcomes(d.reports))
+    labels = cut_lineage(context.match_meals_to_outcomes(d.meals, context.explicit_outcomes(d.reports)))
     return context.split_group_disjoint(labels).groupBy("part", "strategy").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
 
 
@@ -211,23 +215,19 @@ def split_group_disjoint(d: Domain):
         SELECT *, min(logged_at) FILTER (i >= cut) OVER () AS first FROM (SELECT *, row_number() OVER (ORDER BY logged_at, meal_id) - 1 AS i, greatest(1, least(count(*) OVER () - 1, floor(count(*) OVER () * 0.75))) AS cut FROM x))""",
     "reports", "meals", o=_OUTCOMES, x=_MATCHED))
 def split_chrono_purged(d: Domain):
-    labels = context.match_meals_to_outcomes(d.meals, context.explicit_outcomes(d.reports))
+    labels = cut_lineage(context.match_meals_to_outcomes(d.meals, context.explicit_outcomes(d.reports)))
     return context.split_chrono_purged(labels).select("meal_id", "part", "strategy")
 
 
 @query("train_symptom_gbt")
 def train_symptom_gbt(d: Domain):
     """Metrics of the held-out part; fewer trees than the default keep the check short."""
-    from ..session import cut_lineage
-
     _, metrics = context.train_symptom_model(cut_lineage(_examples(d)), trees=10)
     return metrics
 
 
 @query("score_symptom_risk")
 def score_symptom_risk(d: Domain):
-    from ..session import cut_lineage
-
     rows = cut_lineage(_examples(d))
     model, _ = context.train_symptom_model(rows, trees=10)
     return context.score_symptom(rows, model).select("meal_id", "user_id", "label", "symptom_risk")
