@@ -225,7 +225,8 @@ def rerank(candidates: DataFrame, risk: DataFrame, lam: float = 1.0, wi: float =
     both = candidates.withColumnRenamed("rn", "_in").join(risk, ["user_id", "recipe_id"])
     scored = (both.withColumn("combined_risk", combined_risk(F.col("ingredient_risk"), F.col("symptom_risk"), wi, ws))
               .withColumn("final_score", F.col("preference_score") - lam * F.col("combined_risk")))
-    w = W.partitionBy("user_id").orderBy(F.col("final_score").desc(), "_in", "recipe_id")
+    # Ten places: sums of the same parts in another order must not break a tie.
+    w = W.partitionBy("user_id").orderBy(F.round("final_score", 10).desc(), "_in", "recipe_id")
     return scored.withColumn("rn", F.row_number().over(w)).drop("_in")
 
 

@@ -97,13 +97,13 @@ def bootstrap_user_vector(d: Domain):
     SELECT user_id, rn, recipe_id, {r6('sim')} AS similarity FROM (SELECT s.user_id, f.recipe_id, list_cosine_similarity(f.vec, s.vec) AS sim, row_number() OVER (PARTITION BY s.user_id ORDER BY list_cosine_similarity(f.vec, s.vec) DESC, f.recipe_id) AS rn
         FROM s, item_factors f WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.user_id = s.user_id AND p.recipe_id = f.recipe_id)) WHERE rn <= 5""", "pairs", "item_factors", s=_STATE))
 def recommend_by_vector(d: Domain):
-    return preference.recommend_by_vector(_state(d), d.item_factors, d.pairs).withColumnRenamed("similarity", "similarity")
+    return preference.recommend_by_vector(_state(d), d.item_factors, d.pairs)
 
 
 # ---- rerank and rows ------------------------------------------------------------------------------------------
 
 _SYMPTOM = "(recipe_id % 37) / 37.0::DOUBLE"
-_RERANKED = f"""SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY final DESC, rn0, recipe_id) AS rn FROM (SELECT c.user_id, c.recipe_id, c.rn AS rn0, preference_score, score AS ir, sr, least(1.0, 0.4 * score + 0.6 * sr) AS comb, matched,
+_RERANKED = f"""SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(final, 10) DESC, rn0, recipe_id) AS rn FROM (SELECT c.user_id, c.recipe_id, c.rn AS rn0, preference_score, score AS ir, sr, least(1.0, 0.4 * score + 0.6 * sr) AS comb, matched,
     preference_score - least(1.0, 0.4 * score + 0.6 * sr) AS final FROM (SELECT *, {_SYMPTOM} AS sr FROM preference) c JOIN irisk i ON i.user_id = c.user_id AND i.recipe_id = c.recipe_id JOIN safe s ON s.user_id = c.user_id AND s.recipe_id = c.recipe_id)"""
 _SAFE = """SELECT p.user_id, p.recipe_id FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM strict s JOIN ri ON ri.recipe_id = p.recipe_id JOIN hits h ON h.nn = ri.nn AND h.name = s.name WHERE s.user_id = p.user_id)
     AND NOT EXISTS (SELECT 1 FROM strict s WHERE s.user_id = p.user_id AND s.name = '')
@@ -161,8 +161,8 @@ def category_greedy_rows(d: Domain):
 
 _BOOK = f"""SELECT user_id, recipe_id, coalesce(arg_max(recipe_title, (created_at, id)) FILTER (recipe_title IS NOT NULL), recipe_id) AS recipe_title,
     coalesce(arg_max(recipe_source, (created_at, id)) FILTER (recipe_source IS NOT NULL), 'catalog') AS recipe_source, arg_max(ingredients, (created_at, id)) FILTER (ingredients IS NOT NULL) AS ingredients,
-    max(created_at) AS latest_at, count(*) AS n FROM cooklists GROUP BY ALL"""
-_NOW_BOOK = "2001-12-31 00:00:00"
+    max(created_at) AS latest_at, count(*) AS n FROM cooklists GROUP BY user_id, recipe_id"""
+_NOW_BOOK = "2000-06-30 00:00:00"
 
 
 @query("agg_cookbook_membership", sql(f"""
@@ -173,7 +173,7 @@ def agg_cookbook_membership(d: Domain):
 
 _NUM = "regexp_extract(recipe_id, '([0-9]+)$', 1)::BIGINT"
 _PERSONAL_SCORE = "0.78 + 0.2 * greatest(0.0, least(1.0, 0.55 * fresh + 0.2 * least(1.0, n / 3) + 0.25 * (1 - comb)))"
-_BOOKRISK = f"""SELECT *, greatest(0.0, 1 - (epoch_us(TIMESTAMP '{_NOW_BOOK}') - epoch_us(latest_at)) / 8.64e10 / 900 * 20) AS fresh, least(1.0, 0.4 * (({_NUM} % 11) / 11.0) + 0.6 * (({_NUM} % 7) / 7.0))::DOUBLE AS comb,
+_BOOKRISK = f"""SELECT *, greatest(0.0, 1 - greatest(0.0, (epoch_us(TIMESTAMP '{_NOW_BOOK}') - epoch_us(latest_at)) / 8.64e10) / 45)::DOUBLE AS fresh, least(1.0, 0.4 * (({_NUM} % 11) / 11.0) + 0.6 * (({_NUM} % 7) / 7.0))::DOUBLE AS comb,
     recipe_source = 'personal' OR starts_with(recipe_id, 'personal-') AS own FROM book"""
 
 
@@ -186,19 +186,13 @@ def _book_risk(items):
     SELECT user_id, recipe_id, {r6(_PERSONAL_SCORE)} AS score, CASE WHEN comb <= 0.25 THEN 'Gentler personal pick' WHEN fresh >= 0.75 THEN 'Recently saved' WHEN least(1.0, n / 3) >= 0.65 THEN 'Saved in multiple cooklists' ELSE 'From your personal recipes' END AS reason,
         {r6('0.78 + 0.2 * (0.72 * fresh + 0.28 * least(1.0, n / 3))')} AS client FROM b2""", "cooklists", book=_BOOK, b2=_BOOKRISK))
 def fn_personal_cookbook_score(d: Domain):
-    items = cookbook.cookbook_memberships(d.cooklists).withColumn("latest_at", _stretch())
+    items = cookbook.cookbook_memberships(d.cooklists)
     full = items.join(_book_risk(items), ["user_id", "recipe_id"]).withColumn("combined_risk", risk.combined_risk(F.col("ingredient_risk"), F.col("symptom_risk")))
     a = cookbook.personal_score(full, _NOW_BOOK)
     b = cookbook.client_score(items, _NOW_BOOK).select("user_id", "recipe_id", F.col("score").alias("client"))
     return a.join(b, ["user_id", "recipe_id"]).select("user_id", "recipe_id", "score", "reason", "client")
 
 
-def _stretch():
-    """Ages shrunk 1:1 into the 45-day scale: the given orders span years."""
-    now = F.unix_micros(F.lit(_NOW_BOOK).cast("timestamp"))
-    return F.timestamp_micros((now - (now - F.unix_micros("latest_at"))).cast("long"))
-
-
 @query("cookbook_recommend", sql(f"""
     SELECT user_id, rn, recipe_id, source, {r6('sc')} AS score, reason FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(sc, 9) DESC, latest_at DESC, recipe_id) AS rn FROM (
         SELECT user_id, recipe_id, 'personal' AS source, {_PERSONAL_SCORE} AS sc, CASE WHEN comb <= 0.25 THEN 'Gentler personal pick' WHEN fresh >= 0.75 THEN 'Recently saved' WHEN least(1.0, n / 3) >= 0.65 THEN 'Saved in multiple cooklists' ELSE 'From your personal recipes' END AS reason, latest_at FROM b2 WHERE own
