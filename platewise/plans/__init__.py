@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("tables", "scalars", "aggregates", "safety", "health", "recommend", "panels")
+_MODULES = ("tables", "scalars", "aggregates", "safety", "health", "recommend", "panels", "streams")
 
 
 def _load() -> None:

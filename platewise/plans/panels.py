@@ -12,7 +12,7 @@ from .registry import query
 _TZ = "America/New_York"
 _LOCAL = "INTERVAL 5 HOUR"  # the data lies in January
 
-_SEEN = f"SELECT user_id, {n_text('ingredient_name')} AS name, max(exposed_at) AS seen FROM exposures GROUP BY ALL"
+_SEEN = f"SELECT user_id, {n_text('normalized_name')} AS name, max(exposed_at) AS seen FROM exposures GROUP BY ALL"
 _SIGNALS = f"""SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.name, b.name) AS name,
     CASE WHEN b.s IS NULL THEN a.s WHEN a.s IS NULL THEN b.s WHEN b.n > a.n THEN b.s ELSE greatest(a.s, b.s) END AS score,
     greatest(coalesce(a.n, 0), coalesce(b.n, 0)) AS n, coalesce(a.p, 0) AS p, coalesce(a.q, 0) AS q,
@@ -152,11 +152,11 @@ _CONTENT = {**_SIG, "lists": _LISTS,
     "prof": _tokens("""SELECT user_id, name AS text, ((count(*) OVER (PARTITION BY user_id) - (rn - 1)) * greatest(1, least(3, n)))::DOUBLE AS w FROM lists WHERE list_name = 'easier'
         UNION ALL SELECT user_id, food_name, 0.75 FROM meals QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY logged_at DESC, meal_log_id DESC) <= 20""", "user_id"),
     "vecs": _tokens("SELECT recipe_id, name AS text, 2.0 AS w FROM recipes UNION ALL SELECT recipe_id, unnest(ingredients), 2.5 FROM recipes UNION ALL SELECT recipe_id, description, 0.75 FROM recipes", "recipe_id"),
-    "cosines": """SELECT user_id, recipe_id, sum(p.w * v.w) / (any_value(pn) * any_value(vn)) AS sim FROM prof p JOIN vecs v ON v.token = p.token JOIN (SELECT user_id, sqrt(sum(w * w)) AS pn FROM prof GROUP BY 1) USING (user_id)
+    "cosines": """SELECT user_id, recipe_id, sum(p.w * v.w) / (any_value(pn) * any_value(vn)) AS sim FROM prof p JOIN pairs USING (user_id) JOIN vecs v USING (recipe_id, token) JOIN (SELECT user_id, sqrt(sum(w * w)) AS pn FROM prof GROUP BY 1) USING (user_id)
         JOIN (SELECT recipe_id, sqrt(sum(w * w)) AS vn FROM vecs GROUP BY 1) USING (recipe_id) GROUP BY ALL""",
     "best": f"""SELECT user_id, recipe_id, r.name AS title, sim, sim * (1 - pen) AS score FROM (SELECT c.user_id, c.recipe_id, sim, coalesce((SELECT max({c01('l.score')}) * 0.85 FROM lists l JOIN recipes x ON x.recipe_id = c.recipe_id
             WHERE l.user_id = c.user_id AND l.list_name = 'watch' AND {has(f"replace({n_text('''concat_ws(' ', x.name, array_to_string(x.ingredients, ' '), x.description)''')}, '-', ' ')", "replace(l.name, '-', ' ')")}), 0) AS pen
-        FROM cosines c JOIN pairs USING (user_id, recipe_id) WHERE sim > 0 AND NOT EXISTS (SELECT 1 FROM meals m WHERE m.user_id = c.user_id AND m.recipe_id = c.recipe_id)) JOIN recipes r USING (recipe_id)
+        FROM cosines c WHERE sim > 0 AND NOT EXISTS (SELECT 1 FROM meals m WHERE m.user_id = c.user_id AND m.recipe_id = c.recipe_id)) JOIN recipes r USING (recipe_id)
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(sim * (1 - pen), 9) DESC, round(sim, 9) DESC, r.name, recipe_id) = 1"""}
 _CONTENT_DEPS = (*_SIG_DEPS, "meals", "recipes", "pairs")
 
@@ -172,12 +172,12 @@ def content_experiment(d: Domain):
 
 
 @query("tfidf_experiment", sql(f"""
-    SELECT user_id, recipe_id, {r6('sum(p.w * v.w) / (any_value(pn) * any_value(vn))')} AS score FROM prof p JOIN tv v ON v.token = p.token JOIN (SELECT user_id, sqrt(sum(w * w)) AS pn FROM prof GROUP BY 1) USING (user_id)
+    SELECT user_id, recipe_id, {r6('sum(p.w * v.w) / (any_value(pn) * any_value(vn))')} AS score FROM prof p JOIN pairs USING (user_id) JOIN tv v USING (recipe_id, token) JOIN (SELECT user_id, sqrt(sum(w * w)) AS pn FROM prof GROUP BY 1) USING (user_id)
         JOIN (SELECT recipe_id, sqrt(sum(w * w)) AS vn FROM tv GROUP BY 1) USING (recipe_id) WHERE vn > 0 GROUP BY ALL""", *_CONTENT_DEPS, **{k: v for k, v in _CONTENT.items() if k not in ("cosines", "best")},
     tv="SELECT recipe_id, token, w * ln(((SELECT count(DISTINCT recipe_id) FROM vecs) + 1) / (df + 1)) AS w FROM vecs JOIN (SELECT token, count(*) AS df FROM vecs GROUP BY 1) USING (token)"))
 def tfidf_experiment(d: Domain):
     lists = dashboard.watchlists(_signals(d), NOW)
-    return content.tfidf_scores(content.user_profile(lists.where("list_name = 'easier'"), d.meals), content.recipe_tokens(d.recipes))
+    return content.tfidf_scores(content.user_profile(lists.where("list_name = 'easier'"), d.meals), content.recipe_tokens(d.recipes), d.pairs)
 
 
 def _shown(x: str) -> str:
@@ -199,7 +199,7 @@ def rule_next_steps(d: Domain):
 # ---- taste and side features -----------------------------------------------------------------------------------
 
 @query("agg_user_taste", sql(f"""
-    SELECT user_id, feature, {r6('raw / sum(raw) OVER (PARTITION BY user_id)')} AS weight FROM (SELECT user_id, feature, round(sum(rating * w), 9) AS raw FROM mean_ratings JOIN f USING (recipe_id) WHERE rating > 0 AND user_id IN (SELECT user_id FROM users) GROUP BY ALL
+    SELECT user_id, feature, {r6('raw / sum(raw) OVER (PARTITION BY user_id)')} AS weight FROM (SELECT * FROM (SELECT user_id, feature, round(sum(rating * w), 9) AS raw FROM mean_ratings JOIN f USING (recipe_id) WHERE rating > 0 AND user_id IN (SELECT user_id FROM users) GROUP BY ALL)
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY raw DESC, feature) <= 24)""", "mean_ratings", "recipes", "users",
     f="""SELECT recipe_id, 'user:taste:word:' || unnest(ingredients) AS feature, 0.4 AS w FROM recipes UNION ALL SELECT recipe_id, 'user:taste:steps:' || n_steps, 0.2 FROM recipes"""))
 def agg_user_taste(d: Domain):
@@ -215,15 +215,16 @@ def _risk_bucket(x: str) -> str:
 
 @query("agg_user_side_features", sql(f"""
     SELECT user_id, CASE WHEN user_id IN (SELECT user_id FROM users) THEN 'user:cohort:app' ELSE 'user:cohort:historical' END AS feature, 0.2::DOUBLE AS weight FROM all_users
-    UNION ALL SELECT user_id, feature, {r6('0.5 / count(*) OVER (PARTITION BY user_id)')} FROM rest
-    UNION ALL SELECT user_id, feature, {r6('0.5 * raw / sum(raw) OVER (PARTITION BY user_id)')} FROM (SELECT user_id, feature, max(raw) AS raw FROM rk GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY max(raw) DESC, feature) <= 12)""",
+    UNION ALL SELECT user_id, feature, round(0.5::DOUBLE / count(*) OVER (PARTITION BY user_id), 4) + 0.0 FROM rest
+    UNION ALL SELECT user_id, feature, round(0.5 * raw / sum(raw) OVER (PARTITION BY user_id), 4) + 0.0 FROM (SELECT * FROM (SELECT user_id, feature, max(raw) AS raw FROM rk GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY raw DESC, feature) <= 12)""",
     "users", "restrictions", "generic_risks", "profile_risks", all_users="SELECT c_custkey::VARCHAR AS user_id FROM customer",
     rest=f"""SELECT DISTINCT user_id, 'user:restriction_type:' || lower(restriction_type) AS feature FROM restrictions UNION SELECT user_id, 'user:restricted_ingredient:' || {n_text('ingredient_name')} FROM restrictions WHERE ingredient_name <> ''""",
     rk=f"""SELECT user_id, 'user:risk_ingredient:' || {n_text('ingredient_name')} || ':' || {_risk_bucket('risk_score')} AS feature, greatest(0.05, confidence) AS raw FROM generic_risks
         UNION ALL SELECT user_id, 'user:ibs_group:' || regexp_replace(trigger_group, '_', ' ', 'g') || ':' || {_risk_bucket('grade')}, greatest(0.05, confidence) FROM profile_risks"""))
 def agg_user_side_features(d: Domain):
     people = d.table("customer").select(F.col("c_custkey").cast("string").alias("user_id"))
-    return content.user_side_features(people, d.users, d.restrictions, d.generic_risks, d.profile_risks)
+    rows = content.user_side_features(people, d.users, d.restrictions, d.generic_risks, d.profile_risks)
+    return rows.withColumn("weight", F.round("weight", 4))  # shares of small counts tie at six places
 
 
 # ---- habit tree ---------------------------------------------------------------------------------------------------
