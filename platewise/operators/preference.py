@@ -131,12 +131,15 @@ def recommend(item_factors: DataFrame, user_factors: DataFrame, excluded: DataFr
 
     items = blocks(item_factors.select("recipe_id", "bias", "vec"), "recipe_id", "_ib")
     users = blocks(user_factors.select("user_id", "vec"), "user_id", "_ub")
-    item_blocks = items.groupBy("_ib").agg(F.collect_list(F.struct("recipe_id", "bias", "vec")).alias("items"))
-    user_blocks = users.groupBy("_ub").agg(F.collect_list(F.struct("user_id", "vec")).alias("users"))
+    packed = lambda df, by, key, *more: df.groupBy(by).agg(F.collect_list(F.struct(key, *more, "vec")).alias("x")).select(
+        by, F.col(f"x.{key}").alias(f"{key}s"), *[F.col(f"x.{c}").alias(f"{c}s") for c in more], F.flatten("x.vec").alias(f"{key}_m"))
+    item_blocks = packed(items, "_ib", "recipe_id", "bias")
+    user_blocks = packed(users, "_ub", "user_id")
     skips = (excluded.select("user_id", "recipe_id").distinct()
              .join(items.select("recipe_id", "_ib"), "recipe_id").join(users.select("user_id", "_ub"), "user_id")
              .groupBy("_ub", "_ib", "user_id").agg(F.count(F.lit(1)).alias("c"))
-             .groupBy("_ub", "_ib").agg(F.map_from_entries(F.collect_list(F.struct("user_id", "c"))).alias("skips")))
+             .groupBy("_ub", "_ib").agg(F.collect_list(F.struct("user_id", "c")).alias("k"))
+             .select("_ub", "_ib", F.col("k.user_id").alias("skip_users"), F.col("k.c").alias("skip_counts")))
     n_items = items.agg(F.max("_ib")).scalar()
     grid = (user_blocks.withColumn("_top", n_items)
             .withColumn("_ib", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_top")))).drop("_top")
@@ -145,23 +148,23 @@ def recommend(item_factors: DataFrame, user_factors: DataFrame, excluded: DataFr
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                ids = np.array([x["recipe_id"] for x in row.items])
-                order = np.argsort(ids, kind="stable")
-                ids = ids[order]
-                mat = np.array([x["vec"] for x in row.items], dtype="float64")[order]
-                bias = np.array([x["bias"] for x in row.items], dtype="float64")[order]
-                names = [x["user_id"] for x in row.users]
-                pts = np.array([x["vec"] for x in row.users], dtype="float64") @ mat.T + bias
-                skip = dict(row.skips) if row.skips is not None else {}
-                best = np.argsort(-pts, axis=1, kind="stable")
-                width = [min(len(ids), n + int(skip.get(user, 0))) for user in names]
-                cols = np.concatenate([best[j, :w] for j, w in enumerate(width)])
-                rows = np.repeat(np.arange(len(names)), width)
-                yield pd.DataFrame({"user_id": np.array(names, dtype=object)[rows], "recipe_id": ids[cols],
-                                    "preference_score": pts[rows, cols]})
+                ids, names = np.asarray(row.recipe_ids), np.asarray(row.user_ids, dtype=object)
+                mat = np.asarray(row.recipe_id_m, dtype="float64").reshape(len(ids), -1)
+                pts = np.asarray(row.user_id_m, dtype="float64").reshape(len(names), -1) @ mat.T + np.asarray(row.biass, dtype="float64")
+                skip = dict(zip(row.skip_users, row.skip_counts)) if row.skip_users is not None else {}
+                picks = []
+                for j, user in enumerate(names):
+                    w = n + int(skip.get(user, 0))
+                    if w >= len(ids):
+                        picks.append(np.arange(len(ids)))
+                    else:  # everything from the w-th best up, ties included
+                        picks.append(np.nonzero(pts[j] >= np.partition(pts[j], len(ids) - w)[len(ids) - w])[0])
+                rows = np.repeat(np.arange(len(names)), [len(p) for p in picks])
+                cols = np.concatenate(picks)
+                yield pd.DataFrame({"user_id": names[rows], "recipe_id": ids[cols], "preference_score": pts[rows, cols]})
 
     types = {f.name: f.dataType.simpleString() for f in item_factors.schema}
-    flat = grid.select("users", "items", "skips").mapInPandas(
+    flat = grid.drop("_ub", "_ib").mapInPandas(
         score, f"user_id string, recipe_id {types['recipe_id']}, preference_score double")
     allowed = flat.join(excluded.select("user_id", "recipe_id").distinct(), ["user_id", "recipe_id"], "left_anti")
     return topn(allowed, n)

@@ -120,7 +120,7 @@ def topn_candidates(d: Domain):
     users_="SELECT DISTINCT user_id FROM app_log", cand="SELECT p.* FROM preference p WHERE rn <= user_id::BIGINT % 8 AND user_id IN (SELECT user_id FROM app_log)",
     excl="SELECT DISTINCT user_id, recipe_id FROM app_log WHERE interaction_type IN ('liked', 'saved')"))
 def topk_with_backfill(d: Domain):
-    cand = d.preference.where("rn <= cast(user_id as long) % 8").join(d.users, "user_id", "left_semi")
+    cand = d.kept("preference").where("rn <= cast(user_id as long) % 8").join(d.users, "user_id", "left_semi")
     return ranking.topk_with_backfill(cand, d.recipes, d.users, ratings.kept_pairs(d.app_log))
 
 

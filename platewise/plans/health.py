@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import context, exposure, matching, risk
-from ..session import cut_lineage
+from ..session import cut_lineage, write_and_read
 from .mapping import ALIASES, KEYWORDS, NOW, RULE, Domain, c01, n_ing, r6, sql, status, ts
 from .registry import query
 from .safety import _GROUPS, SIGNAL_DEPS, SIGNALS
@@ -139,7 +139,7 @@ def ingredient_risk(d: Domain, pairs):
     SELECT user_id, recipe_id, {r6('score')} AS score, {r6('conf')} AS confidence, matched, {r6('mx')} AS max_personal_risk, {r6('mn')} AS mean_personal_risk, {r6('mc')} AS mean_personal_confidence,
         k AS personal_match_count, n AS ingredient_count, {r6('coverage')} AS personal_coverage FROM irisk""", "pairs", *SIGNAL_DEPS, **RISK))
 def agg_ingredient_risk(d: Domain):
-    return ingredient_risk(d, d.pairs)
+    return ingredient_risk(d, d.kept("pairs"))
 
 
 def _meal_pairs(d: Domain):
@@ -156,7 +156,7 @@ _PROFILE = f"""SELECT r.recipe_id, (count(DISTINCT g.g))::DOUBLE AS groups, coun
 
 
 def _features(d: Domain, with_risk: bool = True):
-    pairs = _meal_pairs(d)
+    pairs = write_and_read(_meal_pairs(d), "meal-pairs")
     refs = pairs.select("user_id", "ref_id", F.col("at").alias("ref_ts"))
     mine = ingredient_risk(d, pairs) if with_risk else None
     return risk.symptom_features(pairs, d.recipes, matching.trigger_profile(d.recipes, ALIASES), _context(d, refs), mine)

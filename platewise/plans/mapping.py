@@ -9,6 +9,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..session import write_and_read
 from ..sources.readers import load_table
 
 NOW = "2024-01-31 00:00:00"
@@ -38,7 +39,13 @@ def pick(values, index: Column) -> Column:
 class Domain:
     def __init__(self, spark: SparkSession, base: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.base = spark, base
+        self.spark, self.base, self._kept = spark, base, {}
+
+    def kept(self, name: str) -> DataFrame:
+        """A derived frame written once, for queries that use it in several branches."""
+        if name not in self._kept:
+            self._kept[name] = write_and_read(getattr(self, name), name)
+        return self._kept[name]
 
     def table(self, name: str) -> DataFrame:
         return load_table(self.spark, self.base, name)

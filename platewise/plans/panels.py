@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..operators import catalog, content, dashboard, habits, ranking, ratings
+from ..operators import content, dashboard, habits
+from ..session import write_and_read
 from .mapping import NOW, TODAY, Domain, c01, day, has, n_text, r6, sql, ts
 from .registry import query
 
@@ -86,7 +87,7 @@ _TOT_DEPS = (*_SIG_DEPS, "users", "meals", "reports", "checkins")
 
 
 def _totals(d: Domain):
-    sig = _signals(d)
+    sig = write_and_read(_signals(d), "signals")
     return dashboard.dashboard_totals(d.users, d.meals, _reports(d), dashboard.daily_nutrition(d.users, d.meals, NOW, _TZ), dashboard.watchlists(sig, NOW), sig)
 
 
@@ -162,8 +163,8 @@ _CONTENT_DEPS = (*_SIG_DEPS, "meals", "recipes", "pairs")
 
 
 def _experiment(d: Domain):
-    lists = dashboard.watchlists(_signals(d), NOW)
-    return content.content_experiment(lists.where("list_name = 'watch'"), lists.where("list_name = 'easier'"), d.meals, d.pairs, d.recipes)
+    lists = write_and_read(dashboard.watchlists(_signals(d), NOW), "lists")
+    return content.content_experiment(lists.where("list_name = 'watch'"), lists.where("list_name = 'easier'"), d.meals, d.kept("pairs"), d.recipes)
 
 
 @query("content_experiment", sql(f"SELECT user_id, recipe_id, title, {r6('sim')} AS similarity, {r6('score')} AS score FROM best WHERE score > 0", *_CONTENT_DEPS, **_CONTENT))
@@ -193,7 +194,7 @@ def _shown(x: str) -> str:
         LEFT JOIN (SELECT user_id, arg_min(name, rn) AS early FROM lists WHERE list_name = 'watch' AND n < 3 GROUP BY 1) e USING (user_id) LEFT JOIN (SELECT user_id, name AS gentle FROM lists WHERE list_name = 'easier' AND rn = 1) g USING (user_id)),
         (SELECT unnest([1, 2, 3]) AS i) WHERE i <= len(steps)""", *dict.fromkeys((*_TOT_DEPS, *_CONTENT_DEPS)), **{**_TOT, **_CONTENT}))
 def rule_next_steps(d: Domain):
-    return dashboard.next_steps(d.users, dashboard.watchlists(_signals(d), NOW), _totals(d), _experiment(d))
+    return dashboard.next_steps(d.users, dashboard.watchlists(_signals(d), NOW), _totals(d), write_and_read(_experiment(d), "experiment"))
 
 
 # ---- taste and side features -----------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
 from ..operators import catalog, cf, content, cookbook, evaluation, matching, preference, ranking, ratings, risk
-from ..session import cut_lineage
+from ..session import cut_lineage, write_and_read
 from .health import RISK, ingredient_risk
 from .mapping import ALIASES, NOW, RULE, Domain, lst, n_ing, n_text, r6, sql, ts
 from .registry import query
@@ -97,7 +97,7 @@ def bootstrap_user_vector(d: Domain):
     SELECT user_id, rn, recipe_id, {r6('sim')} AS similarity FROM (SELECT s.user_id, f.recipe_id, list_cosine_similarity(f.vec, s.vec) AS sim, row_number() OVER (PARTITION BY s.user_id ORDER BY list_cosine_similarity(f.vec, s.vec) DESC, f.recipe_id) AS rn
         FROM s, item_factors f WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.user_id = s.user_id AND p.recipe_id = f.recipe_id)) WHERE rn <= 5""", "pairs", "item_factors", s=_STATE))
 def recommend_by_vector(d: Domain):
-    return preference.recommend_by_vector(_state(d), d.item_factors, d.pairs)
+    return preference.recommend_by_vector(_state(d), d.item_factors, d.kept("pairs"))
 
 
 # ---- rerank and rows ------------------------------------------------------------------------------------------
@@ -114,7 +114,7 @@ _RANK = {**RISK, "hits": _HITS, "safe": _SAFE, "reranked": _RERANKED}
 
 def reranked(d: Domain):
     """Candidates without forbidden recipes, ordered by preference minus risk."""
-    safe = matching.hard_filter(d.preference, d.recipes, d.restrictions, **RULE)
+    safe = write_and_read(matching.hard_filter(d.kept("preference"), d.recipes, d.restrictions, **RULE), "safe")
     mine = ingredient_risk(d, safe).select("user_id", "recipe_id", F.col("score").alias("ingredient_risk"), "matched",
                                            ((F.col("recipe_id") % 37) / 37).alias("symptom_risk"))
     return risk.rerank(safe, mine)
@@ -150,7 +150,7 @@ def _pass(i: int, name: str, source: str) -> str:
         WHERE NOT EXISTS (SELECT 1 FROM app_log a WHERE a.user_id = r.user_id AND a.recipe_id = r.recipe_id AND interaction_type IN ('liked', 'saved'))""",
     row0=_pass(0, "curated", "rn"), row1=_pass(1, "trending", "trn NULLS LAST, rn"), row2=_pass(2, "flavor", "cosine DESC, final DESC, rn"), row3=_pass(3, "healthy", "rn"), row4=_pass(4, "quick", "rn")))
 def category_greedy_rows(d: Domain):
-    ranked = d.preference.withColumnRenamed("preference_score", "final_score")
+    ranked = d.kept("preference").withColumnRenamed("preference_score", "final_score")
     center = preference.centroid(catalog.flavor_seeds(d.recipes, ("hot", "red")), d.item_factors)
     flavor = preference.flavor_similarity(ranked, d.item_factors, center).withColumn("cosine", F.round("cosine", 9))
     rules = {"flavor": catalog.PREDICATES["flavor"](("ring", "anvil", "gear")), "healthy": catalog.PREDICATES["healthy"](), "quick": catalog.PREDICATES["quick"]()}
@@ -186,7 +186,7 @@ def _book_risk(items):
     SELECT user_id, recipe_id, {r6(_PERSONAL_SCORE)} AS score, CASE WHEN comb <= 0.25 THEN 'Gentler personal pick' WHEN fresh >= 0.75 THEN 'Recently saved' WHEN least(1.0, n / 3) >= 0.65 THEN 'Saved in multiple cooklists' ELSE 'From your personal recipes' END AS reason,
         {r6('0.78 + 0.2 * (0.72 * fresh + 0.28 * least(1.0, n / 3))')} AS client FROM b2""", "cooklists", book=_BOOK, b2=_BOOKRISK))
 def fn_personal_cookbook_score(d: Domain):
-    items = cookbook.cookbook_memberships(d.cooklists)
+    items = write_and_read(cookbook.cookbook_memberships(d.cooklists), "book")
     full = items.join(_book_risk(items), ["user_id", "recipe_id"]).withColumn("combined_risk", risk.combined_risk(F.col("ingredient_risk"), F.col("symptom_risk")))
     a = cookbook.personal_score(full, _NOW_BOOK)
     b = cookbook.client_score(items, _NOW_BOOK).select("user_id", "recipe_id", F.col("score").alias("client"))
@@ -201,7 +201,7 @@ def fn_personal_cookbook_score(d: Domain):
             FROM (SELECT b.*, coalesce(preference_score - 3, 0) AS pref, coalesce(preference_score - 3, 0) - comb AS f FROM b2 b LEFT JOIN preference p ON p.user_id = b.user_id AND p.recipe_id::VARCHAR = b.recipe_id WHERE NOT own) WINDOW w AS (PARTITION BY user_id))) WHERE rn <= 5""",
     "cooklists", "preference", book=_BOOK, b2=_BOOKRISK))
 def cookbook_recommend(d: Domain):
-    items = cookbook.cookbook_memberships(d.cooklists)
+    items = write_and_read(cookbook.cookbook_memberships(d.cooklists), "book")
     pref = d.preference.select("user_id", F.col("recipe_id").cast("string").alias("recipe_id"), (F.col("preference_score") - 3).alias("score"))
     return cookbook.cookbook_recommend(items, pref, _book_risk(items), _NOW_BOOK)
 
@@ -269,7 +269,7 @@ def delete_user_cascade(d: Domain):
     nrm="SELECT recipe_id, sqrt(sum(rating * rating)) AS n FROM mean_ratings GROUP BY 1",
     sims="SELECT x.recipe_id AS a, y.recipe_id AS b, sum(x.rating * y.rating) / any_value(p.n * q.n) AS sim FROM mean_ratings x JOIN mean_ratings y ON y.user_id = x.user_id JOIN nrm p ON p.recipe_id = x.recipe_id JOIN nrm q ON q.recipe_id = y.recipe_id GROUP BY ALL"))
 def cf_item_based(d: Domain):
-    return cf.item_based(d.mean_ratings)
+    return cf.item_based(d.kept("mean_ratings"))
 
 
 @query("cf_user_based", sql(f"""
@@ -280,7 +280,7 @@ def cf_item_based(d: Domain):
     sims="SELECT x.user_id AS a, y.user_id AS b, sum(x.rating * y.rating) / any_value(p.n * q.n) AS sim FROM mean_ratings x JOIN mean_ratings y ON y.recipe_id = x.recipe_id AND y.user_id <> x.user_id JOIN nrm p ON p.user_id = x.user_id JOIN nrm q ON q.user_id = y.user_id GROUP BY ALL",
     nb="SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(sim, 10) DESC, b) <= 50"))
 def cf_user_based(d: Domain):
-    return cf.user_based(d.mean_ratings)
+    return cf.user_based(d.kept("mean_ratings"))
 
 
 @query("mf_explicit")

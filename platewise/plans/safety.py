@@ -54,7 +54,7 @@ def join_bidirectional_match(d: Domain):
         AND NOT EXISTS (SELECT 1 FROM strict s WHERE s.user_id = p.user_id AND s.name = '')
         AND (NOT EXISTS (SELECT 1 FROM strict s WHERE s.user_id = p.user_id) OR EXISTS (SELECT 1 FROM ri WHERE ri.recipe_id = p.recipe_id))""", "pairs", "strict", "ri", hits=_HITS))
 def hard_filter(d: Domain):
-    return matching.hard_filter(d.pairs, d.recipes, d.restrictions, **RULE)
+    return matching.hard_filter(d.kept("pairs"), d.recipes, d.restrictions, **RULE)
 
 
 @query("restriction_load_guard", sql("SELECT user_id, count(*) AS n FROM restrictions GROUP BY 1", "restrictions"))

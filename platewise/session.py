@@ -49,6 +49,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_and_read(df: DataFrame, name: str) -> DataFrame:
+    """A frame that several branches of a plan use, written once to the shared folder as a table."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_or_shuffled(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting at most `max_rows` rows; else leave the join to AQE."""
     if df.limit(max_rows + 1).count() <= max_rows:
