@@ -75,7 +75,7 @@ def ngrams(tokens: str, longest: str) -> Column:
 
 def ingredient_texts(c: Column) -> Column:
     """Trimmed, non-blank ingredients; null gives an empty array."""
-    return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.trim),
+    return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)),
                     lambda x: x != "")
 
 
