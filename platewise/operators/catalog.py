@@ -151,8 +151,10 @@ def search_contains(recipes: DataFrame, queries: DataFrame, n: int = 8) -> DataF
     gram = lambda c, k: F.array_distinct(F.expr(
         f"transform(sequence(1, greatest(1, length({c}) - {k} + 1)), i -> substring({c}, i, {k}))"))
     wanted = qs.select("query_id", "q", F.explode(gram("q", "_k")).alias("gram"))
-    grams = hay.select("recipe_id", "hay", F.explode(F.array_distinct(F.concat(
-        gram("hay", "1"), gram("hay", "2"), gram("hay", "3")))).alias("gram"))
+    sizes = qs.agg(F.collect_set("_k")).scalar()  # one to three lengths
+    used_size = lambda k: F.when(F.array_contains("_sizes", k), gram("hay", str(k))).otherwise(F.array().cast("array<string>"))
+    grams = hay.withColumn("_sizes", sizes).select("recipe_id", "hay", F.explode(F.array_distinct(F.concat(
+        used_size(1), used_size(2), used_size(3)))).alias("gram"))
     used = grams.join(wanted.select("gram").distinct(), "gram", "left_semi")
     freq = used.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rarest = (wanted.join(freq, "gram").groupBy("query_id", "q")

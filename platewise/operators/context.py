@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .. import vocab
 from ..functions import numbers as num
 from ..functions.timeline import window_aggregate
+from ..session import write_and_read
 
 
 def explicit_outcomes(reports: DataFrame) -> DataFrame:
@@ -207,7 +208,8 @@ def train_symptom_model(examples: DataFrame, columns: Sequence[str] | None = Non
     gate = training_gate(examples)
     if not gate.first()["can_train"]:
         return None, gate
-    filled = split_group_disjoint(examples.fillna(0.0, subset=columns))
+    # Boosting reads its rows many times: the split is written once.
+    filled = write_and_read(split_group_disjoint(examples.fillna(0.0, subset=columns)), "split")
     data = VectorAssembler(inputCols=columns, outputCol="features").transform(filled)
 
     def fit(rows: DataFrame):

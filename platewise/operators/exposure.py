@@ -38,7 +38,7 @@ def meal_nutrition(meals: DataFrame, recipes: DataFrame, digits: int | None = No
     found = F.col("_calories").isNotNull() | F.col("_protein_g").isNotNull() | F.col("_fat_g").isNotNull()
     use = blank & found
     rounded = (lambda c: num.half_up(c, digits)) if digits is not None else (lambda c: c)
-    known_source = F.col("nutrition_source").isin("manual", "catalog_recipe", "gemini_estimate")
+    known_source = F.col("nutrition_source").isin(*vocab.NUTRITION_SOURCES)
     keep = [c for c in meals.columns if c not in mine and c not in ("nutrition_source", "nutrition_confidence")]
     return meals.join(cat, "recipe_id", "left").select(
         *keep, *[F.when(use, rounded(F.col(f"_{c}"))).otherwise(e).alias(c) for c, e in mine.items()],

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import vocab
 from ..functions import numbers as num, vectors as vec
 from ..functions.timeline import numbered
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, write_and_read
 from .ranking import topn
 
 
@@ -46,8 +46,14 @@ def fit_explicit(ratings: DataFrame, rank: int = 50, iters: int = 20, scale: tup
     users, items = _als(rest, rank, iters, False, reg, seed)
     meta = mean.select("global_mean", F.lit(rank).alias("rank"), F.lit("explicit").alias("backend"),
                        F.lit(float(scale[0])).alias("low"), F.lit(float(scale[1])).alias("high"))
-    return {"item_factors": items.join(bias, "recipe_id").select("recipe_id", "bias", "vec"),
-            "user_factors": users.select("user_id", F.lit(0.0).alias("bias"), "vec"), "meta": meta}
+    return _model(items.join(bias, "recipe_id").select("recipe_id", "bias", "vec"), users, meta)
+
+
+def _model(items: DataFrame, users: DataFrame, meta: DataFrame) -> dict[str, DataFrame]:
+    """Factors are read again and again by scoring jobs, so they are tables from here on."""
+    return {"item_factors": write_and_read(items, "item-factors"),
+            "user_factors": write_and_read(users.select("user_id", F.lit(0.0).alias("bias"), "vec"), "user-factors"),
+            "meta": write_and_read(meta, "meta")}
 
 
 def predict_explicit(pairs: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
@@ -110,16 +116,16 @@ def fit_hybrid(positive: DataFrame, item_features: DataFrame, user_features: Dat
     spark = positive.sparkSession
     meta = spark.range(1).select(F.lit(0.0).alias("global_mean"), F.lit(rank).alias("rank"), F.lit("hybrid").alias("backend"),
                                  F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
-    return {"item_factors": full, "user_factors": everyone.select("user_id", F.lit(0.0).alias("bias"), "vec"), "meta": meta}
+    return _model(full, everyone, meta)
 
 
 def recommend(item_factors: DataFrame, user_factors: DataFrame, excluded: DataFrame, n: int = vocab.CANDIDATE_LIMIT,
               block: int = 2048) -> DataFrame:
     """Exact top n of bias + dot per user, by blocks of users and items.
 
-    Blocks have a fixed size, meet by equality on the item block, are multiplied in one matrix
-    product per block pair, and leave it already cut to n entries plus the user's exclusions in
-    that block.
+    Blocks have a fixed size, meet by equality on item block and user-block group, are multiplied in
+    one matrix product per block pair, and leave it already cut to n entries plus the user's
+    exclusions in that block.
     """
     import numpy as np
     import pandas as pd
@@ -141,9 +147,15 @@ def recommend(item_factors: DataFrame, user_factors: DataFrame, excluded: DataFr
              .groupBy("_ub", "_ib").agg(F.collect_list(F.struct("user_id", "c")).alias("k"))
              .select("_ub", "_ib", F.col("k.user_id").alias("skip_users"), F.col("k.c").alias("skip_counts")))
     n_items = items.agg(F.max("_ib")).scalar()
-    grid = (user_blocks.withColumn("_top", n_items)
-            .withColumn("_ib", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_top")))).drop("_top")
-            .join(skips, ["_ub", "_ib"], "left").repartition("_ub", "_ib").join(item_blocks, "_ib"))
+    # Some 64 user blocks meet one item block per task: item blocks are copied once per such group.
+    last_group = users.agg(F.max("_ub")).scalar()
+    tasks = int(item_factors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    upto = lambda top: F.explode(F.sequence(F.lit(0).cast("long"), top))
+    left = (user_blocks.withColumn("_top", n_items).withColumn("_n", F.floor(last_group / 64) + 1).withColumn("_s", F.pmod("_ub", "_n"))
+            .withColumn("_ib", upto(F.col("_top"))).drop("_top", "_n").join(skips, ["_ub", "_ib"], "left")
+            .repartition(tasks, "_ib", "_s"))
+    right = item_blocks.withColumn("_n", F.floor(last_group / 64) + 1).withColumn("_s", upto(F.col("_n") - 1)).drop("_n")
+    grid = left.join(right, ["_ib", "_s"])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -164,7 +176,7 @@ def recommend(item_factors: DataFrame, user_factors: DataFrame, excluded: DataFr
                 yield pd.DataFrame({"user_id": names[rows], "recipe_id": ids[cols], "preference_score": pts[rows, cols]})
 
     types = {f.name: f.dataType.simpleString() for f in item_factors.schema}
-    flat = grid.drop("_ub", "_ib").mapInPandas(
+    flat = grid.drop("_ub", "_ib", "_s").mapInPandas(
         score, f"user_id string, recipe_id {types['recipe_id']}, preference_score double")
     allowed = flat.join(excluded.select("user_id", "recipe_id").distinct(), ["user_id", "recipe_id"], "left_anti")
     return topn(allowed, n)

@@ -117,10 +117,18 @@ def join_popularity(items: DataFrame, stats: DataFrame) -> DataFrame:
 
 def trending(interactions: DataFrame, now: str, days: int = vocab.TRENDING_DAYS, cap: int = vocab.TRENDING_CAP,
              n: int = vocab.TRENDING_LIMIT, kinds: Sequence[str] = vocab.POSITIVE_TYPES) -> DataFrame:
-    """Most used recipes of the last days, over at most the `cap` newest positive rows."""
+    """Most used recipes of the last days, over at most the `cap` newest positive rows.
+
+    Counts per minute tell the minute in which the cap is reached; only rows from there on are sorted,
+    so the sort sees the cap and one minute more, not the top of every partition.
+    """
     end = F.lit(now).cast("timestamp")
-    recent = (interactions.where(F.col("interaction_type").isin(*kinds)
-                                 & (F.col("created_at") >= end - F.make_dt_interval(F.lit(days))))
+    week = interactions.where(F.col("interaction_type").isin(*kinds)
+                              & (F.col("created_at") >= end - F.make_dt_interval(F.lit(days))))
+    minutes = week.groupBy(F.date_trunc("minute", "created_at").alias("m")).agg(F.count(F.lit(1)).alias("c"))
+    newest_first = W.orderBy(F.col("m").desc()).rowsBetween(W.unboundedPreceding, 0)
+    cut = minutes.withColumn("upto", F.sum("c").over(newest_first)).where(F.col("upto") >= cap).agg(F.max("m")).scalar()
+    recent = (week.withColumn("_cut", cut).where(F.col("_cut").isNull() | (F.col("created_at") >= F.col("_cut")))
               .orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(cap))
     counts = recent.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("cnt"), F.max("created_at").alias("newest"))
     top = counts.orderBy(F.col("cnt").desc(), F.col("newest").desc(), "recipe_id").limit(n)

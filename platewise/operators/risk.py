@@ -155,7 +155,7 @@ def symptom_features(pairs: DataFrame, recipes: DataFrame, triggers: DataFrame,
     sin, cos = num.time_cyclic(F.col("at"))
     opt = lambda c: num.optional_float(F.col(c), 0.0) if c in pairs.columns else F.lit(None).cast("double")
     source = F.lower(F.trim(F.coalesce("nutrition_source", F.lit("")))) if "nutrition_source" in pairs.columns else F.lit("")
-    grams = source.isin("manual", "gemini_estimate")
+    grams = source.isin(*vocab.GRAM_SOURCES)
     confid = opt("nutrition_confidence")
     logged = {
         "logged_calories": opt("calories"), "logged_protein_g": F.when(grams, opt("protein_g")),

@@ -127,6 +127,10 @@ KEYWORD_PRIORS = {
 }
 KEYWORD_DEFAULT = 0.08
 
+# ---- fixed values: sources of meal nutrition; macros in grams come from the second list only
+NUTRITION_SOURCES = ("manual", "catalog_recipe", "gemini_estimate")
+GRAM_SOURCES = ("manual", "gemini_estimate")
+
 # ---- fixed values: risk attribution ------------------------------------------
 WINDOW_HOURS = 48
 DECAY_HOURS = 18.0
