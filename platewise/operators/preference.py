@@ -102,7 +102,7 @@ def fit_hybrid(positive: DataFrame, item_features: DataFrame, user_features: Dat
     positives.
     """
     weights = positive.groupBy("user_id", "recipe_id").agg(F.max("rating").alias("r"))
-    uf, itf = _als(weights, rank, iters, True, reg, seed)
+    uf, itf = (write_and_read(f, "als") for f in _als(weights, rank, iters, True, reg, seed))
     cold_items = catalog.select("recipe_id").distinct().join(itf, "recipe_id", "left_anti")
     cold_users = users.select("user_id").distinct().join(uf, "user_id", "left_anti")
     items = itf.unionByName(feature_projection(item_features, itf, "recipe_id", cold_items))
