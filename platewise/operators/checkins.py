@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -90,35 +91,44 @@ def checkin_evidence(checkins: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def ewma_step(grade: float, confidence: float, n: int, severity: float, freq: float, evidence: float) -> tuple[float, float, int]:
-    """One check-in on one ingredient; both numbers are kept to four places after every step."""
+    """One check-in on one ingredient; both numbers are kept to four places after every step, rounded
+    from their exact value, ties up."""
     rate = min(0.35, 1.0 / (n + 2))
     if severity > 0.2:
         grade = grade * (1 - rate) + evidence * rate
     else:
         grade = grade * (1 - rate * freq * (1 - severity))
     grade = max(0.0, min(1.0, grade))
-    return round(grade, 4), round(min(1.0, confidence + 0.08 + 0.04 * freq), 4), n + 1
+    four = lambda x: float(Decimal(x).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+    return four(grade), four(min(1.0, confidence + 0.08 + 0.04 * freq)), n + 1
 
 
 def checkin_grades(evidence: DataFrame) -> DataFrame:
     """Grades after all check-ins, in time order.
 
     The update depends on order and is rounded at each step, so each (user, ingredient) is one
-    sequential pass; rows stream through in Arrow batches and only the running state is held.
+    sequential pass.  Partitions are sorted by key and time and stream through in Arrow batches; only
+    the state of the current key is held.
     """
     keys = ["user_id", "ingredient_name"]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [*keys, "grade", "confidence", "evidence_count"]
         state, key = (0.0, 0.0, 0), None
         for pdf in batches:
+            done = []
             for r in pdf.itertuples(index=False):
-                key = (r.user_id, r.ingredient_name)
+                if (r.user_id, r.ingredient_name) != key:
+                    if key is not None:
+                        done.append((*key, *state))
+                    state, key = (0.0, 0.0, 0), (r.user_id, r.ingredient_name)
                 state = ewma_step(*state, r.severity, r.freq, r.evidence)
+            yield pd.DataFrame(done, columns=names)
         if key is not None:
-            yield pd.DataFrame([(*key, *state)], columns=[*keys, "grade", "confidence", "evidence_count"])
+            yield pd.DataFrame([(*key, *state)], columns=names)
 
     ordered = evidence.repartition(*keys).sortWithinPartitions(*keys, "created_at", "checkin_id")
-    return ordered.select(*keys, "severity", "freq", "evidence").groupBy(*keys).applyInPandas(
+    return ordered.select(*keys, "severity", "freq", "evidence").mapInPandas(
         fold, "user_id string, ingredient_name string, grade double, confidence double, evidence_count long")
 
 

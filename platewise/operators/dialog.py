@@ -25,7 +25,7 @@ def classify_food(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
     term = tx.normalize_text(F.col("term"))
     forms = F.when(term.contains(" "), F.array(term)).otherwise(F.array(term, F.concat(term, F.lit("s")), F.concat(term, F.lit("es"))))
     phrases = vocabulary.select(F.explode(forms).alias("phrase")).where("phrase != ''").distinct()
-    hits = phrase_hits(base.where("kind is null").select("id", "_n"), phrases, "_n").select("id").distinct().withColumn("_f", F.lit(True))
+    hits = phrase_hits(base.where("kind is null").select("id", "_n"), phrases, "_n", bulk=True).select("id").distinct().withColumn("_f", F.lit(True))
     return base.join(hits, "id", "left").select(
         "id", F.coalesce("kind", F.when(F.col("_f").isNotNull(), "food").otherwise("not_food")).alias("kind"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import vocab
 from ..functions import text as tx
+from ..session import small_or_shuffled
 from .catalog import recipe_ingredients
 
 
@@ -16,12 +17,15 @@ def alias_frame(spark: SparkSession, aliases: Mapping[str, Sequence[str]], key:
     return spark.createDataFrame(rows, f"{key} string, phrase string")
 
 
-def phrase_hits(texts: DataFrame, phrases: DataFrame, text_col: str, phrase_col: str = "phrase") -> DataFrame:
+def phrase_hits(texts: DataFrame, phrases: DataFrame, text_col: str, phrase_col: str = "phrase", bulk: bool = False) -> DataFrame:
     """Rows of `texts` joined to the phrases their text contains, token-bounded.
 
     Every text is expanded to its token n-grams, up to the longest phrase of the table, and meets
-    the phrases by equality.
+    the phrases by equality.  With `bulk`, for whole documents, the phrases are counted first and
+    broadcast if they are few, so that the n-grams are dropped where they arise.
     """
+    if bulk:
+        phrases = small_or_shuffled(phrases)
     longest = phrases.agg(F.max(F.size(F.split(phrase_col, " ")))).scalar()
     grams = (texts.withColumn("_longest", F.coalesce(longest, F.lit(1)))
              .withColumn("_tok", F.split(text_col, " "))
@@ -141,7 +145,7 @@ def ingredient_groups(dictionary: DataFrame, aliases: Mapping[str, Sequence[str]
         other_flour = other_flour | tx.has_phrase(F.col("normalized_name"), tx.normalize_ingredient(F.lit(m)))
     views = (two_views(dictionary, dairy_markers).withColumnRenamed("masked", "_m")
              .withColumn("_other_flour", other_flour))
-    hits = phrase_hits(views, phrases, "view").where(
+    hits = phrase_hits(views, F.broadcast(phrases), "view").where(  # as long as the alias table in code
         (F.col("_m") == F.col("masked")) & ~(F.col("flour") & F.col("_other_flour")))
     return hits.groupBy("normalized_name").agg(F.array_sort(F.collect_set("grp")).alias("groups"))
 
@@ -176,7 +180,7 @@ def alias_matches(texts: DataFrame, catalog: DataFrame) -> DataFrame:
     phrases = base.select("ingredient_name", F.explode(F.array(
         F.col("a"), F.concat("a", F.lit("s")), F.concat("a", F.lit("es")))).alias("phrase")).distinct()
     clean = texts.select("id", tx.normalize_text(F.col("text")).alias("_text"))
-    return phrase_hits(clean, phrases, "_text").select("id", "ingredient_name").distinct()
+    return phrase_hits(clean, phrases, "_text", bulk=True).select("id", "ingredient_name").distinct()
 
 
 def annotate_gentle(pairs: DataFrame, recipes: DataFrame, easier: DataFrame) -> DataFrame:

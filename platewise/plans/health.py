@@ -201,7 +201,7 @@ def _examples(d: Domain):
     labels = context.match_meals_to_outcomes(d.meals, context.explicit_outcomes(d.reports))
     feats = _features(d, with_risk=False)
     return feats.join(labels.select(F.col("meal_id").cast("string").alias("ref_id"), "meal_id", "logged_at", "outcome_at", "label"), "ref_id").select(
-        "meal_id", "user_id", "logged_at", "outcome_at", "label", *context.feature_columns())
+        "meal_id", "user_id", "logged_at", "outcome_at", "label", "ingredient_risk_score", *context.feature_columns())
 
 
 @query("split_group_disjoint")

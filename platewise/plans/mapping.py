@@ -39,6 +39,7 @@ def pick(values, index: Column) -> Column:
 class Domain:
     def __init__(self, spark: SparkSession, base: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
         self.spark, self.base, self._kept = spark, base, {}
 
     def kept(self, name: str) -> DataFrame:

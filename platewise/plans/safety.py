@@ -34,7 +34,7 @@ _HITS = f"SELECT t.nn, s.name FROM (SELECT DISTINCT nn FROM ri) t JOIN (SELECT D
 def join_phrase_match(d: Domain):
     texts = d.table("documents").select(F.col("doc_id").alias("id"), tx.normalize_ingredient(F.col("text")).alias("t"))
     words = d.table("part").select(F.explode(F.array("p_name", F.split("p_name", " ")[0], F.lit("of the"), F.lit("and in the"))).alias("phrase")).distinct()
-    return matching.phrase_hits(texts, words, "t").select("id", "phrase").distinct()
+    return matching.phrase_hits(texts, words, "t", bulk=True).select("id", "phrase").distinct()
 
 
 @query("join_bidirectional_match", sql("""
@@ -187,7 +187,22 @@ def agg_checkin_evidence(d: Domain):
     return ck.checkin_evidence(d.checkins, d.ingredient_catalog).select("checkin_id", "ingredient_name", "c1", "c2", "c3", "freq", "evidence")
 
 
-@query("checkin_grades")
+GRADE_DEPS = ("checkins", "ingredient_catalog")
+GRADE_CTES = {"foods": """SELECT checkin_id, user_id, created_at, sev, w, unnest(l) AS food, generate_subscripts(l, 1) AS idx FROM (SELECT checkin_id, user_id, created_at, sev, 0 AS w, w0 AS l FROM checkins
+        UNION ALL SELECT checkin_id, user_id, created_at, sev, 1, w1 FROM checkins UNION ALL SELECT checkin_id, user_id, created_at, sev, 2, w2 FROM checkins)""",
+    "proof": f"""SELECT *, sev * f AS e FROM (SELECT *, least(1.0, (c1 + 0.65 * c2 + 0.35 * c3) / 3)::DOUBLE AS f FROM (
+        SELECT f.checkin_id, f.user_id, f.created_at, f.sev::DOUBLE AS sev, c.ingredient_name, count(DISTINCT idx) FILTER (w = 0) AS c1, count(DISTINCT idx) FILTER (w = 1) AS c2, count(DISTINCT idx) FILTER (w = 2) AS c3
+        FROM (SELECT *, {n_text('food')} AS t FROM foods) f JOIN (SELECT ingredient_name, unnest(list_concat([ingredient_name], aliases)) AS a FROM ingredient_catalog) c
+        ON {has('f.t', 'c.a')} OR {has('f.t', "c.a || 's'")} OR {has('f.t', "c.a || 'es'")} GROUP BY ALL))""",
+    "steps": "SELECT *, row_number() OVER (PARTITION BY user_id, ingredient_name ORDER BY created_at, checkin_id) AS i FROM proof",
+    "run": """SELECT user_id, ingredient_name, 0::BIGINT AS i, 0.0::DOUBLE AS g, 0.0::DOUBLE AS c FROM steps WHERE i = 1
+        UNION ALL SELECT r.user_id, r.ingredient_name, s.i, printf('%.4f', CASE WHEN s.sev > 0.2 THEN r.g * (1 - least(0.35::DOUBLE, 1.0::DOUBLE / (r.i + 2))) + s.e * least(0.35::DOUBLE, 1.0::DOUBLE / (r.i + 2))
+            ELSE r.g * (1 - least(0.35::DOUBLE, 1.0::DOUBLE / (r.i + 2)) * s.f * (1 - s.sev)) END)::DOUBLE, printf('%.4f', least(1.0::DOUBLE, r.c + 0.08::DOUBLE + 0.04::DOUBLE * s.f))::DOUBLE
+        FROM run r JOIN steps s ON s.user_id = r.user_id AND s.ingredient_name = r.ingredient_name AND s.i = r.i + 1"""}
+GRADES = "SELECT user_id, ingredient_name, g AS grade, c AS confidence, i AS evidence_count FROM run QUALIFY row_number() OVER (PARTITION BY user_id, ingredient_name ORDER BY i DESC) = 1"
+
+
+@query("checkin_grades", sql(GRADES, *GRADE_DEPS, **GRADE_CTES))
 def checkin_grades(d: Domain):
     return ck.checkin_grades(ck.checkin_evidence(d.checkins, d.ingredient_catalog))
 

@@ -13,6 +13,7 @@ from ..streaming import jobs
 from .health import _EVIDENCE, _PAIRS
 from .mapping import TRAINED_AT, Domain, n_ing, r6, sql, status, ts
 from .registry import query
+from .safety import GRADE_CTES, GRADE_DEPS, GRADES
 
 
 def _as_stream(d: Domain, df, name: str, parts: int = 4, order: str | None = None):
@@ -60,9 +61,9 @@ def stream_risk_state(d: Domain):
     return jobs.current_risks(d.spark, root)
 
 
-@query("stream_checkin_ewma")
+@query("stream_checkin_ewma", sql(GRADES, *GRADE_DEPS, **GRADE_CTES))
 def stream_checkin_ewma(d: Domain):
-    """Final grades; the tests compare them with the batch fold."""
+    """Final grades after all batches."""
     rows = ck.checkin_evidence(d.checkins, d.ingredient_catalog).select(
         "user_id", "ingredient_name", "checkin_id", "created_at", "severity", "freq", "evidence")
     root = scratch_path(d.spark, "grades")

@@ -13,7 +13,7 @@ from .mapping import LI_TRAINED_AT, NOW, Domain, lst, n_ing, n_text, r6, sql, ts
 from .registry import query
 
 
-@query("ingest_csv")
+@query("ingest_csv", f"""SELECT 'a "b", ' || o_orderpriority AS note, count(*) AS n, {r6('sum(o_totalprice)')} AS total FROM orders GROUP BY 1""")
 def ingest_csv(d: Domain):
     """Orders written as CSV with quoted commas, then read back by schema."""
     path = scratch_path(d.spark, "csv")
@@ -47,7 +47,8 @@ def project_recipe_row(d: Domain):
     return catalog.project_recipe_row(d.recipes)
 
 
-@query("scan_lookup_fodmap")
+@query("scan_lookup_fodmap", """
+    SELECT p_type || ', all kinds' AS food_group, CASE WHEN length(p_type) > 5 THEN 'Fructans' ELSE 'Lactose' END AS fodmap_category, 'High' AS fodmap_severity, count(*) AS n_parts FROM part GROUP BY ALL""")
 def scan_lookup_fodmap(d: Domain):
     """Food-group lookup as a CSV file, joined to all parts by type."""
     path = scratch_path(d.spark, "lookup")
@@ -135,7 +136,7 @@ def sink_upsert(d: Domain):
     return sinks.upsert(current, updates, ["user_id", "ingredient_name"], "exposure_count")
 
 
-@query("sink_versioned_artifact")
+@query("sink_versioned_artifact", sql(f"SELECT count(*) AS n_items, {r6('sum(bias)')} AS bias_sum, 'factors@20240120T0000' AS model_name FROM item_factors", "item_factors"))
 def sink_versioned_artifact(d: Domain):
     """Two generations of factors; the reader follows the newest."""
     root = scratch_path(d.spark, "factors")

@@ -20,6 +20,8 @@ def build_session(app: str = "platewise", master: str | None = None, **conf) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Local times in files are taken as UTC instants on read, so that time filters reach the scan.
+        "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
         "spark.ui.enabled": "false",
     }
     settings.update(conf)
