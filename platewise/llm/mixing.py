@@ -97,3 +97,22 @@ def _place(placed: DataFrame) -> DataFrame:
 def digest(value: Column, seed: str) -> Column:
     """md5 of seed and value as hex: the same in SQL, and its first 13 digits are exact in a double."""
     return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(value.cast("string"), F.lit("null"))))
+
+
+def emit(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS,
+         share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """The documents as often as the mix takes them, all columns; documents without a copy go.
+
+    Rows of one doc_id, source and size are told apart by a number, so that repeated rows meet their own copies.
+    """
+    def keyed(df: DataFrame, *key: Column) -> DataFrame:
+        names = [f"__k{i}" for i in range(len(key))]
+        df = df.withColumns(dict(zip(names, key)))
+        return df.withColumn("__k3", F.row_number().over(W.partitionBy(names[0]).orderBy(*names[1:])))
+
+    left = keyed(docs, F.col(doc_id), F.col(source), word_count(text))
+    right = keyed(mix(docs, doc_id, source, text, weights, share, most, seed).where("copies is not null"), F.col("doc_id"), F.col("source"), F.col("size"))
+    right = right.select(F.col("__k0").alias("__r0"), F.col("__k3").alias("__r3"), F.col("copies").alias("__copies"))
+    joined = left.join(right, F.col("__k0").eqNullSafe(F.col("__r0")) & (F.col("__k3") == F.col("__r3"))).where("__copies > 0")
+    return (joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .checks import SQL
 from .common import table
+from .cotraining import classify
 from .mixing import mix
+from .packing import pack
+from .secrets import scan
 from .simhash import near_duplicates
 
 
@@ -16,8 +19,21 @@ def op1_simhash_near_dedup(spark: SparkSession, base: str) -> DataFrame:
     return near_duplicates(table(spark, base, "documents"))
 
 
+def op3_packing(spark: SparkSession, base: str) -> DataFrame:
+    return pack(table(spark, base, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+def op5_quality_classifier(spark: SparkSession, base: str) -> DataFrame:
+    return classify(table(spark, base, "documents"), table(spark, base, "labels"))
+
+
 def op8_mix_sources(spark: SparkSession, base: str) -> DataFrame:
     return mix(table(spark, base, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op8_mix_sources)}
+def op9_secret_scans(spark: SparkSession, base: str) -> DataFrame:
+    return scan(table(spark, base, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_simhash_near_dedup, op3_packing, op5_quality_classifier, op8_mix_sources, op9_secret_scans)}
