@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -15,20 +16,27 @@ from .common import batches, binary_views
 #: Bounds of what the fit reads, whatever the size of the tables: labelled rows, unlabelled rows of the pool.
 LABELLED, POOL = 6000, 6000
 ROUNDS, EACH = 4, 400
-TEXT_DIMS, META_DIMS = 1024, 128
+PAIRS, META_DIMS = 1024, 128
+TEXT_DIMS = PAIRS + 2
+#: Added to the number of byte pairs, so that the shares of very short texts are not taken at face value.
+PRIOR = 100
 
 
 def text_features(column: pa.Array) -> np.ndarray:
-    """Square roots of the shares of byte pairs in hashed places, over whole texts; empty texts are all zero."""
+    """Square roots of the shares of byte pairs in hashed places, the share of words that repeat the one before and
+    of words that came before at all, over whole texts; empty texts are all zero."""
     offsets, data = binary_views(column)
     out = np.zeros((len(column), TEXT_DIMS), np.float32)
     for row, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:])):
         for at in range(lo, hi - 1, 1 << 22):  # long texts in stretches that share one byte
             part = data[at:min(hi, at + (1 << 22) + 1)].astype(np.uint32)
             place = ((part[:-1] << 8 | part[1:]) * np.uint32(2654435761)) >> np.uint32(22)
-            out[row] += np.bincount(place, minlength=TEXT_DIMS)
-        if hi - lo > 1:
-            out[row] = np.sqrt(out[row] / (hi - lo - 1))
+            out[row, :PAIRS] += np.bincount(place, minlength=PAIRS)
+        out[row] = np.sqrt(out[row] / (max(0, hi - lo - 1) + PRIOR))
+        words = data[lo:hi].tobytes().split()
+        if words:
+            out[row, PAIRS] = 2 * sum(map(eq, words, words[1:])) / len(words)
+            out[row, PAIRS + 1] = 1 - len(set(words)) / len(words)
     return out
 
 
