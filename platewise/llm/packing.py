@@ -60,7 +60,7 @@ def pack(docs: DataFrame, path: str, end: int = 1, length: int = LENGTH, doc_id:
 
 
 def sequences(pieces: DataFrame, pad: int = 0, length: int = LENGTH) -> DataFrame:
-    """sequence_id, ids (array of `length` ids), segments (doc_id, offset, length of each piece) for training.  The
+    """sequence_id, ids (array of `length` ids), segments (doc_id, length, offset of each piece) for training.  The
     last sequence is padded to the next power of two only, as a window of its own size."""
     kind = pieces.schema["doc_id"].dataType.simpleString()
     ordered = pieces.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "length", "doc_id", "ids"))).alias("parts"))
@@ -73,7 +73,7 @@ def sequences(pieces: DataFrame, pad: int = 0, length: int = LENGTH) -> DataFram
                 size = min(length, 1 << max(0, len(ids) - 1).bit_length())
                 out["sequence_id"].append(row["sequence_id"])
                 out["ids"].append(np.pad(ids, (0, size - len(ids)), constant_values=pad))
-                out["segments"].append([{n: p[n] for n in ("doc_id", "offset", "length")} for p in row["parts"]])
+                out["segments"].append([{n: p[n] for n in ("doc_id", "length", "offset")} for p in row["parts"]])
             yield pa.RecordBatch.from_pydict(out)
 
-    return ordered.mapInArrow(run, f"sequence_id long, ids array<int>, segments array<struct<doc_id: {kind}, offset: long, length: long>>")
+    return ordered.mapInArrow(run, f"sequence_id long, ids array<int>, segments array<struct<doc_id: {kind}, length: long, offset: long>>")

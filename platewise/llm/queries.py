@@ -7,10 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch_path
 from .common import table
 from .cotraining import classify
 from .mixing import mix
 from .packing import pack
+from .ppm import score_documents
+from .rans import read_ids, write_ids
 from .secrets import scan
 from .simhash import near_duplicates
 
@@ -19,10 +22,20 @@ def op1_simhash_near_dedup(spark: SparkSession, base: str) -> DataFrame:
     return near_duplicates(table(spark, base, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, base: str) -> DataFrame:
+    return score_documents(table(spark, base, "documents"))
+
+
 def op3_packing(spark: SparkSession, base: str) -> DataFrame:
     return pack(table(spark, base, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op4_token_files(spark: SparkSession, base: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    write_ids(table(spark, base, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path, f"{path}-unordered")
+    return read_ids(spark, path, with_ids=False)
+
+
 def op5_quality_classifier(spark: SparkSession, base: str) -> DataFrame:
     return classify(table(spark, base, "documents"), table(spark, base, "labels"))
 
@@ -36,4 +49,4 @@ def op9_secret_scans(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op3_packing, op5_quality_classifier, op8_mix_sources, op9_secret_scans)}
+    op1_simhash_near_dedup, op2_lm_scoring, op3_packing, op4_token_files, op5_quality_classifier, op8_mix_sources, op9_secret_scans)}
