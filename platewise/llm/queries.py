@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import scratch_path
 from .common import table
 from .cotraining import classify
+from .imatch import fingerprints
 from .mixing import mix
 from .packing import pack
 from .ppm import score_documents
@@ -40,6 +41,10 @@ def op5_quality_classifier(spark: SparkSession, base: str) -> DataFrame:
     return classify(table(spark, base, "documents"), table(spark, base, "labels"))
 
 
+def op6_document_fingerprints(spark: SparkSession, base: str) -> DataFrame:
+    return fingerprints(table(spark, base, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, base: str) -> DataFrame:
     return mix(table(spark, base, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,4 +54,4 @@ def op9_secret_scans(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_lm_scoring, op3_packing, op4_token_files, op5_quality_classifier, op8_mix_sources, op9_secret_scans)}
+    op1_simhash_near_dedup, op2_lm_scoring, op3_packing, op4_token_files, op5_quality_classifier, op6_document_fingerprints, op8_mix_sources, op9_secret_scans)}
