@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
+from .ann import search
 from .common import table
 from .cotraining import classify
 from .imatch import fingerprints
@@ -53,5 +54,9 @@ def op9_secret_scans(spark: SparkSession, base: str) -> DataFrame:
     return scan(table(spark, base, "documents"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, base: str) -> DataFrame:
+    return search(table(spark, base, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_lm_scoring, op3_packing, op4_token_files, op5_quality_classifier, op6_document_fingerprints, op8_mix_sources, op9_secret_scans)}
+    op1_simhash_near_dedup, op2_lm_scoring, op3_packing, op4_token_files, op5_quality_classifier, op6_document_fingerprints, op8_mix_sources, op9_secret_scans, op10_nearest_neighbours)}
