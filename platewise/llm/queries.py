@@ -12,6 +12,7 @@ from .ann import search
 from .common import table
 from .cotraining import classify
 from .imatch import fingerprints
+from .licenses import scan_licenses
 from .mixing import mix
 from .packing import pack
 from .ppm import score_documents
@@ -46,6 +47,10 @@ def op6_document_fingerprints(spark: SparkSession, base: str) -> DataFrame:
     return fingerprints(table(spark, base, "documents"))
 
 
+def op7_license_scans(spark: SparkSession, base: str) -> DataFrame:
+    return scan_licenses(table(spark, base, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, base: str) -> DataFrame:
     return mix(table(spark, base, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -59,4 +64,4 @@ def op10_nearest_neighbours(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_lm_scoring, op3_packing, op4_token_files, op5_quality_classifier, op6_document_fingerprints, op8_mix_sources, op9_secret_scans, op10_nearest_neighbours)}
+    op1_simhash_near_dedup, op2_lm_scoring, op3_packing, op4_token_files, op5_quality_classifier, op6_document_fingerprints, op7_license_scans, op8_mix_sources, op9_secret_scans, op10_nearest_neighbours)}
