@@ -108,3 +108,10 @@ def half_up(c: Column, digits: int = 0) -> Column:
     """floor(x + .5), the rounding of the client side."""
     k = float(10 ** digits)
     return F.floor(c * k + 0.5) / k
+
+
+def hash_unit(*cols: Column, seed: int = 42) -> Column:
+    """Deterministic number in [0, 1) for splits and samples: eight md5 digits of the seed and the columns, so that
+    any engine with md5 draws the same."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols]))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(float(2**32))

@@ -78,11 +78,11 @@ def recipe_ingredients(recipes: DataFrame) -> DataFrame:
             .withColumn("normalized_name", tx.normalize_ingredient(F.col("ingredient_name"))))
 
 
-def item_features(recipes: DataFrame, max_ingredients: int = 24) -> DataFrame:
-    """Weighted feature rows of every recipe: recipe_id, feature, weight."""
+def item_features(recipes: DataFrame, max_ingredients: int | None = None) -> DataFrame:
+    """Weighted feature rows of every recipe: recipe_id, feature, weight; of the first ingredients only if a limit is given."""
     clean = F.filter(F.array_distinct(F.transform(
         F.coalesce(F.col("ingredients"), F.array().cast("array<string>")), lambda x: tx.normalize_text(x))), lambda x: x != "")
-    base = recipes.withColumn("_ing", F.slice(clean, 1, max_ingredients))
+    base = recipes.withColumn("_ing", clean if max_ingredients is None else F.slice(clean, 1, max_ingredients))
     entry = lambda name, weight: F.struct(name.alias("feature"), F.lit(weight).cast("double").alias("weight"))
     share = 1.0 / F.size("_ing")
     named = F.when(F.size("_ing") > 0, F.transform(
@@ -196,7 +196,7 @@ def diverse_titles(recipes: DataFrame, n: int) -> DataFrame:
 
 def random_pool(recipes: DataFrame, n: int, seed: int = 7) -> DataFrame:
     """Distinct recipes in seeded random order."""
-    return recipes.dropDuplicates(["recipe_id"]).orderBy(F.xxhash64(F.lit(seed), "recipe_id"), "recipe_id").limit(n)
+    return recipes.dropDuplicates(["recipe_id"]).orderBy(num.hash_unit(F.col("recipe_id"), seed=seed), "recipe_id").limit(n)
 
 
 def sync_ingredients(recipes: DataFrame) -> tuple[DataFrame, DataFrame]:

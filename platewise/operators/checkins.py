@@ -13,24 +13,29 @@ from ..functions import numbers as num, text as tx
 from .matching import alias_matches
 
 
-def clean_foods(c, limit: int = 25):
-    return F.slice(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)),
-                            lambda x: x.isNotNull() & (x != "")), 1, limit)
+def clean_foods(c):
+    return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
-def validate_checkins(raw: DataFrame) -> DataFrame:
+def validate_checkins(raw: DataFrame, most_foods: int | None = None, most_symptoms: int | None = None) -> DataFrame:
     """Clean lists and decide validity: a finite severity; a complete one needs a summary and food in
-    all three windows."""
+    all three windows.  Lists longer than the limits, if any are given, make a check-in invalid; nothing is cut."""
     sev = F.col("severity").try_cast("double")
     out = raw.select(
         "checkin_id", "user_id", "created_at", num.clamp01(sev).alias("severity"), num.is_finite(sev).alias("_fin"),
-        F.slice(F.coalesce("symptoms", F.array().cast("array<string>")), 1, 8).alias("symptoms"),
+        F.coalesce("symptoms", F.array().cast("array<string>")).alias("symptoms"),
         F.trim(F.coalesce("summary", F.lit(""))).alias("summary"), F.coalesce("complete", F.lit(False)).alias("complete"),
         *[clean_foods(F.try_element_at("food_windows", F.lit(w))).alias(w) for w in vocab.CHECKIN_WINDOWS])
     full = (F.col("summary") != "")
     for w in vocab.CHECKIN_WINDOWS:
         full = full & (F.size(w) > 0)
-    return out.withColumn("valid", F.col("_fin") & (~F.col("complete") | full)).drop("_fin")
+    fits = F.lit(True)
+    if most_foods is not None:
+        for w in vocab.CHECKIN_WINDOWS:
+            fits = fits & (F.size(w) <= most_foods)
+    if most_symptoms is not None:
+        fits = fits & (F.size("symptoms") <= most_symptoms)
+    return out.withColumn("valid", F.col("_fin") & (~F.col("complete") | full) & fits).drop("_fin")
 
 
 def checkin_foods(checkins: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ def split_group_disjoint(examples: DataFrame, tries: int = 24, frac: float = 0.2
     users = examples.groupBy("user_id").agg(F.count_if(F.col("label") == 1).alias("p"),
                                             F.count_if(F.col("label") == 0).alias("q"))
     draws = (users.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-             .withColumn("test", F.pmod(F.xxhash64("user_id", "try"), F.lit(10_000)) < int(frac * 10_000)))
+             .withColumn("test", num.hash_unit(F.col("user_id"), F.col("try"), seed=0) < frac))
     side = lambda c, t: F.sum(F.when(F.col("test") == t, F.col(c)).otherwise(0))
     valid = (draws.groupBy("try").agg(side("p", False).alias("tp"), side("q", False).alias("tq"),
                                       side("p", True).alias("ep"), side("q", True).alias("eq"))
@@ -131,7 +131,7 @@ def split_group_disjoint(examples: DataFrame, tries: int = 24, frac: float = 0.2
              .agg(F.min("try").alias("try")))
     chosen = valid.scalar()
     marked = (examples.withColumn("_try", chosen)
-              .withColumn("_test", F.pmod(F.xxhash64("user_id", "_try"), F.lit(10_000)) < int(frac * 10_000)))
+              .withColumn("_test", num.hash_unit(F.col("user_id"), F.col("_try"), seed=0) < frac))
     grouped = (marked.where(F.col("_try").isNotNull())
                .withColumn("part", F.when(F.col("_test"), "test").otherwise("train"))
                .withColumn("strategy", F.lit("group_disjoint")).drop("_try", "_test"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import vocab
-from ..functions.numbers import is_finite
+from ..functions.numbers import hash_unit, is_finite
 
 
 def weight_of(kind: Column, weights: Mapping[str, float], default: float) -> Column:
@@ -115,22 +115,13 @@ def join_popularity(items: DataFrame, stats: DataFrame) -> DataFrame:
         0, subset=["review_count", "rating_var", "rating_mean"])
 
 
-def trending(interactions: DataFrame, now: str, days: int = vocab.TRENDING_DAYS, cap: int = vocab.TRENDING_CAP,
-             n: int = vocab.TRENDING_LIMIT, kinds: Sequence[str] = vocab.POSITIVE_TYPES) -> DataFrame:
-    """Most used recipes of the last days, over at most the `cap` newest positive rows.
-
-    Counts per minute tell the minute in which the cap is reached; only rows from there on are sorted,
-    so the sort sees the cap and one minute more, not the top of every partition.
-    """
+def trending(interactions: DataFrame, now: str, days: int = vocab.TRENDING_DAYS, n: int = vocab.TRENDING_LIMIT,
+             kinds: Sequence[str] = vocab.POSITIVE_TYPES) -> DataFrame:
+    """The n most used recipes of the last days: one partial aggregate over the whole window."""
     end = F.lit(now).cast("timestamp")
     week = interactions.where(F.col("interaction_type").isin(*kinds)
                               & (F.col("created_at") >= end - F.make_dt_interval(F.lit(days))))
-    minutes = week.groupBy(F.date_trunc("minute", "created_at").alias("m")).agg(F.count(F.lit(1)).alias("c"))
-    newest_first = W.orderBy(F.col("m").desc()).rowsBetween(W.unboundedPreceding, 0)
-    cut = minutes.withColumn("upto", F.sum("c").over(newest_first)).where(F.col("upto") >= cap).agg(F.max("m")).scalar()
-    recent = (week.withColumn("_cut", cut).where(F.col("_cut").isNull() | (F.col("created_at") >= F.col("_cut")))
-              .orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(cap))
-    counts = recent.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("cnt"), F.max("created_at").alias("newest"))
+    counts = week.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("cnt"), F.max("created_at").alias("newest"))
     top = counts.orderBy(F.col("cnt").desc(), F.col("newest").desc(), "recipe_id").limit(n)
     w = W.orderBy(F.col("cnt").desc(), F.col("newest").desc(), "recipe_id")
     return top.withColumn("rn", F.row_number().over(w)).select("recipe_id", "cnt", "rn")
@@ -163,11 +154,6 @@ def latest_saved(interactions: DataFrame, lists: DataFrame) -> DataFrame:
     return newest.join(home, "user_id").select("user_id", "recipe_id", "cooklist_id", "created_at")
 
 
-def hash_unit(*cols: Column, seed: int = 42) -> Column:
-    """Deterministic number in [0, 1) for splits and samples."""
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1_000_000)) / 1_000_000.0
-
-
 def split_train_test(ratings: DataFrame, frac: float = 0.2, seed: int = 42) -> DataFrame:
     u = hash_unit(F.col("user_id"), F.col("recipe_id"), seed=seed)
     return ratings.withColumn("part", F.when(u < frac, "test").otherwise("train"))
@@ -175,4 +161,4 @@ def split_train_test(ratings: DataFrame, frac: float = 0.2, seed: int = 42) -> D
 
 def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
     """The n rows (or users) with the smallest seeded hash."""
-    return (df.withColumn("_u", F.xxhash64(F.lit(seed), *keys)).orderBy("_u", *keys).limit(n).drop("_u"))
+    return (df.withColumn("_u", hash_unit(*map(F.col, keys), seed=seed)).orderBy("_u", *keys).limit(n).drop("_u"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..operators import catalog, content, context, evaluation, ranking, ratings
-from .mapping import LI_TRAINED_AT, NOW, Domain, day, r6, sql, ts
+from .mapping import LI_TRAINED_AT, NOW, Domain, day, md5_unit, r6, sql, ts
 from .registry import query
 
 
@@ -72,10 +72,10 @@ def join_popularity_stats(d: Domain):
 
 @query("agg_trending_7d", sql(f"""
     SELECT recipe_id, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, max(created_at) DESC, recipe_id) AS rn FROM (
-        SELECT * FROM app_log WHERE interaction_type IN ('liked', 'saved', 'started', 'completed') AND created_at >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY ORDER BY created_at DESC, id DESC LIMIT 800)
+        SELECT * FROM app_log WHERE interaction_type IN ('liked', 'saved', 'started', 'completed') AND created_at >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY)
     GROUP BY 1 QUALIFY rn <= 60""", "app_log"))
 def agg_trending_7d(d: Domain):
-    return ratings.trending(d.app_log, NOW, cap=800, n=60)
+    return ratings.trending(d.app_log, NOW, n=60)
 
 
 @query("agg_interaction_counts", sql("""
@@ -173,14 +173,14 @@ def exclude_logged_recipes(d: Domain):
     return content.exclude_logged(d.pairs, d.meals)
 
 
-# ---- splits and samples: seeded hashes of this engine, no SQL twin -----------------------------------
+# ---- splits and samples by seeded md5 ------------------------------------------------------------------
 
-@query("split_train_test")
+@query("split_train_test", sql(f"SELECT CASE WHEN {md5_unit(42, 'user_id', 'recipe_id')} < 0.2 THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM ratings GROUP BY 1", "ratings"))
 def split_train_test(d: Domain):
     return ratings.split_train_test(d.ratings).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sample_eval_users")
+@query("sample_eval_users", sql(f"SELECT user_id FROM (SELECT DISTINCT user_id FROM ratings) ORDER BY {md5_unit(0, 'user_id')}, user_id LIMIT 100", "ratings"))
 def sample_eval_users(d: Domain):
     return ratings.sample_rows(d.ratings.select("user_id").distinct(), ["user_id"], 100)
 

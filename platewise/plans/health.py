@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import context, exposure, matching, risk
-from ..session import cut_lineage, write_and_read
-from .mapping import ALIASES, KEYWORDS, NOW, RULE, Domain, c01, n_ing, r6, sql, status, ts
+from ..session import write_and_read
+from .mapping import ALIASES, KEYWORDS, NOW, RULE, Domain, c01, md5_unit, n_ing, r6, sql, status, ts
 from .registry import query
 from .safety import _GROUPS, SIGNAL_DEPS, SIGNALS
 
@@ -204,9 +204,16 @@ def _examples(d: Domain):
         "meal_id", "user_id", "logged_at", "outcome_at", "label", "ingredient_risk_score", *context.feature_columns())
 
 
-@query("split_group_disjoint")
+_TRIES = f"""SELECT *, {md5_unit(0, 'user_id', 'try')} < 0.25 AS test FROM (SELECT user_id, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS q FROM x GROUP BY 1), (SELECT unnest(range(24)) AS try)"""
+_CHOSEN = """SELECT min(try) AS try FROM (SELECT try FROM tries GROUP BY try HAVING least(coalesce(sum(p) FILTER (NOT test), 0), coalesce(sum(q) FILTER (NOT test), 0)) >= 2
+    AND least(coalesce(sum(p) FILTER (test), 0), coalesce(sum(q) FILTER (test), 0)) >= 1)"""
+
+
+@query("split_group_disjoint", sql(f"""
+    SELECT CASE WHEN test THEN 'test' ELSE 'train' END AS part, 'group_disjoint' AS strategy, count(*) AS n, count(DISTINCT x.user_id) AS users
+    FROM x JOIN tries t ON t.user_id = x.user_id AND t.try = (SELECT try FROM chosen) GROUP BY 1""", "reports", "meals", o=_OUTCOMES, x=_MATCHED, tries=_TRIES, chosen=_CHOSEN))
 def split_group_disjoint(d: Domain):
-    labels = cut_lineage(context.match_meals_to_outcomes(d.meals, context.explicit_outcomes(d.reports)))
+    labels = write_and_read(context.match_meals_to_outcomes(d.meals, context.explicit_outcomes(d.reports)), "labels")
     return context.split_group_disjoint(labels).groupBy("part", "strategy").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
 
 
@@ -215,19 +222,19 @@ def split_group_disjoint(d: Domain):
         SELECT *, min(logged_at) FILTER (i >= cut) OVER () AS first FROM (SELECT *, row_number() OVER (ORDER BY logged_at, meal_id) - 1 AS i, greatest(1, least(count(*) OVER () - 1, floor(count(*) OVER () * 0.75))) AS cut FROM x))""",
     "reports", "meals", o=_OUTCOMES, x=_MATCHED))
 def split_chrono_purged(d: Domain):
-    labels = cut_lineage(context.match_meals_to_outcomes(d.meals, context.explicit_outcomes(d.reports)))
+    labels = write_and_read(context.match_meals_to_outcomes(d.meals, context.explicit_outcomes(d.reports)), "labels")
     return context.split_chrono_purged(labels).select("meal_id", "part", "strategy")
 
 
 @query("train_symptom_gbt")
 def train_symptom_gbt(d: Domain):
     """Metrics of the held-out part; fewer trees than the default keep the check short."""
-    _, metrics = context.train_symptom_model(cut_lineage(_examples(d)), trees=10)
+    _, metrics = context.train_symptom_model(write_and_read(_examples(d), "examples"), trees=10)
     return metrics
 
 
 @query("score_symptom_risk")
 def score_symptom_risk(d: Domain):
-    rows = cut_lineage(_examples(d))
+    rows = write_and_read(_examples(d), "examples")
     model, _ = context.train_symptom_model(rows, trees=10)
     return context.score_symptom(rows, model).select("meal_id", "user_id", "label", "symptom_risk")

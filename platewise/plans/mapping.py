@@ -212,10 +212,10 @@ class Domain:
 
     @cached_property
     def preference(self) -> DataFrame:
-        """Candidates: mean rating as the score, best 20 per user."""
+        """Candidates: mean rating as the score, as many per user as ranking takes."""
         from ..operators.ranking import topn
 
-        return topn(self.mean_ratings.withColumnRenamed("rating", "preference_score"), 20)
+        return topn(self.mean_ratings.withColumnRenamed("rating", "preference_score"))
 
     @cached_property
     def item_factors(self) -> DataFrame:
@@ -290,6 +290,11 @@ def ts(x: str) -> str:
     return f"strftime({x}, '%Y-%m-%d %H:%M:%S.%f')"
 
 
+def md5_unit(seed: int, *columns: str) -> str:
+    """The number in [0, 1) of `ratings.hash_unit`."""
+    return f"(('0x' || left(md5(concat_ws(':', '{seed}', {', '.join(columns)})), 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
 def day(x: str) -> str:
     return f"strftime({x}, '%Y-%m-%d')"
 
@@ -370,7 +375,7 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN length(t) > 6 THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence FROM (SELECT DISTINCT lower(p_type) AS t FROM part)"""),
     "pairs": (("bought",), "SELECT DISTINCT cust::VARCHAR AS user_id, recipe_id FROM bought"),
     "preference": (("mean_ratings",), """SELECT * FROM (SELECT user_id, recipe_id, rating AS preference_score,
-        row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, recipe_id) AS rn FROM mean_ratings) WHERE rn <= 20"""),
+        row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, recipe_id) AS rn FROM mean_ratings) WHERE rn <= 500"""),
     "item_factors": ((), """SELECT vec_id AS recipe_id, label / 10.0::DOUBLE AS bias, label AS cluster,
         list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings"""),
     "cooklists": (("bought",), f"""SELECT id, user_id, rid AS recipe_id, cooklist_id, created_at,

@@ -257,23 +257,24 @@ def care_streaks(d: Domain):
     return habits.care_streaks(_care(d), "2024-02-04")
 
 
-_SPARSE = "SELECT user_id, d, kind FROM care WHERE day(d) NOT BETWEEN 8 + length(user_id) AND 15"
+_SPARSE = "SELECT user_id, CASE WHEN day(d) >= 8 + length(user_id) THEN d + 8 ELSE d END AS d, kind FROM care"
 _PLACED = """SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY d) + 1 AS run_no FROM (SELECT user_id, d, bool_or(kind = 'water') AND bool_or(kind = 'compost') AS both_, coalesce(date_diff('day', lag(d) OVER (PARTITION BY user_id ORDER BY d), d) >= 7, false)::INT AS new
     FROM sparse GROUP BY user_id, d)"""
 
 
 def _sparse(d: Domain):
-    """Care days with a pause in the middle of the month, longer for shorter ids."""
-    return _care(d).where(~F.dayofmonth("care_date").between(F.length("user_id") + 8, 15))
+    """All care days, those of the later part of the month moved on by eight days, so that runs end in between."""
+    late = F.dayofmonth("care_date") >= F.length("user_id") + 8
+    return _care(d).withColumn("care_date", F.when(late, F.date_add("care_date", 8)).otherwise(F.col("care_date")))
 
 
 @query("care_runs", sql(f"""
-    SELECT user_id, run_no::BIGINT AS run_no, {day('planted')} AS planted, {day('last')} AS last_care, {day("CASE WHEN date_diff('day', last, DATE '2024-02-04') >= 7 THEN last + 7 END")} AS died, coalesce(level, 0)::BIGINT AS level, coalesce(best, 0)::BIGINT AS best_streak,
-        CASE WHEN date_diff('day', last, DATE '2024-02-04') >= 7 THEN 'dead' ELSE 'alive' END AS status FROM (SELECT user_id, run_no, min(d) AS planted, max(d) AS last FROM placed GROUP BY ALL)
+    SELECT user_id, run_no::BIGINT AS run_no, {day('planted')} AS planted, {day('last')} AS last_care, {day("CASE WHEN date_diff('day', last, DATE '2024-02-12') >= 7 THEN last + 7 END")} AS died, coalesce(level, 0)::BIGINT AS level, coalesce(best, 0)::BIGINT AS best_streak,
+        CASE WHEN date_diff('day', last, DATE '2024-02-12') >= 7 THEN 'dead' ELSE 'alive' END AS status FROM (SELECT user_id, run_no, min(d) AS planted, max(d) AS last FROM placed GROUP BY ALL)
     LEFT JOIN (SELECT user_id, run_no, sum(n) AS level, max(n) AS best FROM (SELECT user_id, run_no, count(*) AS n FROM (SELECT user_id, run_no, d - (row_number() OVER (PARTITION BY user_id, run_no ORDER BY d))::INT AS isle FROM placed WHERE both_) GROUP BY user_id, run_no, isle) GROUP BY ALL) USING (user_id, run_no)""",
     *_CARE_DEPS, care=_CARE, sparse=_SPARSE, placed=_PLACED))
 def care_runs(d: Domain):
-    return habits.care_runs(_sparse(d), "2024-02-04")
+    return habits.care_runs(_sparse(d), "2024-02-12")
 
 
 @query("care_rewards", sql(f"""
@@ -288,7 +289,7 @@ def care_rewards(d: Domain):
 # ---- insight cards ---------------------------------------------------------------------------------------------------
 
 _ACT = """SELECT user_id, max(CASE WHEN k = 'm' THEN t END) AS meal, max(CASE WHEN k = 'r' THEN t END) AS rep, max(CASE WHEN k = 'c' THEN t END) AS chk, count(*) FILTER (k = 'b') AS book FROM (
-    SELECT user_id, 'm' AS k, logged_at AS t FROM meals WHERE portion_unit = 'slice' UNION ALL SELECT user_id, 'r', reported_at FROM reports WHERE severity > 0.9 UNION ALL SELECT user_id, 'c', created_at FROM checkins WHERE sev > 0.85 UNION ALL SELECT user_id, 'b', created_at FROM cooklists) GROUP BY user_id"""
+    SELECT user_id, 'm' AS k, logged_at AS t FROM meals UNION ALL SELECT user_id, 'r', reported_at FROM reports UNION ALL SELECT user_id, 'c', created_at FROM checkins UNION ALL SELECT user_id, 'b', created_at FROM cooklists) GROUP BY user_id"""
 _TREE = """SELECT user_id, CASE WHEN idle >= 7 THEN 'dead' ELSE 'alive' END AS status, greatest(0, 7 - idle) AS dud, wet, fed, CASE WHEN idle >= 7 THEN (last + 7)::TIMESTAMP END AS died FROM (
     SELECT user_id, max(d) AS last, greatest(0, date_diff('day', max(d), DATE '2024-01-30')) AS idle, bool_or(kind = 'water' AND d = DATE '2024-01-30') AS wet, bool_or(kind = 'compost' AND d = DATE '2024-01-30') AS fed FROM care GROUP BY 1)"""
 _E = "TIMESTAMP '1970-01-01'"
@@ -316,7 +317,7 @@ _CARD_DEPS = (*_CARE_DEPS, "cooklists")
 
 
 def _cards(d: Domain):
-    act = dashboard.latest_activity(d.meals.where("portion_unit = 'slice'"), d.reports.where("severity > 0.9"), d.checkins.where("severity > 0.85"), d.cooklists)
+    act = dashboard.latest_activity(d.meals, d.reports, d.checkins, d.cooklists)
     c, bal = F.col("c_custkey"), F.col("c_acctbal")
     at = lambda base, n: F.lit(base).cast("timestamp") + F.make_dt_interval((c % n).cast("int"))
     visits = d.table("customer").select(c.cast("string").alias("user_id"), F.when(bal > 0, at("2024-01-20", 10)).alias("analysis_visited"), F.when(bal > 3000, at("2024-01-10", 20)).alias("cookbook_visited"))

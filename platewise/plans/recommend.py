@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
 from ..operators import catalog, cf, content, cookbook, evaluation, matching, preference, ranking, ratings, risk
-from ..session import cut_lineage, write_and_read
+from ..session import write_and_read
 from .health import RISK, ingredient_risk
 from .mapping import ALIASES, NOW, RULE, Domain, lst, n_ing, n_text, r6, sql, ts
 from .registry import query
@@ -67,12 +67,12 @@ def join_factor_scores(d: Domain):
     SELECT user_id, rn, recipe_id, {r6('sc')} AS preference_score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sc DESC, recipe_id) AS rn FROM (
         SELECT user_id, recipe_id, sc FROM scored JOIN cand USING (user_id, recipe_id) UNION ALL SELECT user_id, recipe_id, sc FROM scored
         WHERE user_id NOT IN (SELECT user_id FROM scored JOIN cand USING (user_id, recipe_id)))) WHERE rn <= 10""", "pairs", "preference", "item_factors", s=_STATE,
-    cand="SELECT user_id, recipe_id FROM preference WHERE rn > 8",
+    cand="SELECT user_id, recipe_id FROM preference WHERE user_id::BIGINT % 5 <> 0",
     scored="SELECT p.user_id, p.recipe_id, round(2.5 + bias + ub + list_dot_product(f.vec, s.vec), 9) AS sc FROM pairs p JOIN item_factors f ON f.recipe_id = p.recipe_id JOIN s ON s.user_id = p.user_id"))
 def online_rescore(d: Domain):
     meta = d.spark.range(1).select(F.lit(2.5).alias("global_mean"))
     scores = preference.factor_scores(d.pairs, d.item_factors, _state(d), meta).withColumn("score", F.round("score", 9))
-    return preference.online_rescore(d.preference.where("rn > 8"), scores, 10)
+    return preference.online_rescore(d.preference.where("cast(user_id as long) % 5 != 0"), scores, 10)
 
 
 @query("zero_cold_identity", sql(f"""
@@ -127,9 +127,9 @@ def rerank_final(d: Domain):
 
 
 @query("persist_predictions", sql(f"""
-    SELECT user_id, recipe_id, 'online_risk_rerank' AS model_name, 'online_rerank' AS prediction_type, {r6('final')} AS score, {r6('comb')} AS combined FROM reranked WHERE rn <= 7""", *_RANK_DEPS, **_RANK))
+    SELECT user_id, recipe_id, 'online_risk_rerank' AS model_name, 'online_rerank' AS prediction_type, {r6('final')} AS score, {r6('comb')} AS combined FROM reranked WHERE rn <= 120""", *_RANK_DEPS, **_RANK))
 def persist_predictions(d: Domain):
-    rows = risk.persist_predictions(reranked(d), 7)
+    rows = risk.persist_predictions(reranked(d))
     return rows.withColumn("combined", F.get_json_object("features", "$.combined_risk_score").cast("double")).drop("features")
 
 
@@ -143,7 +143,7 @@ def _pass(i: int, name: str, source: str) -> str:
     f"SELECT user_id, row_name, rank, recipe_id, {r6('final')} AS score FROM (" + " UNION ALL ".join(f"SELECT * FROM row{i}" for i in range(5)) + ")", "preference", "recipes", "app_log", "item_factors",
     seeds=_SEEDS, center=_CENTER,
     ranked="SELECT user_id, rn, recipe_id, preference_score AS final FROM preference",
-    trend="SELECT recipe_id, row_number() OVER (ORDER BY count(*) DESC, max(created_at) DESC, recipe_id) AS trn FROM app_log WHERE interaction_type IN ('liked', 'saved', 'started', 'completed') AND created_at >= TIMESTAMP '2024-01-24' GROUP BY 1",
+    trend="SELECT recipe_id, row_number() OVER (ORDER BY count(*) DESC, max(created_at) DESC, recipe_id) AS trn FROM app_log WHERE interaction_type IN ('liked', 'saved', 'started', 'completed') AND created_at >= TIMESTAMP '2024-01-24' GROUP BY 1 QUALIFY trn <= 200",
     pool="""SELECT r.*, trn, round(list_cosine_similarity(f.vec, c), 9) AS cosine, true AS ok_curated, true AS ok_trending, f.vec IS NOT NULL AND regexp_matches(lower(array_to_string(ingredients, ' ')), 'ring|anvil|gear') AS ok_flavor,
         len(nutrition) >= 2 AND nutrition[1] < 400 AND nutrition[2] < 20 AS ok_healthy, coalesce(minutes < 30, false) AS ok_quick
         FROM ranked r JOIN recipes x ON x.recipe_id = r.recipe_id LEFT JOIN trend t ON t.recipe_id = r.recipe_id LEFT JOIN item_factors f ON f.recipe_id = r.recipe_id, center
@@ -154,7 +154,7 @@ def category_greedy_rows(d: Domain):
     center = preference.centroid(catalog.flavor_seeds(d.recipes, ("hot", "red")), d.item_factors)
     flavor = preference.flavor_similarity(ranked, d.item_factors, center).withColumn("cosine", F.round("cosine", 9))
     rules = {"flavor": catalog.PREDICATES["flavor"](("ring", "anvil", "gear")), "healthy": catalog.PREDICATES["healthy"](), "quick": catalog.PREDICATES["quick"]()}
-    return ranking.category_rows(ranked, ratings.trending(d.app_log, NOW, n=1000), flavor, d.recipes, d.app_log, rules, k=2)
+    return ranking.category_rows(ranked, ratings.trending(d.app_log, NOW), flavor, d.recipes, d.app_log, rules, k=2)
 
 
 # ---- cookbook ----------------------------------------------------------------------------------------------------
@@ -286,9 +286,9 @@ def cf_user_based(d: Domain):
 @query("mf_explicit")
 def mf_explicit(d: Domain):
     """Error of the factors against that of the global mean, on held-out ratings."""
-    parts = cut_lineage(ratings.split_train_test(d.mean_ratings))
+    parts = write_and_read(ratings.split_train_test(d.mean_ratings), "parts")
     train, test = parts.where("part = 'train'"), parts.where("part = 'test'")
-    model = preference.fit_explicit(train, rank=10, iters=8, reg=0.3)
+    model = preference.fit_explicit(train, reg=0.3)
     a = evaluation.rmse(preference.predict_explicit(test, model)).withColumnRenamed("rmse", "rmse_factors")
     b = evaluation.rmse(test.withColumn("pred", model["meta"].select("global_mean").scalar()))
     return a.withColumn("rmse_mean", b.scalar())
@@ -297,13 +297,13 @@ def mf_explicit(d: Domain):
 @query("hybrid_preference")
 def hybrid_preference(d: Domain):
     """Top candidates of all customers from implicit factors with side features."""
-    positive = cut_lineage(ratings.filter_positive_ratings(d.mean_ratings.withColumn("user_id", F.concat(F.lit("hist_"), "user_id")), d.recipes, 4.5))
+    positive = write_and_read(ratings.filter_positive_ratings(d.mean_ratings.withColumn("user_id", F.concat(F.lit("hist_"), "user_id")), d.recipes, 4.5), "positive")
     users = d.table("customer").select(F.concat(F.lit("hist_"), F.col("c_custkey").cast("string")).alias("user_id"))
     items = catalog.item_features(d.recipes)
     side = content.user_side_features(users, users, d.restrictions.withColumn("user_id", F.concat(F.lit("hist_"), "user_id")),
-                                      d.generic_risks.withColumn("user_id", F.concat(F.lit("hist_"), "user_id")), d.profile_risks.limit(0))
-    model = preference.fit_hybrid(positive, items, side, d.recipes, users, rank=8, iters=5)
-    return preference.recommend(model["item_factors"], model["user_factors"], positive, n=20)
+                                      d.generic_risks.withColumn("user_id", F.concat(F.lit("hist_"), "user_id")), d.profile_risks.withColumn("user_id", F.concat(F.lit("hist_"), "user_id")))
+    model = preference.fit_hybrid(positive, items, side, d.recipes, users)
+    return preference.recommend(model["item_factors"], model["user_factors"], positive)
 
 
 @query("kmeans_items")

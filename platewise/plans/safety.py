@@ -34,7 +34,7 @@ _HITS = f"SELECT t.nn, s.name FROM (SELECT DISTINCT nn FROM ri) t JOIN (SELECT D
 def join_phrase_match(d: Domain):
     texts = d.table("documents").select(F.col("doc_id").alias("id"), tx.normalize_ingredient(F.col("text")).alias("t"))
     words = d.table("part").select(F.explode(F.array("p_name", F.split("p_name", " ")[0], F.lit("of the"), F.lit("and in the"))).alias("phrase")).distinct()
-    return matching.phrase_hits(texts, words, "t", bulk=True).select("id", "phrase").distinct()
+    return matching.phrase_hits(texts, words, "t").select("id", "phrase").distinct()
 
 
 @query("join_bidirectional_match", sql("""
@@ -89,11 +89,12 @@ def agg_trigger_profile(d: Domain):
 @query("fn_alias_match", sql(f"""
     SELECT DISTINCT t.id, c.ingredient_name FROM texts t JOIN (SELECT ingredient_name, unnest(list_concat([ingredient_name], aliases)) AS a FROM ingredient_catalog) c
         ON {has('t.t', 'c.a')} OR {has('t.t', "c.a || 's'")} OR {has('t.t', "c.a || 'es'")}""", "ingredient_catalog", "raw_checkins",
-    texts=f"""SELECT checkin_id::VARCHAR AS id, {n_text("'two big ' || w0[1] || ' & ' || w2[1]")} AS t FROM raw_checkins UNION ALL SELECT 'd' || doc_id, {n_text('text')} FROM documents"""))
+    texts=f"""SELECT checkin_id || ':' || w || ':' || (i - 1) AS id, {n_text("'two big ' || foods[i]")} AS t FROM (
+        SELECT checkin_id, unnest([{{'w': 0, 'foods': w0}}, {{'w': 1, 'foods': w1}}, {{'w': 2, 'foods': w2}}], recursive := true) FROM raw_checkins) c, unnest(range(1, len(foods) + 1)) u(i) UNION ALL SELECT 'd' || doc_id, {n_text('text')} FROM documents"""))
 def fn_alias_match(d: Domain):
-    a = F.try_element_at("food_windows", F.lit("hours_0_8"))[0]
-    b = F.try_element_at("food_windows", F.lit("hours_17_24"))[0]
-    texts = d.raw_checkins.select(F.col("checkin_id").cast("string").alias("id"), F.concat(F.lit("two big "), a, F.lit(" & "), b).alias("text"))
+    windows = F.array(*[F.try_element_at("food_windows", F.lit(w)) for w in vocab.CHECKIN_WINDOWS])
+    foods = d.raw_checkins.select("checkin_id", F.posexplode(windows).alias("w", "foods")).select("checkin_id", "w", F.posexplode("foods").alias("i", "food"))
+    texts = foods.select(F.concat_ws(":", *[F.col(c).cast("string") for c in ("checkin_id", "w", "i")]).alias("id"), F.concat(F.lit("two big "), "food").alias("text"))
     docs = d.table("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
     return matching.alias_matches(texts.unionByName(docs), d.ingredient_catalog)
 
@@ -244,14 +245,15 @@ _FOODS = ("red ring", "un", "the", "que", "plate")
         WHEN {' OR '.join(has('n', repr(t)) + ('' if ' ' in t else f" OR {has('n', repr(t + 's'))} OR {has('n', repr(t + 'es'))}") for t in _FOODS)} THEN 'food' ELSE 'not_food' END AS kind
     FROM (SELECT *, {n_text('b')} AS n FROM (SELECT id, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS b FROM (
         SELECT conv_id || ':' || turn AS id, text AS t FROM conversations
-        UNION ALL SELECT 's' || doc_id, split_part(text, '.', 1) FROM documents
+        UNION ALL SELECT 's' || doc_id || ':' || (i - 1), parts[i] FROM (SELECT doc_id, string_split(text, '.') AS parts FROM documents) s, unnest(range(1, len(parts) + 1)) t(i)
         UNION ALL SELECT 'f' || event_id, CASE event_id % 6 WHEN 0 THEN 'I had a Red Ring' WHEN 1 THEN ' never  mind ' WHEN 2 THEN 'Do you like plates?' WHEN 3 THEN 'hello!' WHEN 4 THEN 'two plates & rice' ELSE 'nothing here at all' END FROM events)))""")
 def classify_food_text(d: Domain):
     i = F.col("event_id") % 6
     said = (F.when(i == 0, "I had a Red Ring").when(i == 1, " never  mind ").when(i == 2, "Do you like plates?").when(i == 3, "hello!")
             .when(i == 4, "two plates & rice").otherwise("nothing here at all"))
     rows = d.table("conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("id"), "text")
-    docs = d.table("documents").select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("id"), F.substring_index("text", ".", 1).alias("text"))
+    docs = d.table("documents").select("doc_id", F.posexplode(F.split("text", r"\.")).alias("i", "text")).select(
+        F.concat(F.lit("s"), F.col("doc_id").cast("string"), F.lit(":"), F.col("i").cast("string")).alias("id"), "text")
     ev = d.events.select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("id"), said.alias("text"))
     return dialog.classify_food(rows.unionByName(docs).unionByName(ev), dialog.food_terms(d.spark, _FOODS))
 

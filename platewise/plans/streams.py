@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import checkins as ck
-from ..session import scratch_path
+from ..session import scratch_path, write_and_read
 from ..streaming import jobs
 from .health import _EVIDENCE, _PAIRS
 from .mapping import TRAINED_AT, Domain, n_ing, r6, sql, status, ts
@@ -16,12 +16,13 @@ from .registry import query
 from .safety import GRADE_CTES, GRADE_DEPS, GRADES
 
 
-def _as_stream(d: Domain, df, name: str, parts: int = 4, order: str | None = None):
-    """Write a frame as a few files in time order and read it back as a stream."""
+def _as_stream(d: Domain, df, name: str, parts: int = 4, order: str = "at"):
+    """Write a frame as a few files, one after the other in time order, and read one file per batch."""
     path = scratch_path(d.spark, name)
-    laid = df.repartitionByRange(parts, order).sortWithinPartitions(order) if order else df.repartition(parts)
-    laid.write.parquet(path)
-    return jobs.file_stream(d.spark, path, df.schema, files=parts)
+    laid = write_and_read(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), f"{name}-laid")
+    for k in range(parts):
+        laid.where(F.col("_part") == k).drop("_part").coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
+    return jobs.file_stream(d.spark, path, df.schema, files=1)
 
 
 def _names(d: Domain):

@@ -9,7 +9,7 @@ from ..functions import numbers as num, text as tx
 from ..operators import catalog, cookbook, dashboard, preference, ranking, ratings
 from ..session import scratch_path
 from ..sources import readers, sinks
-from .mapping import LI_TRAINED_AT, NOW, Domain, lst, n_ing, n_text, r6, sql, ts
+from .mapping import LI_TRAINED_AT, NOW, Domain, lst, md5_unit, n_ing, n_text, r6, sql, ts
 from .registry import query
 
 
@@ -110,13 +110,13 @@ def semi_join_needed_ids(d: Domain):
     SELECT user_id, recipe_id, {r6('preference_score')} AS preference_score, model_name FROM (
         SELECT user_id, recipe_id, rating AS preference_score, CASE WHEN recipe_id % 2 = 0 THEN 'base@1' ELSE 'base@2' END AS model_name FROM mean_ratings)
     WHERE NOT (model_name = 'base@2' AND user_id IN (SELECT user_id FROM seg))
-    UNION ALL SELECT user_id, recipe_id, {r6('preference_score + 1')}, 'base@2' FROM preference WHERE user_id IN (SELECT user_id FROM seg) AND rn <= 5""",
+    UNION ALL SELECT user_id, recipe_id, {r6('preference_score + 1')}, 'base@2' FROM preference WHERE user_id IN (SELECT user_id FROM seg) AND user_id::BIGINT % 3 <> 0""",
     "mean_ratings", "preference", seg="SELECT c_custkey::VARCHAR AS user_id FROM customer WHERE c_mktsegment = 'BUILDING'"))
 def sink_replace_generation(d: Domain):
     current = d.mean_ratings.withColumnRenamed("rating", "preference_score").withColumn(
         "model_name", F.when(F.col("recipe_id") % 2 == 0, "base@1").otherwise("base@2"))
     segment = d.table("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("user_id"))
-    new = d.preference.where("rn <= 5").join(segment, "user_id", "left_semi").select(
+    new = d.preference.where("cast(user_id as long) % 3 != 0").join(segment, "user_id", "left_semi").select(
         "user_id", "recipe_id", (F.col("preference_score") + 1).alias("preference_score"), F.lit("base@2").alias("model_name"))
     return sinks.replace_generation(current, new, segment, "base@2")
 
@@ -155,13 +155,13 @@ def sink_versioned_artifact(d: Domain):
         {r6("coalesce(sum(m) FILTER (row_name = 'curated'), 0)")} AS curated_match_sum,
         {r6("coalesce(sum(m) FILTER (row_name = 'trending'), 0)")} AS trending_match_sum
     FROM (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.9 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) * 0.2 + 0.78 END AS m
-        FROM (SELECT user_id, CASE WHEN rn <= 6 THEN 'curated' ELSE 'trending' END AS row_name, CASE WHEN rn <= 6 THEN rn ELSE rn - 6 END AS rank,
-            recipe_id, preference_score AS score FROM preference WHERE rn <= 12) WINDOW w AS (PARTITION BY user_id, row_name)) GROUP BY user_id""", "preference"))
+        FROM (SELECT user_id, CASE WHEN rn % 2 = 1 THEN 'curated' ELSE 'trending' END AS row_name, (rn + 1) // 2 AS rank,
+            recipe_id, preference_score AS score FROM preference) WINDOW w AS (PARTITION BY user_id, row_name)) GROUP BY user_id""", "preference"))
 def sink_wide_recommendations(d: Domain):
-    first = F.col("rn") <= 6
-    rows = d.preference.where("rn <= 12").select(
+    first = F.col("rn") % 2 == 1
+    rows = d.preference.select(
         "user_id", F.when(first, "curated").otherwise("trending").alias("row_name"),
-        F.when(first, F.col("rn")).otherwise(F.col("rn") - 6).alias("rank"), "recipe_id", F.col("preference_score").alias("score"))
+        F.floor((F.col("rn") + 1) / 2).alias("rank"), "recipe_id", F.col("preference_score").alias("score"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     return ranking.wide_recommendations(rows).select(
         "user_id", "recommended_recipe_ids", "trending_recipe_ids", total("match_scores").alias("curated_match_sum"),
@@ -346,7 +346,7 @@ def diverse_titles(d: Domain):
     return catalog.diverse_titles(d.recipes.withColumn("pos", F.col("recipe_id")), 500)
 
 
-@query("random_sample_pool")
+@query("random_sample_pool", sql(f"SELECT recipe_id, name FROM recipes ORDER BY {md5_unit(7, 'recipe_id')}, recipe_id LIMIT 200", "recipes"))
 def random_sample_pool(d: Domain):
     return catalog.random_pool(d.recipes.select("recipe_id", "name"), 200)
 

@@ -1,13 +1,11 @@
-"""Session settings, lineage cuts and checked broadcasts."""
+"""Session settings and tables written in the middle of a job."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-BROADCAST_ROWS = 200_000
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "platewise", master: str | None = None, **conf) -> SparkSession:
@@ -31,10 +29,16 @@ def build_session(app: str = "platewise", master: str | None = None, **conf) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where unset."""
+    """The shared folder named by the session in spark.checkpoint.dir.
+
+    Without one, a temporary folder serves a local master only: on a cluster every executor would write to its own
+    disk and later reads would miss those rows.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not shared and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="platewise-ckpt-"))
     return sc.getCheckpointDir()
 
@@ -45,21 +49,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{os.urandom(6).hex()}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def write_and_read(df: DataFrame, name: str) -> DataFrame:
     """A frame that several branches of a plan use, written once to the shared folder as a table."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_or_shuffled(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting at most `max_rows` rows; else leave the join to AQE."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

@@ -38,7 +38,6 @@ PREDICTION_LIMIT = 120
 ROW_SIZE = 6
 COOKBOOK_LIMIT = 5
 TRENDING_DAYS = 7
-TRENDING_CAP = 50_000
 TRENDING_LIMIT = 200
 ONLINE_MAX_WEIGHT = 0.35
 ONLINE_FULL_STRENGTH = 5.0
