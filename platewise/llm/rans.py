@@ -103,7 +103,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, scratch: str, end: int
     spark = docs.sparkSession
 
     def compress(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in it:
             raw = batch.column(4).to_pylist()
             tie = [zlib.crc32(b) for b in raw]
@@ -119,8 +119,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, scratch: str, end: int
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand, total = zstandard.ZstdDecompressor().decompress, np.zeros(1 << 16, np.int64)
         for batch in batches(it):
-            for b in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(expand(b), "<u2"), minlength=1 << 16)
+            ids = np.frombuffer(b"".join(map(expand, batch.column(0).to_pylist())), "<u2")
+            total += np.bincount(ids, minlength=1 << 16)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids])], names=["id", "n"])
 

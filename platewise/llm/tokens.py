@@ -60,9 +60,10 @@ class Encoder:
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fresh(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+    def _fresh(self, pieces: set[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of pieces not seen before: simple ones part by part, others by the whole file."""
         simple, parts, known = _SIMPLE.fullmatch, _PARTS[self.word].findall, self.parts
+        blank, code, tokenize = self.letters[32], self.code, self.tokenizer.model.tokenize
         other = []
         for piece in pieces:
             if not simple(piece):
@@ -70,41 +71,41 @@ class Encoder:
                 continue
             found = parts(piece.lower() if self.word else piece)
             if not self.word:
-                found[0] = " " + found[0]
+                found[0] = blank + found[0]
             for f in found:
                 if f not in known:
-                    known[f] = array(self.code, [t.id for t in self.tokenizer.model.tokenize("".join(map(self.letters.__getitem__, f.encode())))]).tobytes()
-            yield piece, b"".join([known[f] for f in found])
+                    # Printable ASCII stands for itself; so does the letter that stands for the blank.
+                    letters = f if piece.isascii() else "".join(map(self.letters.__getitem__, f.replace(blank, " ").encode()))
+                    known[f] = array(code, [t.id for t in tokenize(letters)]).tobytes()
+            yield piece, known[found[0]] if len(found) == 1 else b"".join([known[f] for f in found])
         yield from zip(other, self._bytes(other if self.word else [" " + p for p in other]))
         if len(known) > REMEMBERED:
             known.clear()
 
-    def _pieces(self, text: str) -> list[str] | None:
+    def _pieces(self, text: str) -> tuple[str | None, list[str]]:
+        """What is encoded as it is at the start of the text, and the pieces after it."""
         if "<|" in text:
-            return None
+            return text, []
         if self.word:
-            return _PLAIN.split(text) if _RARE_SPACE.search(text) else text.split()
-        return _SINGLE.split(text) if _PAIR.search(text) else text.split(" ")
+            return None, _PLAIN.split(text) if _RARE_SPACE.search(text) else text.split()
+        if _PAIR.search(text):
+            first, *rest = _SINGLE.split(text)
+            return first, rest
+        first, blank, rest = text.partition(" ")
+        return first, rest.split(" ") if blank else []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with the end id, as little-endian unsigned integers of `kind`."""
         cut = [self._pieces(t) for t in texts]
         known = self.young
-        need = set().union(*(p if self.word else p[1:] for p in cut if p)) - known.keys()
+        need = set().union(*(rest for _, rest in cut)) - known.keys()
         if need:
             for p in need & self.old.keys():
                 known[p] = self.old[p]
-            known.update(self._fresh(list(need - known.keys())))
-        whole = iter(self._bytes([t if p is None else p[0] for t, p in zip(texts, cut) if p is None or (p and not self.word)]))
-        get = known.__getitem__
-        out = []
-        for p in cut:
-            if p is None:
-                out.append(next(whole) + self.end)
-            elif self.word:
-                out.append(b"".join(map(get, p)) + self.end)
-            else:
-                out.append(next(whole) + b"".join(map(get, p[1:])) + self.end)
+            known.update(self._fresh(need - known.keys()))
+        first = iter(self._bytes([f for f, _ in cut if f is not None]))
+        get, end = known.__getitem__, self.end
+        out = [b"".join([b"" if f is None else next(first), *map(get, rest), end]) for f, rest in cut]
         if len(known) > REMEMBERED:
             self.old, self.young = known, {}
         return out

@@ -111,15 +111,12 @@ def hard_filter(candidates: DataFrame, recipes: DataFrame, restrictions: DataFra
     dictionary = rows.select("normalized_name").distinct()
     names = strict.where("name != ''").select("name").distinct()
     hits = name_hits(dictionary, names, "name", **rule)
-    recipe_names = rows.join(hits, "normalized_name").select("recipe_id", "name").distinct()
-    blocked = (candidates.select("user_id", "recipe_id").distinct().join(recipe_names, "recipe_id")
-               .join(strict, ["user_id", "name"], "left_semi").select("user_id", "recipe_id").distinct())
-    per_user = strict.groupBy("user_id").agg(F.bool_or(F.col("name") == "").alias("_blank"))
-    known = rows.select("recipe_id").distinct().withColumn("_known", F.lit(True))
-    kept = candidates.join(blocked, ["user_id", "recipe_id"], "left_anti")
-    return (kept.join(per_user, "user_id", "left").join(known, "recipe_id", "left")
-            .where(F.col("_blank").isNull() | (~F.col("_blank") & F.col("_known").isNotNull()))
-            .select(*candidates.columns))
+    # One row per recipe and per user: a candidate meets both once, however many names they hold.
+    per_recipe = rows.join(hits, "normalized_name", "left").groupBy("recipe_id").agg(F.collect_set("name").alias("_has"))
+    per_user = strict.groupBy("user_id").agg(F.collect_set("name").alias("_bars"))
+    barred = F.array_contains("_bars", "") | F.coalesce(F.arrays_overlap("_bars", "_has"), F.lit(True))
+    return (candidates.join(per_user, "user_id", "left").join(per_recipe, "recipe_id", "left")
+            .where(F.col("_bars").isNull() | ~barred).select(*candidates.columns))
 
 
 def ingredient_groups(dictionary: DataFrame, aliases: Mapping[str, Sequence[str]] = vocab.GROUP_ALIASES,
@@ -191,8 +188,7 @@ def annotate_gentle(pairs: DataFrame, recipes: DataFrame, easier: DataFrame) ->
                               tokenized=False)
     recipe_food = (rows.join(hits, rows["text"] == hits["left_id"])
                    .select("recipe_id", F.col("right_id").alias("food")).distinct())
-    gentle = (pairs.select("user_id", "recipe_id").distinct().join(recipe_food, "recipe_id")
-              .join(foods, ["user_id", "food"], "left_semi").select("user_id", "recipe_id").distinct()
-              .withColumn("_g", F.lit(True)))
-    return pairs.join(gentle, ["user_id", "recipe_id"], "left").select(
-        "user_id", "recipe_id", F.coalesce("_g", F.lit(False)).alias("is_gentle"))
+    per_recipe = recipe_food.groupBy("recipe_id").agg(F.collect_set("food").alias("_has"))
+    per_user = foods.groupBy("user_id").agg(F.collect_set("food").alias("_wants"))
+    return pairs.join(per_recipe, "recipe_id", "left").join(per_user, "user_id", "left").select(
+        "user_id", "recipe_id", F.coalesce(F.arrays_overlap("_has", "_wants"), F.lit(False)).alias("is_gentle"))

@@ -61,16 +61,20 @@ def population_signals(population: DataFrame, catalog: DataFrame,
     return first.unionByName(one(b).join(first.select("normalized_name"), "normalized_name", "left_anti"))
 
 
-def best_signals(dictionary: DataFrame, signals: DataFrame, **rule) -> DataFrame:
-    """Best matching signal per dictionary text (and per user, if the signals have one): the most
-    certain, then the riskiest, then by name."""
+def best_signals(wanted: DataFrame, signals: DataFrame, **rule) -> DataFrame:
+    """Best matching signal per wanted text: the most certain, then the riskiest, then by name.
+
+    Signals of users need wanted texts of users (user_id, normalized_name).  Texts meet the signals' names once
+    per distinct text; a user's wanted texts then meet only that user's signals, by user and name.
+    """
     per_user = "user_id" in signals.columns
     names = signals.select(*(["user_id"] if per_user else []), F.col("normalized_name").alias("signal"),
                            "ingredient_name", "risk_score", "confidence")
     vocabulary = names.select("signal").distinct()
-    hits = name_hits(dictionary.select("normalized_name").distinct(), vocabulary, "signal", **rule)
+    hits = name_hits(wanted.select("normalized_name").distinct(), vocabulary, "signal", **rule)
     keys = (["user_id"] if per_user else []) + ["normalized_name"]
-    best = hits.join(names, "signal").groupBy(*keys).agg(
+    met = wanted.select(*keys).distinct().join(hits, "normalized_name").join(names, ["user_id", "signal"]) if per_user else hits.join(names, "signal")
+    best = met.groupBy(*keys).agg(
         F.max(F.struct("confidence", "risk_score", "signal", "ingredient_name")).alias("s"))
     return best.select(*keys, "s.signal", "s.ingredient_name", "s.risk_score", "s.confidence")
 
@@ -92,11 +96,12 @@ def recipe_ingredient_risk(pairs: DataFrame, recipes: DataFrame, personal: DataF
                .withColumn("base", F.coalesce("pop_risk", tx.keyword_prior(F.col("normalized_name"), keywords)))
                .withColumn("base_conf", F.coalesce("pop_conf", F.lit(0.15))))
     ready = rows.select("recipe_id", "pos", "normalized_name").join(settled, "normalized_name")
-    mine = best_signals(dictionary, personal, **rule).select(
+    keyed = pairs.select("user_id", "recipe_id").distinct()
+    listed = keyed.join(ready, "recipe_id")
+    mine = best_signals(listed.select("user_id", "normalized_name"), personal, **rule).select(
         "user_id", "normalized_name", F.col("risk_score").alias("own"), F.col("confidence").alias("own_conf"),
         F.col("ingredient_name").alias("own_name"))
-    keyed = pairs.select("user_id", "recipe_id").distinct()
-    full = keyed.join(ready, "recipe_id").join(mine, ["user_id", "normalized_name"], "left")
+    full = listed.join(mine, ["user_id", "normalized_name"], "left")
     has = F.col("own").isNotNull()
     trust = num.clamp01(F.greatest(F.lit(0.25), F.col("own_conf")))
     score = num.clamp01(F.when(has, trust * F.col("own") + (1 - trust) * F.col("base")).otherwise(F.col("base")))

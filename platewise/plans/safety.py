@@ -132,10 +132,11 @@ SIGNAL_DEPS = ("generic_risks", "profile_risks", "priors", "ingredient_catalog",
 
 
 @query("join_best_signal", sql(f"""
-    SELECT user_id, nn AS normalized_name, signal, ingredient_name, {r6('risk')} AS risk_score, {r6('conf')} AS confidence FROM best""", *SIGNAL_DEPS, **SIGNALS))
+    SELECT user_id, nn AS normalized_name, signal, ingredient_name, {r6('risk')} AS risk_score, {r6('conf')} AS confidence FROM best
+    JOIN (SELECT DISTINCT user_id, nn FROM pairs JOIN ri ON ri.recipe_id = pairs.recipe_id) USING (user_id, nn)""", "pairs", *SIGNAL_DEPS, **SIGNALS))
 def join_best_signal(d: Domain):
-    words = catalog.recipe_ingredients(d.recipes).select("normalized_name").distinct()
-    return risk.best_signals(words, risk.personal_signals(d.generic_risks, d.profile_risks), **RULE)
+    wanted = d.pairs.join(catalog.recipe_ingredients(d.recipes).select("recipe_id", "normalized_name"), "recipe_id")
+    return risk.best_signals(wanted, risk.personal_signals(d.generic_risks, d.profile_risks), **RULE)
 
 
 @query("annotate_gentle", sql(f"""
