@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
-from ..operators import catalog, cf, content, cookbook, evaluation, matching, preference, ranking, ratings, risk
+from ..operators import catalog, cf, content, cookbook, evaluation, preference, ranking, ratings, refresh, risk
 from ..session import write_and_read
-from .health import RISK, ingredient_risk
-from .mapping import ALIASES, NOW, RULE, Domain, lst, n_ing, n_text, r6, sql, ts
+from .health import _CONTEXT, _HEUR, _PROFILE, RISK
+from .mapping import ALIASES, KEYWORDS, NOW, RULE, Domain, lst, n_ing, n_text, r6, sql, ts
 from .registry import query
-from .safety import SIGNAL_DEPS, _HITS
+from .safety import SIGNAL_DEPS, _GROUPS, _HITS
 
 _DIMS = "(SELECT unnest(range(1, 65)) AS i) t"
 
@@ -102,22 +102,21 @@ def recommend_by_vector(d: Domain):
 
 # ---- rerank and rows ------------------------------------------------------------------------------------------
 
-_SYMPTOM = "(recipe_id % 37) / 37.0::DOUBLE"
 _RERANKED = f"""SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(final, 10) DESC, rn0, recipe_id) AS rn FROM (SELECT c.user_id, c.recipe_id, c.rn AS rn0, preference_score, score AS ir, sr, least(1.0, 0.4 * score + 0.6 * sr) AS comb, matched,
-    preference_score - least(1.0, 0.4 * score + 0.6 * sr) AS final FROM (SELECT *, {_SYMPTOM} AS sr FROM preference) c JOIN irisk i ON i.user_id = c.user_id AND i.recipe_id = c.recipe_id JOIN safe s ON s.user_id = c.user_id AND s.recipe_id = c.recipe_id)"""
+    preference_score - least(1.0, 0.4 * score + 0.6 * sr) AS final FROM (SELECT *, {_HEUR} AS sr FROM (SELECT p.*, i.score, i.matched, f.groups, x.smax, x.load, CASE WHEN len(r.nutrition) >= 7 THEN r.nutrition ELSE list_concat(r.nutrition, [0.0, 0.0, 0.0, 0.0]) END AS nut
+        FROM preference p JOIN irisk i ON i.user_id = p.user_id AND i.recipe_id = p.recipe_id JOIN recipes r ON r.recipe_id = p.recipe_id JOIN prof f ON f.recipe_id = p.recipe_id JOIN c x ON x.ref_id = p.user_id)) c
+    JOIN safe s ON s.user_id = c.user_id AND s.recipe_id = c.recipe_id)"""
 _SAFE = """SELECT p.user_id, p.recipe_id FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM strict s JOIN ri ON ri.recipe_id = p.recipe_id JOIN hits h ON h.nn = ri.nn AND h.name = s.name WHERE s.user_id = p.user_id)
     AND NOT EXISTS (SELECT 1 FROM strict s WHERE s.user_id = p.user_id AND s.name = '')
     AND (NOT EXISTS (SELECT 1 FROM strict s WHERE s.user_id = p.user_id) OR EXISTS (SELECT 1 FROM ri WHERE ri.recipe_id = p.recipe_id))"""
-_RANK_DEPS = ("pairs", "preference", "strict", "recipes", *SIGNAL_DEPS)
-_RANK = {**RISK, "hits": _HITS, "safe": _SAFE, "reranked": _RERANKED}
+_RANK_DEPS = ("pairs", "preference", "strict", "recipes", "meals", "reports", *SIGNAL_DEPS)
+_RANK = {**RISK, "hits": _HITS, "safe": _SAFE, "g": _GROUPS, "prof": _PROFILE, "refs": f"SELECT DISTINCT user_id, user_id AS ref_id, TIMESTAMP '{NOW}' AS ref_ts FROM pairs", "c": _CONTEXT, "reranked": _RERANKED}
 
 
 def reranked(d: Domain):
     """Candidates without forbidden recipes, ordered by preference minus risk."""
-    safe = write_and_read(matching.hard_filter(d.kept("preference"), d.recipes, d.restrictions, **RULE), "safe")
-    mine = ingredient_risk(d, safe).select("user_id", "recipe_id", F.col("score").alias("ingredient_risk"), "matched",
-                                           ((F.col("recipe_id") % 37) / 37).alias("symptom_risk"))
-    return risk.rerank(safe, mine)
+    return refresh.ranked(d.preference, d.recipes, d.restrictions, risk.personal_signals(d.generic_risks, d.profile_risks), risk.population_signals(d.priors, d.ingredient_catalog),
+                          d.meals.withColumn("trigger_load", F.col("portion_size")), d.reports, NOW, ALIASES, KEYWORDS, **RULE)
 
 
 @query("rerank_final", sql(f"""
@@ -140,9 +139,9 @@ def _pass(i: int, name: str, source: str) -> str:
 
 
 @query("category_greedy_rows", sql(
-    f"SELECT user_id, row_name, rank, recipe_id, {r6('final')} AS score FROM (" + " UNION ALL ".join(f"SELECT * FROM row{i}" for i in range(5)) + ")", "preference", "recipes", "app_log", "item_factors",
+    f"SELECT user_id, row_name, rank, recipe_id, {r6('final')} AS score FROM (" + " UNION ALL ".join(f"SELECT * FROM row{i}" for i in range(5)) + ")", *_RANK_DEPS, "app_log", "item_factors", **_RANK,
     seeds=_SEEDS, center=_CENTER,
-    ranked="SELECT user_id, rn, recipe_id, preference_score AS final FROM preference",
+    ranked="SELECT user_id, rn, recipe_id, final FROM reranked",
     trend="SELECT recipe_id, row_number() OVER (ORDER BY count(*) DESC, max(created_at) DESC, recipe_id) AS trn FROM app_log WHERE interaction_type IN ('liked', 'saved', 'started', 'completed') AND created_at >= TIMESTAMP '2024-01-24' GROUP BY 1 QUALIFY trn <= 200",
     pool="""SELECT r.*, trn, round(list_cosine_similarity(f.vec, c), 9) AS cosine, true AS ok_curated, true AS ok_trending, f.vec IS NOT NULL AND regexp_matches(lower(array_to_string(ingredients, ' ')), 'ring|anvil|gear') AS ok_flavor,
         len(nutrition) >= 2 AND nutrition[1] < 400 AND nutrition[2] < 20 AS ok_healthy, coalesce(minutes < 30, false) AS ok_quick
@@ -150,7 +149,7 @@ def _pass(i: int, name: str, source: str) -> str:
         WHERE NOT EXISTS (SELECT 1 FROM app_log a WHERE a.user_id = r.user_id AND a.recipe_id = r.recipe_id AND interaction_type IN ('liked', 'saved'))""",
     row0=_pass(0, "curated", "rn"), row1=_pass(1, "trending", "trn NULLS LAST, rn"), row2=_pass(2, "flavor", "cosine DESC, final DESC, rn"), row3=_pass(3, "healthy", "rn"), row4=_pass(4, "quick", "rn")))
 def category_greedy_rows(d: Domain):
-    ranked = d.kept("preference").withColumnRenamed("preference_score", "final_score")
+    ranked = write_and_read(reranked(d).select("user_id", "rn", "recipe_id", "final_score"), "reranked")
     center = preference.centroid(catalog.flavor_seeds(d.recipes, ("hot", "red")), d.item_factors)
     flavor = preference.flavor_similarity(ranked, d.item_factors, center).withColumn("cosine", F.round("cosine", 9))
     rules = {"flavor": catalog.PREDICATES["flavor"](("ring", "anvil", "gear")), "healthy": catalog.PREDICATES["healthy"](), "quick": catalog.PREDICATES["quick"]()}
