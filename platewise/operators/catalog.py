@@ -140,29 +140,28 @@ def categories(recipes: DataFrame, rules: Mapping[str, Sequence[tuple[str, Seque
 def search_contains(recipes: DataFrame, queries: DataFrame, n: int = 8) -> DataFrame:
     """Case-insensitive substring search; the first n recipes by id per query.
 
-    Each query meets the catalog through its rarest character gram (three letters, or all of a
-    shorter query), then the substring is checked, so no query meets the whole catalog.
+    Each distinct text meets the catalog through its rarest character gram (three letters, or all of a
+    shorter text).  Postings hold grams and ids only; the searched text is fetched for the candidates of that
+    gram, and repeated texts are searched once.
     """
     hay = recipes.select("recipe_id", F.lower(F.concat_ws(
         " ", "name", F.coalesce(F.col("description"), F.lit("")),
         F.array_join(F.coalesce(F.col("ingredients"), F.array().cast("array<string>")), " "))).alias("hay"))
-    qs = (queries.select("query_id", F.lower(F.trim("q")).alias("q")).where(F.col("q") != "")
-          .withColumn("_k", F.least(F.lit(3), F.length("q"))))
+    qs = queries.select("query_id", F.lower(F.trim("q")).alias("q")).where(F.col("q") != "")
+    texts = qs.select("q").distinct().withColumn("_k", F.least(F.lit(3), F.length("q")))
     gram = lambda c, k: F.array_distinct(F.expr(
         f"transform(sequence(1, greatest(1, length({c}) - {k} + 1)), i -> substring({c}, i, {k}))"))
-    wanted = qs.select("query_id", "q", F.explode(gram("q", "_k")).alias("gram"))
-    sizes = qs.agg(F.collect_set("_k")).scalar()  # one to three lengths
+    wanted = texts.select("q", F.explode(gram("q", "_k")).alias("gram"))
+    sizes = texts.agg(F.collect_set("_k")).scalar()  # one to three lengths
     used_size = lambda k: F.when(F.array_contains("_sizes", k), gram("hay", str(k))).otherwise(F.array().cast("array<string>"))
-    grams = hay.withColumn("_sizes", sizes).select("recipe_id", "hay", F.explode(F.array_distinct(F.concat(
-        used_size(1), used_size(2), used_size(3)))).alias("gram"))
-    used = grams.join(wanted.select("gram").distinct(), "gram", "left_semi")
-    freq = used.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    rarest = (wanted.join(freq, "gram").groupBy("query_id", "q")
-              .agg(F.min_by("gram", F.struct("df", "gram")).alias("gram")))
-    hits = used.join(rarest, "gram").where(F.col("hay").contains(F.col("q")))
-    w = W.partitionBy("query_id").orderBy("recipe_id")
-    return (hits.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
-            .select("query_id", "rn", "recipe_id"))
+    postings = (hay.withColumn("_sizes", sizes).select("recipe_id", F.explode(F.array_distinct(F.concat(
+        used_size(1), used_size(2), used_size(3)))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi"))
+    freq = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    rarest = wanted.join(freq, "gram").groupBy("q").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+    hits = postings.join(rarest, "gram").select("q", "recipe_id").join(hay, "recipe_id").where(F.col("hay").contains(F.col("q")))
+    w = W.partitionBy("q").orderBy("recipe_id")
+    top = hits.select("q", "recipe_id", F.row_number().over(w).alias("rn")).where(F.col("rn") <= n)
+    return qs.join(top, "q").select("query_id", "rn", "recipe_id")
 
 
 def food_photos(photos: DataFrame) -> DataFrame:

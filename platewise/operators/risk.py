@@ -206,16 +206,6 @@ def heuristic_risk(ingredient: Column | None = None) -> Column:
         + 0.04 * num.clamp01(F.col("recent_trigger_load")))
 
 
-def heuristic_risk_legacy(ingredient: Column) -> Column:
-    """The older path: five trigger flags over three instead of the group count."""
-    flags = F.lit(0.0)
-    for c in ("contains_garlic", "contains_onion", "contains_wheat", "contains_lactose", "contains_polyols"):
-        flags = flags + F.coalesce(F.col(c), F.lit(0.0))
-    return num.clamp01(
-        0.08 + 0.52 * ingredient + 0.12 * num.clamp01(F.col("fat") / 40.0) + 0.08 * num.clamp01(F.col("calories") / 700.0)
-        + 0.10 * num.clamp01(flags / 3.0) + 0.06 * num.clamp01(F.col("recent_symptom_severity")))
-
-
 def combined_risk(ingredient: Column, symptom: Column, wi: float = 0.4, ws: float = 0.6) -> Column:
     if wi + ws <= 0:
         wi, ws = 0.4, 0.6

@@ -118,7 +118,11 @@ def sink_replace_generation(d: Domain):
     segment = d.table("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("user_id"))
     new = d.preference.where("cast(user_id as long) % 3 != 0").join(segment, "user_id", "left_semi").select(
         "user_id", "recipe_id", (F.col("preference_score") + 1).alias("preference_score"), F.lit("base@2").alias("model_name"))
-    return sinks.replace_generation(current, new, segment, "base@2")
+    root = scratch_path(d.spark, "candidates")
+    sinks.write_table(current, root)
+    for _ in range(2):  # a second run changes nothing
+        sinks.replace_generation_table(d.spark, root, new, segment, "base@2")
+    return sinks.read_table(d.spark, root)
 
 
 @query("sink_upsert", sql(f"""
@@ -133,7 +137,11 @@ def sink_upsert(d: Domain):
     name = F.get(F.array(*map(F.lit, ("red", "gizmo", "tofu"))), (F.col("report_id") % 3).cast("int"))
     updates = d.reports.select("user_id", name.alias("ingredient_name"), F.col("severity").alias("risk_score"),
                                F.col("report_id").alias("exposure_count"))
-    return sinks.upsert(current, updates, ["user_id", "ingredient_name"], "exposure_count")
+    root = scratch_path(d.spark, "risks")
+    sinks.write_table(current, root)
+    for _ in range(2):  # a second run changes nothing
+        sinks.upsert_table(d.spark, root, updates, ["user_id", "ingredient_name"], "exposure_count")
+    return sinks.read_table(d.spark, root)
 
 
 @query("sink_versioned_artifact", sql(f"SELECT count(*) AS n_items, {r6('sum(bias)')} AS bias_sum, 'factors@20240120T0000' AS model_name FROM item_factors", "item_factors"))

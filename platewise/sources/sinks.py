@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -36,9 +37,36 @@ def upsert(current: DataFrame, updates: DataFrame, keys: Sequence[str], order_co
     return current.join(new.select(*keys), list(keys), "left_anti").select(*cols).unionByName(new.select(*cols))
 
 
-def write_generation(df: DataFrame, path: str) -> None:
-    """Candidates partitioned by model; only the partitions present in `df` are overwritten."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_name").parquet(path))
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_table(spark: SparkSession, root: str) -> DataFrame:
+    """The newest complete version of a table written by `write_table`."""
+    newest = spark.read.parquet(f"{root}/versions").agg(F.max_by("folder", "version")).first()[0]
+    return spark.read.parquet(newest)
+
+
+def write_table(df: DataFrame, root: str) -> None:
+    """Writes the rows beside the current version, then appends the pointer that makes them current.
+
+    Readers see the old version until the pointer is there, so a lost writer leaves nothing behind that is read, and
+    `df` may be derived from the version it replaces.
+    """
+    spark = df.sparkSession
+    last = spark.read.parquet(f"{root}/versions").agg(F.max("version")).first()[0] if _exists(spark, f"{root}/versions") else 0
+    folder = f"{root}/data/{last + 1:09d}-{os.urandom(4).hex()}"
+    df.write.parquet(folder)
+    spark.range(1).select(F.lit(last + 1).cast("long").alias("version"), F.lit(folder).alias("folder")).write.mode("append").parquet(f"{root}/versions")
+
+
+def upsert_table(spark: SparkSession, root: str, updates: DataFrame, keys: Sequence[str], order_col: str) -> None:
+    write_table(upsert(read_table(spark, root), updates, keys, order_col), root)
+
+
+def replace_generation_table(spark: SparkSession, root: str, new: DataFrame, users: DataFrame, model_name: str) -> None:
+    write_table(replace_generation(read_table(spark, root), new, users, model_name), root)
 
 
 def publish_factors(spark: SparkSession, root: str, base_name: str, trained_at: str, item_factors: DataFrame,
