@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import FOLD, batches, shared
 
@@ -118,15 +119,11 @@ def edited(text: str, after: str) -> str:
     return text[:len(text) - n] + after[:n]
 
 
-def _buckets(docs: DataFrame, doc_id: str) -> Column:
-    """The number of the range of each document, of ranges about as large as a shuffle partition.
-
-    Bounds are taken from a range partitioning of the ids alone, so that no text is read twice."""
-    ranges = docs.select(F.col(doc_id).alias("i")).where("i is not null").repartitionByRange(F.col("i"))
-    low = ranges.groupBy(F.spark_partition_id().alias("p")).agg(F.min("i").alias("low")).orderBy("low").collect()  # a row per partition
-    bounds = F.array(*[F.lit(r.low) for r in low]) if low else F.array().cast("array<long>")
-    number = F.when(F.col(doc_id).isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col(doc_id)))) if low else F.lit(0)
-    return number.cast("int")
+def _bounds(docs: DataFrame, doc_id: str, ranges: int) -> list:
+    """The least doc_id of each range, by a range partitioning of the ids alone, so that no text is read for them.
+    Their count is given, or small ids would be put into one range."""
+    ids = docs.select(F.col(doc_id).alias("i")).where("i is not null").repartitionByRange(ranges, F.col("i"))
+    return [r.low for r in ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min("i").alias("low")).orderBy("low").collect()]  # a row per range
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rarest: float = RAREST, commonest: float = COMMONEST) -> DataFrame:
@@ -140,16 +137,18 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     empty table gives no rows.
     """
     words = docs.sparkSession.sparkContext.broadcast(Printer(lexicon(docs, text, rarest, commonest)))
-    number = _buckets(docs, doc_id)
+    parts = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = _bounds(docs, doc_id, 4 * parts)  # several small ranges a task even out what hashing them deals unevenly
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def squeeze(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdCompressor(level=3).compress
         for batch in batches(it):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([small((t or "").encode()) for t in batch.column(3).to_pylist()], pa.binary())],
+            bucket = [0 if d is None else bisect_right(bounds, d) for d in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), batch.column(0), batch.column(1), pa.array([small((t or "").encode()) for t in batch.column(2).to_pylist()], pa.binary())],
                                              names=["bucket", "tie", "doc_id", "body"])
 
-    packed = docs.select(number.alias("bucket"), F.xxhash64(F.col(text).cast("string")).alias("tie"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(
+    packed = docs.select(F.xxhash64(F.col(text).cast("string")).alias("tie"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(
         squeeze, f"bucket int, tie long, doc_id {kind}, body binary")
     order = [F.col("bucket"), F.col("doc_id").asc_nulls_first(), F.col("tie")]
 
@@ -186,7 +185,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
         types = [pa.int32(), pa.int32(), pa.binary(), id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns_, types)], names=["bucket", "edge", "body", *columns])
 
-    rows = shared(packed.repartition("bucket").sortWithinPartitions(*order).mapInArrow(walk, f"bucket int, edge int, body binary, {done_type}"), "imatch-rows")
+    rows = shared(packed.repartition(parts, "bucket").sortWithinPartitions(*order).mapInArrow(walk, f"bucket int, edge int, body binary, {done_type}"), "imatch-rows")
     # One first and one last document per bucket: each last one meets the first of the next bucket that has rows.
     first = rows.where("edge = 1").select(F.col("bucket").alias("at"), F.col("body").alias("after"), F.col("fingerprint").alias("print_after"))
     ring = first.select("at").withColumn("next", F.coalesce(F.lead("at").over(W.orderBy("at")), F.min("at").over(W.partitionBy(F.lit(0)))))
