@@ -99,7 +99,8 @@ def stream_user_vector(d: Domain):
 def stream_care_state(d: Domain):
     """Care events as a stream; the tests compare complete days with the batch form."""
     care = d.meals.select("user_id", F.col("logged_at").alias("at"), F.lit("water").alias("care_type")).unionByName(
-        d.reports.select("user_id", F.col("reported_at").alias("at"), F.lit("compost").alias("care_type")))
+        d.reports.select("user_id", F.col("reported_at").alias("at"), F.lit("compost").alias("care_type"))).unionByName(
+        d.checkins.select("user_id", F.col("created_at").alias("at"), F.lit("compost").alias("care_type")))
     root = scratch_path(d.spark, "care")
     each = lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/batch={i}")
     jobs.run_once(jobs.stream_care_state(_as_stream(d, care, "care-events", order="at"), late="1 hour"), "care", "update", each)

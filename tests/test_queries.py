@@ -40,6 +40,11 @@ def test_entry(spark):
     assert df.limit(1).count() == 1 and "final_score" in df.columns
 
 
+def test_every_query_but_models_has_a_check():
+    models = {"mf_explicit", "hybrid_preference", "kmeans_items", "select_training_medoids", "train_symptom_gbt", "score_symptom_risk"}
+    assert set(all_queries()) - set(all_sql()) == models | {"context_assembly", "stream_care_state"}
+
+
 def test_every_check_has_a_query():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
@@ -54,8 +59,7 @@ def test_stream_grades_equal_batch(spark, rows):
 
 def test_stream_care_equals_batch_of_complete_days(spark):
     d = Domain(spark, BASE)
-    none = d.checkins.limit(0)
-    days = habits.care_days(d.meals, d.reports, none)
+    days = habits.care_days(d.meals, d.reports, d.checkins)
     got = {r["user_id"]: r["level"] for r in all_queries()["stream_care_state"](spark, BASE).collect()}
     runs = habits.placed_care(days)
     want = {r["user_id"]: r["n"] for r in runs.where("run_no = 1 and wet and fed").groupBy("user_id").agg(F.count("*").alias("n")).collect()}
