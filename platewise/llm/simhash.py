@@ -173,12 +173,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.col("fp").alias("__fp"), F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, F.col("fp") == F.col("__fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """The documents with the smallest doc_id of each group, all columns; of repeated rows of one doc_id one stays, and
-    rows without a doc_id stay."""
-    groups = near_duplicates(docs, doc_id, text, width)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    named = docs.where(F.col(doc_id).isNotNull()).join(first, F.col(doc_id) == F.col("__keep")).drop("__keep")
-    return named.dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))

@@ -3,7 +3,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
-from platewise.llm import components, mixing, simhash
+from platewise.llm import components, mixing, resemblance, simhash
 from platewise.llm.checks import SQL
 from platewise.llm.queries import QUERIES
 
@@ -93,7 +93,7 @@ def test_near_duplicates_odd_rows(spark):
     assert {c for d, f, c in got if d in (1, 2, 3)} == {1} and {c for d, f, c in got if d in (None, 7, 8)} == {7}
     assert len(got) == 8 and all(f == "0" * 16 for d, f, c in got if d in (1, 2, 3))
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-    kept = simhash.keep_first(docs)
+    kept = resemblance.keep_first(docs)
     assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 7, 9, None]
 
 

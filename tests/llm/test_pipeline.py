@@ -1,10 +1,12 @@
 import collections
+import itertools
+import random
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from platewise.llm import cotraining, mixing, secrets
+from platewise.llm import cotraining, mixing, resemblance, secrets, simhash
 from tests.llm.test_mixing_simhash import brute_components, brute_prints
 
 BASE = "/root/testdata/sf0.001"
@@ -38,9 +40,48 @@ def test_quality_keeps_clean_documents(spark, stages):
 
 def test_dedup_keeps_the_first_of_each_group(stages):
     _, before, after = stages[1]
-    rows = [(r.doc_id, r.text) for r in before.collect()]
-    want = {d for d, c in brute_components(brute_prints(rows, 5)).items() if d == c}
-    assert {r.doc_id for r in after.collect()} == want and after.count() == len(want) < len(rows) + 1
+    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in resemblance.near_copies(before).where("doc_id = component_id").collect()}
+    assert after.count() < before.count() and {tuple(r) for r in after.collect()} <= {tuple(r) for r in before.collect()}
+
+
+def resembling(rows):
+    """Jaccard of the five-word shingles of all pairs that share one, by brute force."""
+    sets = {d: set(simhash.shingles((t or "").encode(), 5)) for d, t in rows}
+    where = collections.defaultdict(list)
+    for d, s in sets.items():
+        for x in s:
+            where[x].append(d)
+    common = collections.Counter(p for docs in where.values() for p in itertools.combinations(sorted(docs), 2))
+    return {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in common.items()}
+
+
+def test_near_copies_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    pairs = resembling(rows)
+    got = {r.doc_id: r.component_id for r in resemblance.near_copies(docs).collect()}
+    assert all(got[a] == got[b] for (a, b), j in pairs.items() if j >= 0.9)
+    near = [got[a] == got[b] for (a, b), j in pairs.items() if j >= 0.8]
+    assert sum(near) >= 0.9 * len(near) > 0
+    linked = {d for p, j in pairs.items() if j >= 0.65 for d in p}
+    assert all(got[d] == d for d in got if d not in linked)  # clean documents stay
+    prints = brute_prints(rows, 5)
+    assert all(got[d] == got[c] for d, c in brute_components(prints).items())  # and no SimHash link is lost
+
+
+def test_edited_copies_are_found(spark):
+    rng = random.Random(4)
+    base = [" ".join(f"w{rng.randrange(4000)}" for _ in range(300)) for _ in range(20)]
+    rows, group = [], {}
+    for g, text in enumerate(base):
+        for k in range(6):
+            words = text.split()
+            for at in rng.sample(range(300), 0 if k == 0 else 3):
+                words[at] = f"x{rng.randrange(10**6)}"
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(words)))
+    got = {r.doc_id: r.component_id for r in resemblance.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: 6 * g for d, g in group.items()}
 
 
 def test_secrets_are_gone(spark, stages):
