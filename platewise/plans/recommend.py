@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
-from ..operators import catalog, cf, content, cookbook, evaluation, preference, ranking, ratings, refresh, risk
+from ..operators import catalog, cf, content, cookbook, preference, ranking, ratings, refresh, risk
 from ..session import write_and_read
 from .health import _CONTEXT, _HEUR, _PROFILE, RISK
-from .mapping import ALIASES, KEYWORDS, NOW, RULE, Domain, lst, n_ing, n_text, r6, sql, ts
+from .mapping import ALIASES, KEYWORDS, NOW, RULE, Domain, lst, md5_unit, n_ing, n_text, r6, sql, ts
 from .registry import query
 from .safety import SIGNAL_DEPS, _GROUPS, _HITS
 
@@ -282,36 +282,48 @@ def cf_user_based(d: Domain):
     return cf.user_based(d.kept("mean_ratings"))
 
 
-@query("mf_explicit")
+@query("mf_explicit", sql(f"SELECT count(*) AS n_test, count(*) AS n_in_scale FROM mean_ratings WHERE {md5_unit(42, 'user_id', 'recipe_id')} < 0.2", "mean_ratings"))
 def mf_explicit(d: Domain):
-    """Error of the factors against that of the global mean, on held-out ratings."""
+    """Every held-out rating gets one prediction inside the scale."""
     parts = write_and_read(ratings.split_train_test(d.mean_ratings), "parts")
     train, test = parts.where("part = 'train'"), parts.where("part = 'test'")
     model = preference.fit_explicit(train, reg=0.3)
-    a = evaluation.rmse(preference.predict_explicit(test, model)).withColumnRenamed("rmse", "rmse_factors")
-    b = evaluation.rmse(test.withColumn("pred", model["meta"].select("global_mean").scalar()))
-    return a.withColumn("rmse_mean", b.scalar())
+    pred = F.col("pred")
+    return preference.predict_explicit(test, model).agg(F.count(F.lit(1)).alias("n_test"), F.count_if(pred.between(0, 5)).alias("n_in_scale"))
 
 
-@query("hybrid_preference")
+@query("hybrid_preference", sql("""
+    SELECT user_id, least(500, (SELECT count(*) FROM recipes) - coalesce(n, 0)) AS n, least(500, (SELECT count(*) FROM recipes) - coalesce(n, 0)) AS n_recipes, 0::BIGINT AS n_excluded
+    FROM (SELECT c_custkey::VARCHAR AS user_id FROM customer) LEFT JOIN (SELECT user_id, count(*) AS n FROM mean_ratings WHERE rating >= 4.5 GROUP BY 1) USING (user_id)""", "mean_ratings", "recipes"))
 def hybrid_preference(d: Domain):
-    """Top candidates of all customers from implicit factors with side features."""
+    """Candidates of all customers from implicit factors with side features: as many as there can be for every user, none
+    twice and none the user rated well."""
     positive = write_and_read(ratings.filter_positive_ratings(d.mean_ratings.withColumn("user_id", F.concat(F.lit("hist_"), "user_id")), d.recipes, 4.5), "positive")
     users = d.table("customer").select(F.concat(F.lit("hist_"), F.col("c_custkey").cast("string")).alias("user_id"))
     items = catalog.item_features(d.recipes)
     side = content.user_side_features(users, users, d.restrictions.withColumn("user_id", F.concat(F.lit("hist_"), "user_id")),
                                       d.generic_risks.withColumn("user_id", F.concat(F.lit("hist_"), "user_id")), d.profile_risks.withColumn("user_id", F.concat(F.lit("hist_"), "user_id")))
     model = preference.fit_hybrid(positive, items, side, d.recipes, users)
-    return preference.recommend(model["item_factors"], model["user_factors"], positive)
+    found = preference.recommend(model["item_factors"], model["user_factors"], positive)
+    known = positive.select("user_id", "recipe_id", F.lit(1).alias("known")).distinct()
+    return (found.join(known, ["user_id", "recipe_id"], "left").groupBy(F.regexp_replace("user_id", "^hist_", "").alias("user_id"))
+            .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("recipe_id").alias("n_recipes"), F.count("known").alias("n_excluded")))
 
 
-@query("kmeans_items")
+@query("kmeans_items", sql("SELECT count(*) AS n, count(*) AS n_nearest FROM recipes", "recipes"))
 def kmeans_items(d: Domain):
-    items, _ = preference.kmeans_items(d.recipes)
-    return items.select("recipe_id", "cluster")
+    """Every item is in the cluster whose center is nearest."""
+    items, centers = preference.kmeans_items(d.recipes)
+    points = F.array(*[F.array(*map(F.lit, r.center)) for r in centers.orderBy("cluster").collect()])  # one row per cluster
+    away = F.transform(points, lambda c: F.aggregate(F.zip_with("scaled", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y))
+    near = F.get(F.col("away"), F.col("cluster")) <= F.array_min("away") + 1e-9
+    return items.withColumn("away", away).agg(F.count(F.lit(1)).alias("n"), F.count_if(near).alias("n_nearest"))
 
 
-@query("select_training_medoids")
+@query("select_training_medoids", "SELECT 5::BIGINT AS n, 5::BIGINT AS n_recipes, 5::BIGINT AS n_own_cluster")
 def select_training_medoids(d: Domain):
+    """One item per cluster, each from its own cluster."""
     items, centers = preference.kmeans_items(d.recipes)
-    return preference.training_medoids(items, centers, ratings.popularity_stats(d.ratings))
+    found = preference.training_medoids(items, centers, ratings.popularity_stats(d.ratings))
+    own = items.select("recipe_id", F.col("cluster").alias("own"))
+    return found.join(own, "recipe_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("recipe_id").alias("n_recipes"), F.count_if(F.col("own") == F.col("cluster")).alias("n_own_cluster"))
