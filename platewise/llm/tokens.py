@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import batches
 
 #: Pieces remembered in each of two generations; the older one is dropped when the younger is full.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Pieces of these parts alone are split here as the files do it: Latin letters (composed, so that normal forms leave
 #: them alone), digits and ASCII marks but for the apostrophe, which the files treat apart.
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
@@ -60,7 +60,7 @@ class Encoder:
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fresh(self, pieces: set[str]) -> Iterator[tuple[str, bytes]]:
+    def _fresh(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of pieces not seen before: simple ones part by part, others by the whole file."""
         simple, parts, known = _SIMPLE.fullmatch, _PARTS[self.word].findall, self.parts
         blank, code, tokenize = self.letters[32], self.code, self.tokenizer.model.tokenize
@@ -98,11 +98,14 @@ class Encoder:
         """Ids of each text with the end id, as little-endian unsigned integers of `kind`."""
         cut = [self._pieces(t) for t in texts]
         known = self.young
-        need = set().union(*(rest for _, rest in cut)) - known.keys()
-        if need:
-            for p in need & self.old.keys():
-                known[p] = self.old[p]
-            known.update(self._fresh(need - known.keys()))
+        old, fresh = self.old, []
+        for p in set().union(*(rest for _, rest in cut)):
+            if p not in known:
+                if p in old:
+                    known[p] = old[p]
+                else:
+                    fresh.append(p)
+        known.update(self._fresh(fresh))
         first = iter(self._bytes([f for f, _ in cut if f is not None]))
         get, end = known.__getitem__, self.end
         out = [b"".join([b"" if f is None else next(first), *map(get, rest), end]) for f, rest in cut]
