@@ -13,7 +13,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import FOLD, batches, shared
+from .common import FOLD_BYTES, batches, shared
 
 #: Terms are kept whose document frequency is a share of all documents in this band: an inverse document frequency of
 #: ln 20 to ln 4000.  A lexicon has no more terms than 4000 times the mean number of distinct terms of a document.
@@ -24,17 +24,18 @@ SUBSETS, LEVELS = 32, (32, 256, 2048)
 FILLED = 8
 DIGITS = 3
 _EMPTY = "-" * DIGITS
+_HEX = [f"{k:0{DIGITS}x}" for k in range(16**DIGITS)]
 
 
-def terms(text: str) -> set[str]:
-    return set(text.translate(FOLD).split())
+def terms(text: str) -> set[bytes]:
+    return set(text.encode().translate(FOLD_BYTES).split())
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     """term, n over whole texts, and the number of documents under the null term; summed up in the tasks first."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["term", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["term", "n"])
 
         seen: Counter = Counter()
         for batch in batches(it, 256):
@@ -46,10 +47,10 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
                 seen = Counter()
         yield out()
 
-    return docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def lexicon(docs: DataFrame, text: str = "text", rarest: float = RAREST, commonest: float = COMMONEST) -> list[str]:
+def lexicon(docs: DataFrame, text: str = "text", rarest: float = RAREST, commonest: float = COMMONEST) -> list[bytes]:
     """The terms of the band, sorted.  Terms of one document only are never in it."""
     counted = shared(document_frequencies(docs, text), "imatch-terms")
     total = counted.where("term is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -60,7 +61,7 @@ def lexicon(docs: DataFrame, text: str = "text", rarest: float = RAREST, commone
 class Printer:
     """Fingerprints by one lexicon: for each level and subset the digits of a hash over the document's terms in it."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[bytes]):
         self.words = words
         self.place = None
 
@@ -79,24 +80,23 @@ class Printer:
         if self.place is None:
             self._ready()
         place, all_ = self.place, terms(text)
-        at = np.array(sorted(place[w] for w in all_ if w in place), np.int64)
+        at = np.sort(np.array([i for i in map(place.get, all_) if i is not None], np.int64))
         if len(at):
             hashes, subset = self.hash[at], self.subset[at]
         else:
             found = sorted(all_)
             hashes = np.array([xxhash.xxh64_intdigest(w, 11) for w in found], np.uint64)
             subset = np.array([[xxhash.xxh32_intdigest(w, level) % level for level in LEVELS] for w in found], np.int64).reshape(-1, len(LEVELS))
-        out = []
-        for level in range(len(LEVELS)):
-            mine = np.flatnonzero(subset[:, level] < SUBSETS)
-            mine = mine[np.argsort(subset[mine, level], kind="stable")]
-            which, start = np.unique(subset[mine, level], return_index=True)
-            digits = [_EMPTY] * SUBSETS
-            data, ends = hashes[mine], [*start[1:], len(mine)]
-            for s, lo, hi in zip(which.tolist(), start.tolist(), ends):
-                digits[s] = f"{xxhash.xxh64_intdigest(data[lo:hi].tobytes(), s) % 16**DIGITS:0{DIGITS}x}"
-            out += digits
-        return "".join(out)
+        digits = [_EMPTY] * (len(LEVELS) * SUBSETS)
+        level, term = np.nonzero(subset.T < SUBSETS)
+        which = level * SUBSETS + subset[term, level]
+        order = np.argsort(which, kind="stable")  # terms stay sorted inside a subset
+        which, data = which[order], hashes[term[order]].tobytes()
+        start = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else which
+        ends = [*start[1:].tolist(), len(which)]
+        for k, lo, hi in zip(which[start].tolist(), start.tolist(), ends):
+            digits[k] = _HEX[xxhash.xxh64_intdigest(data[8 * lo:8 * hi], k) % len(_HEX)]
+        return "".join(digits)
 
 
 def likeness(a: str, b: str) -> float:
