@@ -102,17 +102,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, scratch: str, end: int
     """
     spark = docs.sparkSession
 
-    def compress(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in it:
-            raw = batch.column(4).to_pylist()
-            tie = [zlib.crc32(b) for b in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(3), pa.array(tie, pa.int64()), pa.array(map(squeeze, raw), pa.binary())],
-                                             names=["doc_id", "n_tokens", "tie", "ids"])
-
     kind = docs.schema[doc_id].dataType.simpleString()
-    token_rows(docs, tokenizer, word, end, doc_id, text).mapInArrow(
-        compress, f"doc_id {kind}, n_tokens long, tie long, ids binary").write.option("compression", "none").parquet(scratch)
+    token_rows(docs, tokenizer, word, end, doc_id, text, squeeze=True).write.option("compression", "none").parquet(scratch)
     rows = spark.read.parquet(scratch)
     width = 2  # all files of this library have ids below 2**16
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -120,24 +122,31 @@ def encoder(path: str, word: bool, end: int) -> Encoder:
     return Encoder(path, word, end)
 
 
-def token_rows(docs: DataFrame, path: str, word: bool, end: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def token_rows(docs: DataFrame, path: str, word: bool, end: int, doc_id: str = "doc_id", text: str = "text", squeeze: bool = False) -> DataFrame:
     """part, doc_id, start, n_tokens, ids: the ids of every document with the end id, in the order of each
-    partition; start counts the ids before it in its partition.  Null texts are empty; each row is a document."""
+    partition; start counts the ids before it in its partition.  Null texts are empty; each row is a document.
+
+    With `squeeze` the ids are compressed and `tie`, the crc32 of the plain ones, is added: in the same function, since each
+    further one in a stage would have workers, and encoders, of its own."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = encoder(path, word, end), TaskContext.get().partitionId(), 0
-        width = np.dtype(enc.kind).itemsize
+        width, small = np.dtype(enc.kind).itemsize, zstandard.ZstdCompressor(level=1).compress
         for batch in batches(it, 256):
             ids = enc.encode([t or "" for t in batch.column(1).to_pylist()])
             n = np.array([len(b) // width for b in ids], np.int64)
             start = at + np.cumsum(n) - n
             at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), batch.column(0), pa.array(start), pa.array(n), pa.array(ids, pa.binary())],
-                                             names=["part", "doc_id", "start", "n_tokens", "ids"])
+            arrays, names = [pa.array(np.full(len(n), part, np.int32)), batch.column(0), pa.array(start), pa.array(n)], ["part", "doc_id", "start", "n_tokens"]
+            if squeeze:
+                arrays.append(pa.array([zlib.crc32(b) for b in ids], pa.int64()))
+                names.append("tie")
+                ids = [small(b) for b in ids]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(ids, pa.binary())], names=[*names, "ids"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, f"part int, doc_id {kind}, start long, n_tokens long, ids binary")
+        run, f"part int, doc_id {kind}, start long, n_tokens long, {'tie long, ' if squeeze else ''}ids binary")
 
 
 def wide(ids: bytes, kind: str) -> np.ndarray:
