@@ -83,8 +83,9 @@ def test_item_features(spark, rows):
     df = spark.createDataFrame(
         [(1, [f"ing {i}" for i in range(40)], 28, 3, 40, [350.0] + [0.0] * 6, True), (2, [], None, None, None, None, None)],
         "recipe_id long, ingredients array<string>, minutes int, n_steps int, n_ingredients int, nutrition array<double>, is_ibs_friendly boolean")
-    got = {(r["recipe_id"], r["feature"]): r["weight"] for r in catalog.item_features(df).collect()}
+    got = {(r["recipe_id"], r["feature"]): r["weight"] for r in catalog.item_features(df, max_ingredients=24).collect()}
     assert sum(k[1].startswith("item:ingredient:") for k in got if k[0] == 1) == 24
+    assert catalog.item_features(df).where("recipe_id = 1 and feature like 'item:ingredient:%'").count() == 40  # nothing is cut by default
     assert got[(1, "item:minutes:le_30")] == 0.30 and got[(1, "item:nutrition:calories:le_500")] == 0.12
     assert got[(1, "item:ibs_friendly:True")] == 0.15 and got[(2, "item:ingredient:unknown")] == 0.25
     assert got[(2, "item:minutes:unknown")] == 0.30 and not any(k[0] == 2 and "friendly" in k[1] for k in got)
