@@ -40,6 +40,15 @@ def test_entry(spark):
     assert df.limit(1).count() == 1 and "final_score" in df.columns
 
 
+@pytest.mark.parametrize("named,folder", [(None, BASE), ("/some/where", "/some/where")])
+def test_entry_reads_the_named_folder(monkeypatch, named, folder):
+    monkeypatch.delenv("PLATEWISE_DATA", raising=False)
+    if named:
+        monkeypatch.setenv("PLATEWISE_DATA", named)
+    monkeypatch.setattr(entry_points, "all_queries", lambda: {"rerank_final": lambda spark, base: (spark, base)})
+    assert entry_points.entry("session") == ("session", folder)
+
+
 def test_every_query_but_models_has_a_check():
     assert set(all_queries()) - set(all_sql()) == {"context_assembly", "stream_care_state"}
 
