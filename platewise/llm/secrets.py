@@ -21,9 +21,18 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
+# A line end as such or as written in a string literal, and what else string literals escape in base64.
+_BREAK = r"(?<!\\)(?:\\*\r?\n|(?:\\+r)?\\+n|\\+r|\\+u000[aAdD])"
+_ESCAPES = ((re.compile(_BREAK + r"|(?<!\\)\\+t"), "\n"), (re.compile(r"(?<!\\)\\+(?:/|u002[fF])"), "/"), (re.compile(r"(?<!\\)\\+u002[bB]"), "+"), (re.compile(r"(?<!\\)\\+u003[dD]"), "="))
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s:,\\-]*?)-----END \1-----")
+# The patterns begin with their letters, which is faster than to look behind first.  A run of base64 begins where none goes on, or
+# behind an escaped line end or tab.  Base64 of a sequence (0x30, then a short length or the size of a long one) is M and one of A to I.
+_BASE64 = re.compile(r"[MAb](?:(?<![A-Za-z0-9+/_-].)|(?<=\\[nrt].))(?:(?<=M)[A-I]|(?<=A)AAA|(?<=b)3Blbn)[A-Za-z0-9+/_-]{26,}={0,2}")
+_CODED_PEM = re.compile(r"L(?:(?<![A-Za-z0-9+/_-].)|(?<=\\[nrt].))S0tLS1CRUdJTi[A-Za-z0-9+/_-]+(?:" + _BREAK + r"[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
+_DER_HEX = re.compile(r"30(?<![0-9A-Fa-f]..)[0-9A-Fa-f]{22,}")
+# A full stop may stand on either side if no more of a token lies behind it.
+_TOKEN = re.compile(r"(e[wy](?:(?<![A-Za-z0-9_.-]..)|(?<![A-Za-z0-9_-]\...)(?<=\...)|(?<=\\[nrt]..))[A-Za-z0-9_-]+)\.(e[wy][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)"
+                    r"(?![A-Za-z0-9_-]|\.[A-Za-z0-9_-])")
 _SSH_NAMES = re.compile(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-[a-z0-9-]+|sk-[a-z0-9@.-]+)")
 _DEPTH = 16
 
@@ -106,11 +115,38 @@ def is_signed_token(head: str, body: str, signature: str) -> bool:
             and (header["alg"].lower() == "none" or len(unbase64(signature) or b"") >= 16))
 
 
+def is_pem_key(body: str) -> bool:
+    """What lies between the marks of a PEM block, with line ends as such or escaped."""
+    for escape, plain in _ESCAPES:
+        body = escape.sub(plain, body)
+    data = unbase64("".join("".join(x for x in body.splitlines() if ":" not in x).split()))
+    return bool(data) and (is_der_key(data) or is_ssh_key(data) or "ENCRYPTED" in body and len(data) >= 32)
+
+
+def coded_pem_end(run: str) -> int | None:
+    """The end in `run`, base64 that may be wrapped, of the first PEM key it decodes to; None if there is none."""
+    lines, at = [], 0
+    for gap in [*re.finditer(_BREAK + r"[ \t]*", run), None]:
+        lines.append((at, gap.start() if gap else len(run)))
+        at = gap.end() if gap else at
+    plain = "".join(run[a:b] for a, b in lines).rstrip("=")
+    text = (unbase64(plain[:len(plain) - (len(plain) % 4 == 1)]) or b"").decode("latin-1")
+    for m in _PEM.finditer(text):
+        if is_pem_key(m[2]):
+            need = -(-m.end() * 4 // 3)
+            for a, b in lines:  # the line that holds the last of it goes whole
+                if need <= b - a:
+                    return b
+                need -= b - a
+    return None
+
+
 def spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of all findings by start, then kind; code points, end exclusive.
 
     The base kinds are reported as they match.  Candidates of the other kinds are reported only if what they
-    decode to has the structure of a key or a signed token.
+    decode to has the structure of a key or a signed token.  Hex of a key may have upper-case digits, PEM may have
+    its line ends escaped or be base64 as a whole.
     """
     found = []
     folded = text.encode().translate(FOLD_BYTES)
@@ -122,20 +158,20 @@ def spans(text: str) -> list[tuple[int, int, int]]:
         found.append((m.start(), 2, m.end()))
         if m[0].startswith("30") and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             found.append((m.start(), 4, m.end()))
+    for m in _DER_HEX.finditer(text):
+        if len(m[0]) % 2 == 0 and not HEX.fullmatch(m[0]) and is_der_key(bytes.fromhex(m[0])):
+            found.append((m.start(), 4, m.end()))
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            lines = [x for x in m[2].splitlines() if ":" not in x]
-            data = unbase64("".join("".join(lines).split()))
-            if data and (is_der_key(data) or is_ssh_key(data) or "ENCRYPTED" in m[2] and len(data) >= 32):
-                found.append((m.start(), 3, m.end()))
-    if "MI" in text or "MC" in text or "MF" in text or "MH" in text or "AAAA" in text or "b3BlbnNzaC1rZXktdjE" in text:
-        for m in _BASE64.finditer(text):
-            if m[0][0] == "M" and (data := unbase64(m[0])) and is_der_key(data):
+        found += [(m.start(), 3, m.end()) for m in _PEM.finditer(text) if is_pem_key(m[2])]
+    if "LS0tLS1CRUdJTi" in text:
+        found += [(m.start(), 3, m.start() + end) for m in _CODED_PEM.finditer(text) if (end := coded_pem_end(m[0]))]
+    for m in _BASE64.finditer(text):
+        if m[0][0] == "M":
+            if (data := unbase64(m[0])) and is_der_key(data):
                 found.append((m.start(), 4, m.end()))
-            elif m[0].startswith(("AAAA", "b3Blbn")) and (data := unbase64(m[0])) and is_ssh_key(data):
-                found.append((m.start(), 5, m.end()))
-    if "eyJ" in text:
-        found += [(m.start(), 6, m.end()) for m in _TOKEN.finditer(text) if is_signed_token(*m.groups())]
+        elif (data := unbase64(m[0])) and is_ssh_key(data):
+            found.append((m.start(), 5, m.end()))
+    found += [(m.start(), 6, m.end()) for m in _TOKEN.finditer(text) if is_signed_token(*m.groups())]
     return sorted(found)
 
 

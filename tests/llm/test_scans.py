@@ -94,6 +94,31 @@ def test_structures_are_confirmed(text, kinds):
     assert {secrets.KINDS[k] for _, k, _ in secrets.spans(text)} == kinds
 
 
+OID = lambda *b: der(0x06, bytes(b))
+P224 = der(0x30, der(0x30, OID(0x2a, 0x86, 0x48, 0xce, 0x3d, 2, 1) + OID(0x2b, 0x81, 4, 0, 0x21)) + der(0x03, b"\0\4" + b"q" * 56))
+ED448 = der(0x30, der(0x02, b"\0") + der(0x30, OID(0x2b, 0x65, 0x71)) + der(0x04, der(0x04, b"e" * 57)))
+SEC1 = der(0x30, der(0x02, b"\1") + der(0x04, b"p" * 32) + der(0xa0, OID(0x2a, 0x86, 0x48, 0xce, 0x3d, 3, 1, 7)))
+LINES = [B64(KEY)[i:i + 64] for i in range(0, len(B64(KEY)), 64)]
+PEM = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", *LINES, "-----END RSA PRIVATE KEY-----"])
+WRAPPED = "\n".join(B64(PEM.encode())[i:i + 76] for i in range(0, len(B64(PEM.encode())), 76))
+
+
+@pytest.mark.parametrize("kind,secret,before,after", [
+    *[("der", B64(k), "key ", " end") for k in (P224, ED448, SEC1)], ("der", B64(P224), r'"\n', r'\n"'), ("der", KEY.hex().upper(), "hex ", " end"), ("der", "30" + KEY.hex()[2:].upper(), "0x", ";"),
+    ("jwt", JWT, "Use ", ". Next"), ("jwt", JWT, "Use ", "."), ("jwt", JWT, "Use ...", "... Next"), ("jwt", JWT, r"a\n", r"\n"),
+    ("pem", json.dumps(PEM)[1:-1], '{"private_key": "', '"}'), ("pem", json.dumps(PEM.replace("\n", "\r\n") + "\n")[1:-3], '"', r'\n"'), ("pem", json.dumps(json.dumps(PEM))[3:-3], r'"\"', r'\""'),
+    ("pem", json.dumps(PEM)[1:-1].replace("/", r"\/"), '"', '"'), ("pem", PEM.replace("\n", "\\\n"), "'", "'"),
+    ("pem", B64(PEM.encode()), "tls.key: ", "\nNext line"), ("pem", B64(PEM.encode() + b"\n"), "tls.key: ", ""), ("pem", WRAPPED, "data:\n", "\nNext line"), ("pem", WRAPPED.replace("\n", "\\n"), '"', '"')])
+def test_other_spellings_of_keys_are_found(kind, secret, before, after):
+    found = {(secrets.KINDS[k], start, end) for start, k, end in secrets.spans(before + secret + after) if k > 2}
+    assert (kind, len(before), len(before) + len(secret)) in found and {k for k, _, _ in found} == {kind}
+
+
+@pytest.mark.parametrize("text", [B64(P224[:-3]), P224.hex().upper()[:-2], JWT + ".more", "more." + JWT, json.dumps(PEM)[1:-1].replace("K", r"\x"), B64(PEM[:-9].encode()), B64(PEM.replace(LINES[1], "").encode()), "ME" + "z" * 60])
+def test_broken_spellings_are_not_found(text):
+    assert not [f for f in secrets.spans(text) if f[1] > 2]
+
+
 def test_base_findings_on_documents(spark):
     base = "/root/testdata/sf0.1"  # the smaller ones hold no secrets
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{base}/documents.parquet").collect()}
