@@ -84,6 +84,30 @@ def test_edited_copies_are_found(spark):
     assert got == {d: 6 * g for d, g in group.items()}
 
 
+def test_resemblance_is_exact(spark):
+    """Pairs whose last shingles differ, on both sides of 0.8."""
+    rng = random.Random(7)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for shingles, changed in (12, 1), (20, 1), (30, 2), (40, 3), (96, 10), (40, 6), (20, 3), (12, 2), (600, 66), (600, 68):
+        for _ in range(100):
+            base = words(shingles + 4)
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[:len(base) - changed] + words(changed)))]
+    pairs = resembling(rows)
+    assert len(pairs) == 1000 and 0.7 < min(pairs.values()) < 0.8 < max(pairs.values())
+    prints = brute_prints(rows, 5)
+    near = {p for p, j in pairs.items() if j >= 0.8 or (prints[p[0]] ^ prints[p[1]]).bit_count() <= 2}
+    got = {r.doc_id: r.component_id for r in resemblance.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {p for p in pairs if got[p[0]] == got[p[1]]} == near
+
+
+def test_texts_that_share_a_fingerprint_or_doc_id_keep_their_links(spark):
+    line = [f"w{i}" for i in range(34)]
+    rows = [(1, "some other words"), (5, " ".join(line)), (5, "one two three"), (7, " ".join(line[:32] + ["x", "y"]))]
+    got = {(r.doc_id, r.component_id) for r in resemblance.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (5, 5), (7, 5)}
+
+
 def test_secrets_are_gone(spark, stages):
     _, before, after = stages[2]
     old, new = {r.doc_id: r for r in before.collect()}, {r.doc_id: r for r in after.collect()}
