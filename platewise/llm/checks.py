@@ -31,3 +31,10 @@ select doc_id, size, source_size, target,
        cast((floor(rate) + floor(start + (k + 1) * (rate - floor(rate))) - floor(start + k * (rate - floor(rate)))) * size as bigint) as taken
 from mixed
 """
+
+SQL["op13_stream_dedup"] = """
+with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as n from documents)
+select doc_id, max(doc_id) over (partition by n) as keep_id, count(*) over (partition by n) as group_size,
+       row_number() over (partition by n order by doc_id desc nulls last) = 1 as kept, sha256(n) as text_sha256
+from t
+"""

@@ -19,6 +19,7 @@ from .ppm import score_documents
 from .rans import read_ids, write_ids
 from .secrets import scan
 from .simhash import near_duplicates
+from .stream_dedup import deduplicate
 
 
 def op1_simhash_near_dedup(spark: SparkSession, base: str) -> DataFrame:
@@ -63,5 +64,10 @@ def op10_nearest_neighbours(spark: SparkSession, base: str) -> DataFrame:
     return search(table(spark, base, "embeddings"))
 
 
+def op13_stream_dedup(spark: SparkSession, base: str) -> DataFrame:
+    return deduplicate(spark, f"{base}/documents.parquet")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_lm_scoring, op3_packing, op4_token_files, op5_quality_classifier, op6_document_fingerprints, op7_license_scans, op8_mix_sources, op9_secret_scans, op10_nearest_neighbours)}
+    op1_simhash_near_dedup, op2_lm_scoring, op3_packing, op4_token_files, op5_quality_classifier, op6_document_fingerprints, op7_license_scans, op8_mix_sources, op9_secret_scans, op10_nearest_neighbours,
+    op13_stream_dedup)}
