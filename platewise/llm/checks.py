@@ -38,3 +38,18 @@ select doc_id, max(doc_id) over (partition by n) as keep_id, count(*) over (part
        row_number() over (partition by n order by doc_id desc nulls last) = 1 as kept, sha256(n) as text_sha256
 from t
 """
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SQL["op11_lexical_search"] = f"""
+with d as (select row_number() over () as r, doc_id, {_TERMS} as terms from documents),
+s as (select r, doc_id, cast(len(terms) as bigint) as n from d where len(terms) > 0),
+g as (select cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as n_terms from s),
+tf as (select r, t, cast(count(*) as bigint) as tf from (select r, unnest(terms) as t from d) group by r, t),
+w as (select t, cast(floor(1000 * ln(cast(2 * (select n_docs from g) + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as w from tf group by t),
+i as (select distinct item_id, unnest({_TERMS}) as t from benchmark),
+x as (select i.item_id, s.doc_id, s.r, cast(sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (10 + (90 * s.n * (select n_docs from g)) // (select n_terms from g))))) as bigint) as score
+      from i join tf using (t) join w using (t) join s on s.r = tf.r group by all),
+ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from x where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10
+"""

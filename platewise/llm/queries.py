@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
+from .alignment import alignment_report
 from .ann import search
 from .common import table
 from .cotraining import classify
 from .imatch import fingerprints
+from .lexical import ranked_search
 from .licenses import scan_licenses
 from .mixing import mix
 from .packing import pack
@@ -64,10 +66,18 @@ def op10_nearest_neighbours(spark: SparkSession, base: str) -> DataFrame:
     return search(table(spark, base, "embeddings"))
 
 
+def op11_lexical_search(spark: SparkSession, base: str) -> DataFrame:
+    return ranked_search(table(spark, base, "documents"), table(spark, base, "benchmark"))
+
+
+def op12_cross_tokenizer(spark: SparkSession, base: str) -> DataFrame:
+    return alignment_report(table(spark, base, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_stream_dedup(spark: SparkSession, base: str) -> DataFrame:
     return deduplicate(spark, f"{base}/documents.parquet")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_lm_scoring, op3_packing, op4_token_files, op5_quality_classifier, op6_document_fingerprints, op7_license_scans, op8_mix_sources, op9_secret_scans, op10_nearest_neighbours,
-    op13_stream_dedup)}
+    op11_lexical_search, op12_cross_tokenizer, op13_stream_dedup)}
