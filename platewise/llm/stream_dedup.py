@@ -23,6 +23,8 @@ LARGE, SHARE = 1000, 1000
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Files grow as they are written: a store would else take some 4 MB at once, however few rows it has.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     # All stores of an executor share one bounded cache.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
