@@ -109,7 +109,7 @@ def distinct_on_latest(d: Domain):
 @query("topn_candidates", sql(f"""
     SELECT user_id, rn, recipe_id, {r6('preference_score')} AS preference_score FROM preference""", "preference"))
 def topn_candidates(d: Domain):
-    return ranking.topn(d.mean_ratings.withColumnRenamed("rating", "preference_score"), 20)
+    return ranking.topn(d.mean_ratings.withColumnRenamed("rating", "preference_score"))
 
 
 @query("topk_with_backfill", sql(f"""
