@@ -9,20 +9,29 @@ from pyspark.sql import functions as F
 
 from ..operators import checkins as ck
 from ..session import scratch_path, write_and_read
-from ..streaming import jobs
+from ..streaming import grades, jobs
 from .health import _EVIDENCE, _PAIRS
 from .mapping import TRAINED_AT, Domain, n_ing, r6, sql, status, ts
 from .registry import query
 from .safety import GRADE_CTES, GRADE_DEPS, GRADES
 
 
-def _as_stream(d: Domain, df, name: str, parts: int = 4, order: str = "at"):
-    """Write a frame as a few files, one after the other in time order, and read one file per batch."""
+#: Rows of a file of a stream's input.
+FILE_ROWS = 200_000
+
+
+def _as_stream(d: Domain, df, name: str, parts: int = 4, order: str = "at", last=None):
+    """Lays a frame out as the input of a stream: `parts` batches that follow each other in time, each of as many files as its
+    rows need; a batch's files are written side by side and are not sorted.  `last` is a frame that arrives after all."""
     path = scratch_path(d.spark, name)
-    laid = write_and_read(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), f"{name}-laid")
-    for k in range(parts):
-        laid.where(F.col("_part") == k).drop("_part").coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
-    return jobs.file_stream(d.spark, path, df.schema, files=1)
+    laid = write_and_read(df.repartitionByRange(parts * 8, order).withColumn("_part", F.floor(F.spark_partition_id() / 8).cast("int")), f"{name}-laid")
+    n = {r[0]: r[1] for r in laid.groupBy("_part").count().collect()}
+    files = max(1, -(-max(n.values(), default=1) // FILE_ROWS))
+    for k in range(parts):  # one after the other, since files are taken by the time they were written
+        laid.where(F.col("_part") == k).drop("_part").repartition(files).write.mode("append").parquet(path)
+    if last is not None:
+        last.coalesce(1).write.mode("append").parquet(path)
+    return jobs.file_stream(d.spark, path, df.schema, files=files)
 
 
 def _names(d: Domain):
@@ -58,7 +67,7 @@ def stream_attribution(d: Domain):
     FROM (SELECT *, least(1.0, (positive + 0.75) / (positive + negative + 3)) AS risk, least(1.0, (positive + negative) / 6) AS conf FROM e)""", "reports", "exposures", pairs_=_PAIRS, e=_EVIDENCE))
 def stream_risk_state(d: Domain):
     root = scratch_path(d.spark, "risk-deltas")
-    jobs.run_once(_attributed(d), "risk", each=jobs.risk_batches(root))
+    jobs.run_once(_attributed(d), "risk", each=jobs.risk_batches(root, every=2))
     return jobs.current_risks(d.spark, root)
 
 
@@ -69,9 +78,9 @@ def stream_checkin_ewma(d: Domain):
         "user_id", "ingredient_name", "checkin_id", "created_at", "severity", "freq", "evidence")
     root = scratch_path(d.spark, "grades")
     each = lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/batch={i}")
-    jobs.run_once(jobs.stream_checkin_ewma(_as_stream(d, rows, "evidence", order="created_at")), "ewma", "update", each)
-    return d.spark.read.parquet(root).groupBy("user_id", "ingredient_name").agg(
-        F.max_by(F.struct("grade", "confidence", "evidence_count"), "evidence_count").alias("g")).select("user_id", "ingredient_name", "g.*")
+    stream = _as_stream(d, rows, "evidence", order="created_at", last=grades.closing_mark(rows))
+    jobs.run_once(grades.stream_checkin_ewma(stream), "ewma", "update", each, **grades.ON_DISK)
+    return grades.newest_grades(d.spark.read.schema(grades.OUT).parquet(root)).drop("late")
 
 
 @query("stream_trending", sql(f"""
@@ -90,7 +99,7 @@ def stream_user_vector(d: Domain):
     root = scratch_path(d.spark, "vectors")
     each = lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/batch={i}")
     log = _as_stream(d, d.app_log, "log", order="created_at")
-    jobs.run_once(jobs.stream_user_vector(log, d.item_factors, TRAINED_AT), "vector", "complete", each)
+    jobs.run_once(jobs.stream_user_vector(log, d.item_factors, TRAINED_AT), "vector", "update", each)
     last = d.spark.read.parquet(root)
     return last.groupBy("user_id", "dim").agg(F.max_by(F.struct("num", "den"), "batch").alias("x")).select("user_id", "dim", "x.num", "x.den")
 

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import vocab
 from ..functions import numbers as num, text as tx
-from ..operators.checkins import ewma_step
 from ..operators.exposure import risk_columns
 from ..session import scratch_path
 
@@ -23,15 +22,21 @@ def file_stream(spark: SparkSession, path: str, schema, files: int = 100) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> str:
-    """Process what is there, then stop; returns the folder of the results."""
+def run_once(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None,
+             marks: str | None = None, **conf: str) -> str:
+    """Process what is there, then stop; returns the folder of the results.  `conf` holds for this stream only; with
+    the `marks` of an earlier run it goes on from there."""
     spark = stream.sparkSession
-    out, marks = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-marks")
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True)
-    if each is None:
-        query = writer.format("parquet").option("path", out).start()
-    else:
-        query = writer.foreachBatch(each).start()
+    out, marks = scratch_path(spark, f"{name}-out"), marks or scratch_path(spark, f"{name}-marks")
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True)
+        query = writer.format("parquet").option("path", out).start() if each is None else writer.foreachBatch(each).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     if query.exception():
         raise query.exception()
@@ -70,37 +75,64 @@ def evidence_of(attributed: DataFrame) -> DataFrame:
         F.sum(F.when(good, w * F.greatest(F.lit(0.1), 1 - s)).otherwise(0.0)).alias("negative"))
 
 
-def risk_batches(root: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer: evidence deltas, one folder per batch.  A batch that runs again replaces its
-    own folder, so a restart adds nothing twice."""
+def risk_batches(root: str, every: int = 16) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer: evidence deltas, one folder per batch, folded into a base after every `every` batches.
+
+    A batch that runs again replaces its own delta.  A base is named by the last batch in it and counts once its
+    writer has committed it; it is made of the base before it and the deltas in between, so an interrupted
+    folding is done again from the same parts, and nothing is lost or added twice.  What the last base but one holds is
+    removed: readers may still be at work on the last.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        evidence_of(batch).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        evidence_of(batch).write.mode("overwrite").parquet(f"{root}/deltas/batch={batch_id}")
+        if (batch_id + 1) % every == 0:
+            fold_risks(batch.sparkSession, root, batch_id)
     return write
 
 
+def _folders(spark: SparkSession, root: str, name: str) -> list[int]:
+    """Numbers of the committed folders `root/name=...`."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}=*/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def risk_parts(spark: SparkSession, root: str, upto: int | None = None) -> tuple[DataFrame, int, list[int]]:
+    """Evidence sums of the base and the deltas after it, the base's last batch (-1 without one), and those deltas.
+    With `upto` as of that batch, from a base before it."""
+    bases = [b for b in _folders(spark, f"{root}/base", "upto") if upto is None or b < upto]
+    last = bases[-1] if bases else -1
+    open_ = [b for b in _folders(spark, f"{root}/deltas", "batch") if b > last and (upto is None or b <= upto)]
+    paths = ([f"{root}/base/upto={last}"] if bases else []) + [f"{root}/deltas/batch={b}" for b in open_]
+    kind = "user_id string, normalized_name string, exposures long, positive double, negative double"
+    rows = spark.read.schema(kind).parquet(*paths) if paths else spark.createDataFrame([], kind)
+    return rows.groupBy("user_id", "normalized_name").agg(*[F.sum(c).alias(c) for c in ("exposures", "positive", "negative")]), last, open_
+
+
+def fold_risks(spark: SparkSession, root: str, upto: int) -> None:
+    sums, last, _ = risk_parts(spark, root, upto)
+    sums.write.mode("overwrite").parquet(f"{root}/base/upto={upto}")
+    for b in _folders(spark, f"{root}/deltas", "batch"):
+        if b <= last:
+            _remove(spark, f"{root}/deltas/batch={b}")
+    for b in _folders(spark, f"{root}/base", "upto"):
+        if b < last:
+            _remove(spark, f"{root}/base/upto={b}")
+
+
 def current_risks(spark: SparkSession, root: str) -> DataFrame:
-    """Sum of all deltas with score, confidence and status."""
-    sums = spark.read.parquet(root).groupBy("user_id", "normalized_name").agg(
-        F.sum("exposures").alias("exposure_count"), F.sum("positive").alias("positive_evidence"), F.sum("negative").alias("negative_evidence"))
+    """Base plus open deltas with score, confidence and status: one row per key and fewer than `every` deltas are read."""
+    sums = risk_parts(spark, root)[0].select("user_id", "normalized_name", F.col("exposures").alias("exposure_count"),
+                                             F.col("positive").alias("positive_evidence"), F.col("negative").alias("negative_evidence"))
     risk, conf = risk_columns(F.col("positive_evidence"), F.col("negative_evidence"))
     return sums.select("*", F.round(risk, 4).alias("risk_score"), F.round(conf, 4).alias("confidence"), num.status_ladder(risk, conf).alias("status"))
 
 
-def stream_checkin_ewma(evidence: DataFrame) -> DataFrame:
-    """Running grade per (user, ingredient): one output row per group and batch."""
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        grade, conf, n = state.get if state.exists else (0.0, 0.0, 0)
-        rows = pd.concat(list(batches)).sort_values(["created_at", "checkin_id"], kind="stable")
-        for r in rows.itertuples(index=False):
-            grade, conf, n = ewma_step(grade, conf, n, r.severity, r.freq, r.evidence)
-        state.update((grade, conf, n))
-        yield pd.DataFrame([(*key, grade, conf, n)], columns=["user_id", "ingredient_name", "grade", "confidence", "evidence_count"])
-
-    return evidence.groupBy("user_id", "ingredient_name").applyInPandasWithState(
-        step, "user_id string, ingredient_name string, grade double, confidence double, evidence_count long",
-        "grade double, confidence double, n long", "update", "NoTimeout")
-
-
 def stream_trending(interactions: DataFrame, days: int = vocab.TRENDING_DAYS, late: str = LATE) -> DataFrame:
     """Positive interactions per recipe in windows of `days` that slide by a day."""
     return (interactions.where(F.col("interaction_type").isin(*vocab.POSITIVE_TYPES)).withWatermark("created_at", late)
