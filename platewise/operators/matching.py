@@ -16,18 +16,38 @@ def alias_frame(spark: SparkSession, aliases: Mapping[str, Sequence[str]], key:
     return spark.createDataFrame(rows, f"{key} string, phrase string")
 
 
+#: First tokens or letter grams that are sent along with every text at most; with more, texts meet them in a join.
+PRUNE = 20_000
+
+
+def _known(df: DataFrame, col: str):
+    """The distinct values as one array, null if there are more than PRUNE: a scalar column."""
+    some = df.select(F.col(col).alias("_v")).where("_v is not null").distinct().limit(PRUNE + 1)
+    return some.agg(F.when(F.count(F.lit(1)) <= PRUNE, F.collect_list("_v"))).scalar()
+
+
+def _only(values: str, known: str):
+    """Distinct values that are known, or all of them where what is known is too much to be sent along."""
+    return F.when(F.col(known).isNull(), F.array_distinct(values)).otherwise(F.array_intersect(values, known))
+
+
 def phrase_hits(texts: DataFrame, phrases: DataFrame, text_col: str, phrase_col: str = "phrase") -> DataFrame:
     """Rows of `texts` joined to the phrases their text contains, token-bounded.
 
-    Every text is expanded to its token n-grams, up to the longest phrase of the table, and meets
-    the phrases by equality.
+    Phrases are indexed by their first token.  Of a text only the tokens that begin some phrase leave it; at their places it is
+    cut to the lengths of the phrases that begin so, and these pieces meet the phrases by equality.  Null and
+    empty texts and phrases match nothing.
     """
-    longest = phrases.agg(F.max(F.size(F.split(phrase_col, " ")))).scalar()
-    grams = (texts.withColumn("_longest", F.coalesce(longest, F.lit(1)))
-             .withColumn("_tok", F.split(text_col, " "))
-             .withColumn("_gram", F.explode(tx.ngrams("_tok", "_longest")))
-             .where(F.col("_gram") != "").drop("_longest", "_tok"))
-    return grams.join(phrases, grams["_gram"] == phrases[phrase_col]).drop("_gram")
+    tokens = F.split(phrase_col, " ")
+    index = (phrases.where(F.col(phrase_col) != "").select(tokens[0].alias("_first"), F.size(tokens).alias("_k")).distinct()
+             .groupBy("_first").agg(F.collect_list("_k").alias("_sizes")))
+    begun = (texts.withColumn("_known", _known(phrases.where(F.col(phrase_col) != "").select(tokens[0].alias("_first")), "_first"))
+             .withColumn("_tok", F.split(text_col, " ")).withColumn("_first", F.explode(_only("_tok", "_known"))).drop("_known")
+             .join(index, "_first"))
+    pieces = F.expr("array_distinct(flatten(transform(filter(sequence(1, size(_tok)), i -> _tok[i - 1] = _first), i -> transform("
+                    "filter(_sizes, k -> i + k - 1 <= size(_tok)), k -> array_join(slice(_tok, i, k), ' ')))))")
+    cut = begun.withColumn("_gram", F.explode(pieces)).where("_gram != ''").drop("_first", "_tok", "_sizes")
+    return cut.join(phrases, cut["_gram"] == phrases[phrase_col]).drop("_gram")
 
 
 def bidirectional_hits(left: DataFrame, right: DataFrame, tokenized: bool = True) -> DataFrame:
@@ -43,15 +63,32 @@ def bidirectional_hits(left: DataFrame, right: DataFrame, tokenized: bool = True
     return one.select("left_id", "right_id").unionByName(two.select("left_id", "right_id")).distinct()
 
 
+#: Letters of the grams that texts and needles meet by.
+GRAM = 3
+
+
+def _grams(text: str, size: str):
+    """All runs of `size` letters, each once."""
+    return F.expr(f"array_distinct(transform(sequence(1, greatest(1, length({text}) - {size} + 1)), i -> substring({text}, i, {size})))")
+
+
 def _substring_hits(texts: DataFrame, needles: DataFrame, text_col: str, needle_col: str) -> DataFrame:
-    """Substring containment by equality: all pieces of a text as long as some needle."""
-    sizes = needles.agg(F.collect_set(F.length(needle_col))).scalar()
-    pieces = (texts.withColumn("_sizes", sizes)
-              .withColumn("_piece", F.explode(F.array_distinct(F.expr(
-                  f"flatten(transform(filter(_sizes, k -> k <= length({text_col})), k -> transform("
-                  f"sequence(1, length({text_col}) - k + 1), i -> substring({text_col}, i, k))))"))))
-              .drop("_sizes"))
-    return pieces.join(needles, pieces["_piece"] == needles[needle_col]).drop("_piece")
+    """Substring containment: a needle is indexed by that of its grams of three letters that fewest texts have (shorter needles by
+    themselves); texts that have the gram are compared with the needle.  A text gives no more pieces than it has letters,
+    three times at most, whatever the needles' lengths."""
+    size = F.least(F.lit(GRAM), F.length(needle_col))
+    own = needles.where(F.length(needle_col) > 0).select(F.col(needle_col).alias("_needle")).distinct().withColumn("_size", F.least(F.lit(GRAM), F.length("_needle")))
+    marks = own.select("_needle", F.explode(_grams("_needle", "_size")).alias("_gram"))
+    sizes = needles.agg(F.collect_set(size)).scalar()
+    pieces = F.expr(f"flatten(transform(filter(_sizes, k -> k > 0 and k <= length({text_col})), k -> transform(sequence(1, length({text_col}) - k + 1), "
+                    f"i -> substring({text_col}, i, k))))")
+    cut = (texts.withColumn("_sizes", sizes).withColumn("_known", _known(marks, "_gram")).withColumn("_pieces", pieces)
+           .withColumn("_gram", F.explode(_only("_pieces", "_known"))).drop("_sizes", "_pieces", "_known"))
+    held = cut.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = marks.join(held, "_gram", "left").groupBy("_needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_r"))
+    index = needles.join(rarest.select("_needle", F.col("_r._gram").alias("_rare")), F.col(needle_col) == F.col("_needle"))
+    met = cut.join(index, F.col("_gram") == F.col("_rare")).where(F.contains(text_col, needle_col))
+    return met.drop("_gram", "_rare", "_needle")
 
 
 def expand_names(df: DataFrame, name_col: str, aliases: Mapping[str, Sequence[str]] = vocab.RESTRICTION_ALIASES,
