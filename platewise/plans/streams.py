@@ -11,7 +11,8 @@ from ..operators import checkins as ck
 from ..session import scratch_path, write_and_read
 from ..streaming import grades, jobs
 from .health import _EVIDENCE, _PAIRS
-from .mapping import TRAINED_AT, Domain, n_ing, r6, sql, status, ts
+from .mapping import TRAINED_AT, Domain, day, n_ing, r6, sql, status, ts
+from .panels import _CARE, _CARE_DEPS, _PLACED, _SPARSE, _TZ
 from .registry import query
 from .safety import GRADE_CTES, GRADE_DEPS, GRADES
 
@@ -104,17 +105,22 @@ def stream_user_vector(d: Domain):
     return last.groupBy("user_id", "dim").agg(F.max_by(F.struct("num", "den"), "batch").alias("x")).select("user_id", "dim", "x.num", "x.den")
 
 
-@query("stream_care_state")
+@query("stream_care_state", sql(f"""
+    SELECT user_id, {day('planted')} AS planted, {day('last')} AS last_care, {day('last + 7')} AS died, coalesce(level, 0)::BIGINT AS level, coalesce(streak, 0)::BIGINT AS streak, coalesce(best, 0)::BIGINT AS best_streak
+    FROM (SELECT user_id, run_no, min(d) AS planted, max(d) AS last FROM placed GROUP BY ALL) LEFT JOIN (
+        SELECT user_id, run_no, sum(n) AS level, max(n) AS best, arg_max(n, stop) AS streak FROM (SELECT user_id, run_no, count(*) AS n, max(d) AS stop FROM (
+            SELECT user_id, run_no, d, d - (row_number() OVER (PARTITION BY user_id, run_no ORDER BY d))::INT AS isle FROM placed WHERE both_) GROUP BY user_id, run_no, isle) GROUP BY ALL) USING (user_id, run_no)""",
+    *_CARE_DEPS, care=_CARE, sparse=_SPARSE, placed=_PLACED))
 def stream_care_state(d: Domain):
-    """Care events as a stream; the tests compare complete days with the batch form."""
-    care = d.meals.select("user_id", F.col("logged_at").alias("at"), F.lit("water").alias("care_type")).unionByName(
-        d.reports.select("user_id", F.col("reported_at").alias("at"), F.lit("compost").alias("care_type"))).unionByName(
-        d.checkins.select("user_id", F.col("created_at").alias("at"), F.lit("compost").alias("care_type")))
-    root = scratch_path(d.spark, "care")
-    each = lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/batch={i}")
-    jobs.run_once(jobs.stream_care_state(_as_stream(d, care, "care-events", order="at"), late="1 hour"), "care", "update", each)
-    best = d.spark.read.parquet(root).groupBy("user_id").agg(F.max_by(F.struct("level", "streak", "status"), "batch").alias("x"))
-    return best.select("user_id", "x.level", "x.streak", "x.status")
+    """All runs of care, the later part of the month moved on by eight days so that runs end in between; a last row without
+    user closes those that are open at the end."""
+    rows = [df.select("user_id", F.from_utc_timestamp(F.col(c), _TZ).alias("at"), F.lit(kind).alias("care_type"))
+            for df, c, kind in ((d.meals, "logged_at", "water"), (d.reports, "reported_at", "compost"), (d.checkins, "created_at", "compost"))]
+    late = F.dayofmonth("at") >= F.length("user_id") + 8
+    care = rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("at", F.when(late, F.col("at") + F.expr("interval 8 days")).otherwise(F.col("at")))
+    end = care.agg((F.max("at") + F.expr("interval 30 days")).alias("at")).select(F.lit(None).cast("string").alias("user_id"), "at", F.lit("end").alias("care_type"))
+    stream = _as_stream(d, care, "care-events", order="at", last=end)
+    return d.spark.read.parquet(jobs.run_once(jobs.stream_care_state(stream), "care"))
 
 
 @query("stream_reward_dedup", sql("""

@@ -5,9 +5,8 @@ Each job is a plan from streams to a stream; `run_once` drives one over the avai
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import vocab
@@ -149,41 +148,29 @@ def stream_user_vector(interactions: DataFrame, item_factors: DataFrame, trained
     return rows.groupBy("user_id", "dim").agg(F.sum(F.col("w") * F.col("v")).alias("num"), F.sum("w").alias("den"))
 
 
-def stream_care_state(care: DataFrame, late: str = "7 days") -> DataFrame:
-    """Level, streak and death per user from care events (user_id, at, care_type).
+def stream_care_state(care: DataFrame, late: str = "7 days", gap: int = vocab.DEATH_DAYS) -> DataFrame:
+    """Runs of care (user_id, at, care_type), each once it has ended: planted, last_care, died, level, streak, best_streak.
 
-    Days are held until the watermark has passed them, then applied in order; a tree left for seven
-    days dies and takes no more care.
+    A run is a session of days of care with fewer than `gap` days from one to the next; care that comes late joins the
+    sessions it lies between.  A session is closed when the watermark has passed its last day by `gap` days.  Level is
+    the number of days with both kinds of care, streaks are runs of such days, `streak` the last of them.
     """
-    fields = "level long, streak long, last_growth date, last_care date, dead boolean, days array<struct<d: date, wet: boolean, fed: boolean>>"
-
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        level, streak, grown, cared, dead, days = state.get if state.exists else (0, 0, None, None, False, [])
-        book = {x[0]: [bool(x[1]), bool(x[2])] for x in (days or [])}
-        for pdf in batches:
-            for at, kind in zip(pd.to_datetime(pdf["at"]).dt.date, pdf["care_type"]):
-                if cared is None or at > cared:
-                    book.setdefault(at, [False, False])[0 if kind == "water" else 1] = True
-        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms").date()
-        for d in sorted(x for x in book if x < mark):
-            wet, fed = book.pop(d)
-            dead = dead or (cared is not None and (d - cared).days >= vocab.DEATH_DAYS)
-            if dead:
-                continue
-            cared = d
-            if wet and fed:
-                streak = streak + 1 if grown is not None and (d - grown).days == 1 else 1
-                level, grown = level + 1, d
-        dead = dead or (cared is not None and not book and (mark - cared).days > vocab.DEATH_DAYS)
-        state.update((level, streak, grown, cared, dead, [(d, w, f) for d, (w, f) in sorted(book.items())]))
-        if book and not state.hasTimedOut:
-            ready = pd.Timestamp(min(book)) + pd.Timedelta(days=1)
-            state.setTimeoutTimestamp(max(int(ready.value // 1_000_000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"user_id": [key[0]], "level": [level], "streak": [0 if dead else streak], "status": ["dead" if dead else "alive"],
-                            "last_growth": [grown], "last_care": [cared]})
-
-    return care.withWatermark("at", late).groupBy("user_id").applyInPandasWithState(
-        step, "user_id string, level long, streak long, status string, last_growth date, last_care date", fields, "update", "EventTimeTimeout")
+    days = care.withColumn("_day", F.date_trunc("day", "at")).withWatermark("_day", late)
+    kind = lambda k: F.collect_set(F.when(F.col("care_type") == k, F.to_date("_day")))
+    # A second less than the gap: the day that would be the gap's last begins a session of its own.
+    runs = days.groupBy("user_id", F.session_window("_day", f"{gap * 86_400 - 1} seconds").alias("_w")).agg(
+        F.min("_day").alias("planted"), F.max("_day").alias("last_care"), F.max("user_id").alias("_who"), kind("water").alias("_wet"), kind("compost").alias("_fed"))
+    grown = F.array_sort(F.array_intersect("_wet", "_fed"))
+    start = F.struct(F.lit(None).cast("date").alias("day"), F.lit(0).alias("n"), F.lit(0).alias("best"))
+
+    def longer(state, day):
+        n = F.when(F.datediff(day, state["day"]) == 1, state["n"] + 1).otherwise(F.lit(1))
+        return F.struct(day.alias("day"), n.alias("n"), F.greatest(state["best"], n).alias("best"))
+
+    # On the aggregate: a filter on the key would go below the watermark, which rows without user may move.
+    return runs.where("_who is not null").withColumn("_grown", grown).withColumn("_s", F.aggregate("_grown", start, longer)).select(
+        "user_id", F.to_date("planted").alias("planted"), F.to_date("last_care").alias("last_care"), F.date_add(F.to_date("last_care"), gap).alias("died"),
+        F.size("_grown").cast("long").alias("level"), F.col("_s.n").cast("long").alias("streak"), F.col("_s.best").cast("long").alias("best_streak"))
 
 
 def stream_reward_dedup(events: DataFrame, late: str = LATE) -> DataFrame:

@@ -4,10 +4,9 @@ import os
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from platewise.operators import checkins as ck, habits
+from platewise.operators import checkins as ck
 from platewise.plans import all_queries, all_sql
 from platewise.plans.mapping import Domain
 
@@ -50,7 +49,7 @@ def test_entry_reads_the_named_folder(monkeypatch, named, folder):
 
 
 def test_every_query_but_models_has_a_check():
-    assert set(all_queries()) - set(all_sql()) == {"context_assembly", "stream_care_state"}
+    assert set(all_queries()) - set(all_sql()) == {"context_assembly"}
 
 
 def test_every_check_has_a_query():
@@ -63,13 +62,3 @@ def test_stream_grades_equal_batch(spark, rows):
     stream = all_queries()["stream_checkin_ewma"](spark, BASE)
     cols = ("user_id", "ingredient_name", "grade", "evidence_count")
     assert rows(stream, *cols) == rows(batch, *cols)
-
-
-def test_stream_care_equals_batch_of_complete_days(spark):
-    d = Domain(spark, BASE)
-    days = habits.care_days(d.meals, d.reports, d.checkins)
-    got = {r["user_id"]: r["level"] for r in all_queries()["stream_care_state"](spark, BASE).collect()}
-    runs = habits.placed_care(days)
-    want = {r["user_id"]: r["n"] for r in runs.where("run_no = 1 and wet and fed").groupBy("user_id").agg(F.count("*").alias("n")).collect()}
-    for user, level in got.items():  # the last days may still wait for the watermark
-        assert want.get(user, 0) - 3 <= level <= want.get(user, 0)

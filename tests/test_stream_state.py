@@ -117,3 +117,20 @@ def test_restart_during_folding(spark, rows, monkeypatch, broken):
 
 def test_no_batches_yet(spark):
     assert jobs.current_risks(spark, session.scratch_path(spark, "none")).collect() == []
+
+
+CARE = "user_id string, at timestamp, care_type string"
+
+
+def test_late_care_joins_the_runs_it_lies_between(spark, at, rows):
+    """Days 1-2 and 14 of one user, then day 8 in a later batch; another user whose gap is just a week."""
+    care = lambda *x: [(u, at(f"2024-01-{d:02d}T{h:02d}:00"), k) for u, d, h, k in x]
+    batches = [care(("a", 1, 8, "water"), ("a", 1, 9, "compost"), ("a", 2, 23, "water"), ("a", 2, 1, "compost"), ("b", 1, 5, "water"), ("b", 8, 5, "water")),
+               care(("a", 14, 7, "compost"), ("a", 14, 8, "water"), ("a", 14, 9, "water")), care(("a", 8, 1, "compost")), [(None, at("2024-03-01T00:00"), "end")],
+               care(("a", 3, 1, "water"))]
+    root = session.scratch_path(spark, "care")
+    for part in batches:
+        spark.createDataFrame(part, CARE).coalesce(1).write.mode("append").parquet(root)
+    out = jobs.run_once(jobs.stream_care_state(jobs.file_stream(spark, root, spark.read.parquet(root).schema, files=1), late="9 days"), "care")
+    got = [(r.user_id, r.planted.day, r.last_care.day, r.died.day, r.level, r.streak, r.best_streak) for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == [("a", 1, 14, 21, 3, 1, 2), ("b", 1, 1, 8, 0, 0, 0), ("b", 8, 8, 15, 0, 0, 0)]
