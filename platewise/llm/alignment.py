@@ -9,6 +9,7 @@ documents: the commonest pairs, a bounded number, to all tasks, the others by an
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -21,33 +22,71 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import shared
-from .tokens import Encoder, _byte_letters
+from .tokens import _byte_letters
 
-#: Bytes of text that are walked together, in whole documents.
-TOGETHER = 12 << 20
+#: Bytes of text that are walked together, and that are encoded at a time, in whole documents.
+TOGETHER, ENCODED = 4 << 20, 1 << 18
 #: Links laid out at a time; a larger group is taken by its distinct ids.
 LINKS = 1 << 20
 #: Pairs whose counts are sent to all tasks at most, 17 bytes each.
 KNOWN = 1 << 20
 #: Words remembered in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 _SEGMENT = re.compile(" +[^ ]*")
+#: Characters whose classes all libraries agree on, and runs that backtracking patterns had better not see.
+_PLAIN = re.compile("[\t\n\r -~¡-¬®-ÿ‐-‧‹›€]*")
+_LONG = re.compile(r"\S{1000}|\s{200}")
+#: A tokens of a document that one place of the state vector walks at most, about.
+LANE = 1024
 
 
 class Bytewise:
-    """A: a byte-level file of the tokenizers library over a blank and the text; spellings of special tokens are text."""
+    """A: a byte-level file of the tokenizers library over a blank and the text; spellings of special tokens are text.
+
+    The file's vocabulary and merges, if each merge is numbered in its turn and the file does nothing else, are also what tiktoken
+    works by, which takes a third of the time: texts of plain characters without very long words or gaps are
+    encoded by it, all others by the tokenizers library.
+    """
 
     def __init__(self, path: str):
-        self.encoder = Encoder(path, False, 0)
-        self.encoder.tokenizer.encode_special_tokens = True
-        back = {letter: byte for byte, letter in enumerate(_byte_letters())}
-        self.bytes = []
-        for i in range(self.encoder.tokenizer.get_vocab_size()):
-            token = self.encoder.tokenizer.id_to_token(i) or ""
-            self.bytes.append(bytes(map(back.__getitem__, token)) if all(c in back for c in token) else token.encode())
+        from tokenizers import Tokenizer
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, self.encoder.kind)[:-1].astype(np.int64) for x in self.encoder.encode([" " + t for t in texts])]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        back = {letter: byte for byte, letter in enumerate(_byte_letters())}
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.bytes = [bytes(map(back.__getitem__, t)) if all(c in back for c in t) else t.encode() for t in tokens]
+        self.fast = self._same_rules(path, tokens)
+
+    def _same_rules(self, path: str, tokens: list[str]):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model, cut = file["model"], file.get("pre_tokenizer") or {}
+        merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model.get("merges", [])]
+        special = {t["content"] for t in file.get("added_tokens") or []}
+        turn = [model["vocab"][m] for m in merges]
+        plain = (file.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+                 and not model.get("ignore_merges") and turn == sorted(turn) and len(set(tokens)) == len(tokens))
+        if not plain:
+            return None
+        return tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                                 mergeable_ranks={b: i for i, (t, b) in enumerate(zip(tokens, self.bytes)) if t not in special})
+
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of each text, None where they do not spell it back."""
+        fast = [self.fast is not None and _PLAIN.fullmatch(t) is not None and _LONG.search(t) is None for t in texts]
+        rest = iter(self.tokenizer.encode_batch_fast([" " + t for t, f in zip(texts, fast) if not f], add_special_tokens=False))
+        out = []
+        for t, f in zip(texts, fast):
+            if f:
+                out.append(np.array(self.fast.encode_ordinary(" " + t), np.int32))
+            else:
+                ids = next(rest).ids
+                out.append(np.array(ids, np.int32) if b"".join(map(self.bytes.__getitem__, ids)) == b" " + t.encode() else None)
+        return out
 
 
 class Piecewise:
@@ -66,13 +105,17 @@ class Piecewise:
         probe = "ﬁ ① é  x"
         same = self.model.normalize(probe).lstrip("▁").replace("▁", " ") == probe
         self.by_word = same and not any("▁" in p.lstrip("▁") for p in pieces) and self.model.encode("") == []
-        self.blank = [self.model.piece_to_id("▁")]
-        self.old: dict[str, list[int]] = {}
-        self.young: dict[str, list[int]] = {}
+        self.kind = "<u2" if len(pieces) <= 1 << 16 else "<u4"
+        self.old: dict[str, bytes | None] = {}
+        self.young: dict[str, bytes | None] = {"": np.array([self.model.piece_to_id("▁")], self.kind).tobytes()}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _spells(self, ids: list[int], text: str) -> bool:
+        return b"".join(map(self.bytes.__getitem__, ids)) == text.encode()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of each text, None where they do not spell it back with a blank before it."""
         if not self.by_word:
-            return [np.array(x, np.int64) for x in self.model.encode(texts, num_threads=1)]
+            return [np.array(x, np.int32) if self._spells(x, " " + t) else None for t, x in zip(texts, self.model.encode(texts, num_threads=1))]
         cut = [t.split(" ") if "  " not in t and t[:1] != " " and t[-1:] != " " else [s[1:] for s in _SEGMENT.findall(" " + t)] for t in texts]
         known, old = self.young, self.old
         fresh = []
@@ -83,11 +126,13 @@ class Piecewise:
                 else:
                     fresh.append(w)
         for w, ids in zip(fresh, self.model.encode(fresh, num_threads=1)):
-            known[w] = ids if w else self.blank
-        get = known.__getitem__
-        out = [np.array([i for w in words for i in get(w)], np.int64) if t else np.zeros(0, np.int64) for t, words in zip(texts, cut)]
+            known[w] = np.array(ids, self.kind).tobytes() if not w or self._spells(ids, " " + w) else None
+        get, out = known.__getitem__, []
+        for t, words in zip(texts, cut):
+            ids = list(map(get, words)) if t else []
+            out.append(None if None in ids else np.frombuffer(b"".join(ids), self.kind).astype(np.int32))
         if len(known) > REMEMBERED:
-            self.old, self.young = known, {}
+            self.old, self.young = known, {"": known[""]}
         return out
 
 
@@ -109,39 +154,65 @@ def tokenizers(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
+def spans(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Consecutive rows of about `most` in all."""
+    edges = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // most, prepend=-1)).tolist()
+    return list(zip(edges, [*edges[1:], len(sizes)]))
+
+
+def lanes(a_end: np.ndarray, b_end: np.ndarray, a_at: np.ndarray, b_at: np.ndarray, size: int = LANE, look: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where places of the state vector begin (A), stop (A) and begin (B): one for each document, and for long ones more,
+    each at a common end of both sides among the `look` A tokens from every `size`th on, if there is one there."""
+    lengths = np.diff(a_at)
+    more = np.maximum(0, (lengths - 1) // size)
+    k = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+    stop = np.repeat(a_at[1:], more)
+    near = np.minimum((np.repeat(a_at[:-1], more) + k * size)[:, None] + np.arange(look), stop[:, None] - 1)
+    place = np.minimum(np.searchsorted(b_end, a_end[near]), len(b_end) - 1)
+    same = (b_end[place] == a_end[near]) & (near < stop[:, None] - 1)
+    row = np.flatnonzero(same.any(axis=1))
+    col = same[row].argmax(axis=1)
+    a0 = np.concatenate([a_at[:-1], near[row, col] + 1])
+    b0 = np.concatenate([b_at[:-1], place[row, col] + 1])
+    a0, first = np.unique(a0, return_index=True)
+    return a0.astype(a_at.dtype), np.append(a0[1:], a_at[-1]).astype(a_at.dtype), b0[first].astype(b_at.dtype)
+
+
 def lockstep(a_end: np.ndarray, b_end: np.ndarray, a_at: np.ndarray, a_stop: np.ndarray, b_at: np.ndarray) -> np.ndarray:
     """Groups of all documents: rows (first A, after the last A, first B, after the last B), by position.
 
     a_end, b_end: byte offsets of the token ends of all documents, one after the other.  a_at, a_stop, b_at: where each
-    document's tokens begin and stop.  Both sides of a document end at the same offset.
+    document's tokens, or those of a part of it, begin and stop.  Both sides of each end at the same offset.
     """
     a, b, last = a_at.copy(), b_at.copy(), a_stop - 1
     a_open, b_open = a.copy(), b.copy()
-    found = []
+    found: list[list[np.ndarray]] = [[], [], [], []]
     while len(a):
         ea, eb = a_end[a], b_end[b]
         cut = ea == eb
         at = np.flatnonzero(cut)
         if len(at):  # a cut, and with it the links of all A and B tokens since the last one
             a_cut, b_cut = a[at] + 1, b[at] + 1
-            found.append((a_open[at], a_cut, b_open[at], b_cut))
+            for held, x in zip(found, (a_open[at], a_cut, b_open[at], b_cut)):
+                held.append(x)
             a_open[at], b_open[at] = a_cut, b_cut
         done = cut & (a == last)
         a += ea <= eb
         b += eb <= ea
         if done.any():
             a, b, last, a_open, b_open = (x[~done] for x in (a, b, last, a_open, b_open))
-    if not found:
-        return np.zeros((4, 0), np.int64)
-    groups = np.concatenate([np.stack(x) for x in found], axis=1)
-    return groups[:, np.argsort(groups[0], kind="stable")]
+    if not found[0]:
+        return np.zeros((4, 0), a_at.dtype)
+    first = np.concatenate(found[0])
+    order = np.argsort(first, kind="stable").astype(np.int32)
+    return np.stack([first[order], *(np.concatenate(x)[order] for x in found[1:])])
 
 
 def linked_pairs(groups: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray, width: int, most: int = LINKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (document, pair) with the number of links, by document and pair.  A pair is A id * width + B id."""
     a0, a1, b0, b1 = groups
     na, nb = a1 - a0, b1 - b0
-    n = na * nb
+    n = na.astype(np.int64) * nb
     space = (int(a.max(initial=0)) + 1) * width
     keys, times = [], []
 
@@ -156,7 +227,7 @@ def linked_pairs(groups: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarr
         ua, ca = np.unique(a[a0[g]:a1[g]], return_counts=True)
         ub, cb = np.unique(b[b0[g]:b1[g]], return_counts=True)
         for k in range(0, len(ua), step := max(1, most // len(ub))):
-            add((doc[g] * space + ua[k:k + step, None] * width + ub).ravel(), (ca[k:k + step, None] * cb).ravel())
+            add((doc[g] * space + ua[k:k + step, None].astype(np.int64) * width + ub).ravel(), (ca[k:k + step, None] * cb).ravel())
     small = np.flatnonzero(~large)
     ends = np.cumsum(n[small])
     k = 0
@@ -165,7 +236,7 @@ def linked_pairs(groups: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarr
         g = small[k:stop]
         of = np.repeat(g, n[g])
         place = np.arange(len(of)) - np.repeat(np.cumsum(n[g]) - n[g], n[g])
-        add(doc[of] * space + a[a0[of] + place // nb[of]] * width + b[b0[of] + place % nb[of]])
+        add(doc[of] * space + a[a0[of] + place // nb[of]].astype(np.int64) * width + b[b0[of] + place % nb[of]])
         k = stop
     if not keys:
         return (np.zeros(0, np.int64),) * 3
@@ -195,31 +266,33 @@ def _rows(texts: list[str | None], pair: Pair, squeeze, detail: bool) -> dict[st
     """The result columns of a batch of texts."""
     n = len(texts)
     filled = [t or "" for t in texts]
-    ids = [(x, y) for x, y in zip(pair.a.encode(filled), pair.b.encode(filled))]
-    spell = lambda side, x: b"".join(map(side.bytes.__getitem__, x.tolist()))
-    good = [i for i, (t, (x, y)) in enumerate(zip(filled, ids)) if t and (raw := b" " + t.encode()) == spell(pair.a, x) and raw == spell(pair.b, y)]
+    ids, good = [], []
+    for lo, hi in spans(np.array([len(t) for t in filled]), ENCODED):
+        for t, x, y in zip(filled[lo:hi], pair.a.encode(filled[lo:hi]), pair.b.encode(filled[lo:hi])):
+            if t and x is not None and y is not None:
+                good.append(len(ids))
+            ids.append((x, y))
     out = {"n_a": [0] * n, "n_b": [0] * n, "n_groups": [0] * n, "n_links": [0] * n, "groups_sha256": [""] * n, "pairs": [b""] * n}
     if detail:
         out |= {name: [[] for _ in range(n)] for name in ("a_ids", "b_ids", "a_cuts", "b_cuts")}
     if not good:
         return out
     a, b = (np.concatenate([ids[i][side] for i in good]) for side in (0, 1))
-    a_at, b_at = (np.cumsum([0] + [len(ids[i][side]) for i in good]) for side in (0, 1))
-    groups = lockstep(np.cumsum(pair.a_len[a]), np.cumsum(pair.b_len[b]), a_at[:-1], a_at[1:], b_at[:-1])
+    a_at, b_at = (np.cumsum([0] + [len(ids[i][side]) for i in good], dtype=np.int32) for side in (0, 1))
+    a_end, b_end = np.cumsum(pair.a_len[a]), np.cumsum(pair.b_len[b])
+    groups = lockstep(a_end, b_end, *lanes(a_end, b_end, a_at, b_at))
     a0, a1, b0, b1 = groups
     na, nb = a1 - a0, b1 - b0
     doc = np.searchsorted(a_at, a0, "right") - 1
     links = np.zeros(len(good), np.int64)
-    np.add.at(links, doc, na * nb)
+    np.add.at(links, doc, na.astype(np.int64) * nb)
     group_at = np.searchsorted(doc, np.arange(len(good) + 1))
     # Printed order: the A tokens of a group stand after all B tokens of earlier groups, its B tokens after its A tokens.
-    print_at = np.empty(len(a) + len(b), np.int64)
-    shown = 2 * a
-    shown[a1 - 1] += 1
-    print_at[np.arange(len(a)) + np.repeat(b0, na)] = shown
-    shown = 2 * (len(pair.a.bytes) + b)
-    shown[b1 - 1] += 1
-    print_at[np.arange(len(b)) + np.repeat(a1, nb)] = shown
+    print_at = np.empty(len(a) + len(b), np.int32)
+    for side, base, stop, gap, n_own in ((a, 0, a1, b0, na), (b, len(pair.a.bytes), b1, a1, nb)):
+        shown = 2 * (base + side)
+        shown[stop - 1] += 1
+        print_at[np.arange(len(side)) + np.repeat(gap, n_own)] = shown
     of, code, count = linked_pairs(groups, doc, a, b, pair.width)
     pair_at = np.searchsorted(of, np.arange(len(good) + 1))
     for k, i in enumerate(good):
@@ -252,9 +325,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
         pair, squeeze = tokenizers(a_path, b_path), zstandard.ZstdCompressor(level=1).compress
         at = TaskContext.get().partitionId() << 36
         for batch in it:
-            sizes = pa.compute.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
-            part = np.cumsum(sizes, dtype=np.int64) // TOGETHER
-            for lo, hi in zip(edges := np.flatnonzero(np.diff(part, prepend=-1)), [*edges[1:], len(part)]):
+            for lo, hi in spans(pa.compute.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False), TOGETHER):
                 cols = _rows(batch.column(1).slice(lo, hi - lo).to_pylist(), pair, squeeze, detail)
                 arrays = {"row": pa.array(np.arange(at, at + hi - lo)), "doc_id": batch.column(0).slice(lo, hi - lo)}
                 arrays |= {k: pa.array(cols[k], pa.int64()) for k in numbers}

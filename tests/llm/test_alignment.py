@@ -103,6 +103,21 @@ def test_detail_gives_ids_and_cuts(spark):
             assert hashlib.sha256(";".join(groups).encode()).hexdigest() == r.groups_sha256
 
 
+def test_fast_rules_equal_the_file(plainly):
+    """Mixed characters, long words and gaps, and texts that only the tokenizers library may encode."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(A)
+    tok.encode_special_tokens = True
+    side = al.Bytewise(A)
+    assert side.fast is not None
+    rng = np.random.default_rng(11)
+    letters = list("abcXYZ019 \t\n\r'\".,-_éÜñß¿·½²×…’—\xa0\u2003\u3000\x85\x1c\u0301日①🙂\u200b") + ["'s", "'ll", "  ", " don't"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(3000)] + ["x" * 5000, " " * 900 + "y", "a b " * 2000]
+    for t, ids in zip(texts, side.encode(texts)):
+        assert ids.tolist() == tok.encode(" " + t, add_special_tokens=False).ids, repr(t)
+
+
 def test_empty_table(spark):
     assert al.alignment_report(spark.createDataFrame([], SCHEMA), A, B).collect() == []
 
@@ -119,6 +134,9 @@ def test_lockstep_equals_common_ends():
     ea, eb = np.array(ends_a), np.array(ends_b)
     groups = al.lockstep(ea, eb, np.array(at_a[:-1]), np.array(at_a[1:]), np.array(at_b[:-1]))
     cuts = np.intersect1d(ea, eb)
+    a, b = np.array(at_a), np.array(at_b)
+    for size, look in ((1, 1), (3, 2), (10, 64), (1024, 64)):
+        assert (al.lockstep(ea, eb, *al.lanes(ea, eb, a, b, size, look)) == groups).all()
     assert (ea[groups[1] - 1] == cuts).all() and (eb[groups[3] - 1] == cuts).all()
     assert (groups[0][1:] == groups[1][:-1]).all() and (groups[2][1:] == groups[3][:-1]).all()
 
