@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import vocab
 from ..functions import numbers as num, text as tx
+from ..session import write_and_read
 from .matching import phrase_hits
 from .ranking import latest_n
 
@@ -16,12 +17,14 @@ def food_terms(spark, terms=vocab.FOOD_TERMS) -> DataFrame:
 
 def classify_food(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """food, cancel or not_food by ordered rules; one-word terms also match with s or es."""
-    body = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
-    norm = tx.normalize_text(body)
+    trimmed = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
+    # Normalizing is the dear part, and both branches below and the filter use it: done once.
+    told = write_and_read(messages.select("id", trimmed.alias("_b")).select("id", "_b", tx.normalize_text(F.col("_b")).alias("_n")), "messages")
+    body, norm = F.col("_b"), F.col("_n")
     cancel = body.rlike(vocab.CANCEL_PATTERN)
     no = ((body == "") | (F.length(body) > 240) | body.rlike(vocab.STOCK_REPLY_PATTERN) | body.contains("?")
           | body.rlike(vocab.QUESTION_PATTERN) | (norm == "") | (F.size(F.split(norm, " ")) > 32))
-    base = messages.select("id", F.when(cancel, "cancel").when(no, "not_food").alias("kind"), norm.alias("_n"))
+    base = told.select("id", F.when(cancel, "cancel").when(no, "not_food").alias("kind"), "_n")
     term = tx.normalize_text(F.col("term"))
     forms = F.when(term.contains(" "), F.array(term)).otherwise(F.array(term, F.concat(term, F.lit("s")), F.concat(term, F.lit("es"))))
     phrases = vocabulary.select(F.explode(forms).alias("phrase")).where("phrase != ''").distinct()

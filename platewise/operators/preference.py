@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
@@ -120,66 +118,11 @@ def fit_hybrid(positive: DataFrame, item_features: DataFrame, user_features: Dat
 
 
 def recommend(item_factors: DataFrame, user_factors: DataFrame, excluded: DataFrame, n: int = vocab.CANDIDATE_LIMIT,
-              block: int = 2048) -> DataFrame:
-    """Exact top n of bias + dot per user, by blocks of users and items.
+              block: int | None = None) -> DataFrame:
+    """Exact top n of bias + dot per user (see `maxproduct`)."""
+    from . import maxproduct
 
-    Blocks have a fixed size, meet by equality on item block and user-block group, are multiplied in
-    one matrix product per block pair, and leave it already cut to n entries plus the user's
-    exclusions in that block.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def blocks(df: DataFrame, key: str, name: str) -> DataFrame:
-        size = df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block))).scalar()
-        slot = df.withColumn("_n", size).withColumn(name, F.pmod(F.xxhash64(key), F.col("_n"))).drop("_n")
-        return slot
-
-    items = blocks(item_factors.select("recipe_id", "bias", "vec"), "recipe_id", "_ib")
-    users = blocks(user_factors.select("user_id", "vec"), "user_id", "_ub")
-    packed = lambda df, by, key, *more: df.groupBy(by).agg(F.collect_list(F.struct(key, *more, "vec")).alias("x")).select(
-        by, F.col(f"x.{key}").alias(f"{key}s"), *[F.col(f"x.{c}").alias(f"{c}s") for c in more], F.flatten("x.vec").alias(f"{key}_m"))
-    item_blocks = packed(items, "_ib", "recipe_id", "bias")
-    user_blocks = packed(users, "_ub", "user_id")
-    skips = (excluded.select("user_id", "recipe_id").distinct()
-             .join(items.select("recipe_id", "_ib"), "recipe_id").join(users.select("user_id", "_ub"), "user_id")
-             .groupBy("_ub", "_ib", "user_id").agg(F.count(F.lit(1)).alias("c"))
-             .groupBy("_ub", "_ib").agg(F.collect_list(F.struct("user_id", "c")).alias("k"))
-             .select("_ub", "_ib", F.col("k.user_id").alias("skip_users"), F.col("k.c").alias("skip_counts")))
-    n_items = items.agg(F.max("_ib")).scalar()
-    # Some 64 user blocks meet one item block per task: item blocks are copied once per such group.
-    last_group = users.agg(F.max("_ub")).scalar()
-    tasks = int(item_factors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    upto = lambda top: F.explode(F.sequence(F.lit(0).cast("long"), top))
-    left = (user_blocks.withColumn("_top", n_items).withColumn("_n", F.floor(last_group / 64) + 1).withColumn("_s", F.pmod("_ub", "_n"))
-            .withColumn("_ib", upto(F.col("_top"))).drop("_top", "_n").join(skips, ["_ub", "_ib"], "left")
-            .repartition(tasks, "_ib", "_s"))
-    right = item_blocks.withColumn("_n", F.floor(last_group / 64) + 1).withColumn("_s", upto(F.col("_n") - 1)).drop("_n")
-    grid = left.join(right, ["_ib", "_s"])
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                ids, names = np.asarray(row.recipe_ids), np.asarray(row.user_ids, dtype=object)
-                mat = np.asarray(row.recipe_id_m, dtype="float64").reshape(len(ids), -1)
-                pts = np.asarray(row.user_id_m, dtype="float64").reshape(len(names), -1) @ mat.T + np.asarray(row.biass, dtype="float64")
-                skip = dict(zip(row.skip_users, row.skip_counts)) if row.skip_users is not None else {}
-                picks = []
-                for j, user in enumerate(names):
-                    w = n + int(skip.get(user, 0))
-                    if w >= len(ids):
-                        picks.append(np.arange(len(ids)))
-                    else:  # everything from the w-th best up, ties included
-                        picks.append(np.nonzero(pts[j] >= np.partition(pts[j], len(ids) - w)[len(ids) - w])[0])
-                rows = np.repeat(np.arange(len(names)), [len(p) for p in picks])
-                cols = np.concatenate(picks)
-                yield pd.DataFrame({"user_id": names[rows], "recipe_id": ids[cols], "preference_score": pts[rows, cols]})
-
-    types = {f.name: f.dataType.simpleString() for f in item_factors.schema}
-    flat = grid.drop("_ub", "_ib", "_s").mapInPandas(
-        score, f"user_id string, recipe_id {types['recipe_id']}, preference_score double")
-    allowed = flat.join(excluded.select("user_id", "recipe_id").distinct(), ["user_id", "recipe_id"], "left_anti")
-    return topn(allowed, n)
+    return maxproduct.recommend(item_factors, user_factors, excluded, n, block or maxproduct.BLOCK)
 
 
 def validate_artifact(item_factors: DataFrame, user_factors: DataFrame, meta: DataFrame) -> DataFrame:

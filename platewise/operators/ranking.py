@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import vocab
 from ..functions.timeline import numbered
+from ..session import write_and_read
 from .ratings import kept_pairs
 
 
@@ -121,15 +123,14 @@ def category_rows(ranked: DataFrame, trending: DataFrame, flavor: DataFrame, rec
     orders = {"curated": [F.col("rn")], "trending": [F.col("_trend").asc_nulls_last(), F.col("rn")],
               "flavor": [F.col("cosine").desc_nulls_last(), F.col("final_score").desc(), F.col("rn")],
               "healthy": [F.col("rn")], "quick": [F.col("rn")]}
-    placed = pool
+    # Each order keeps its first few before anything is shuffled; the pool is read once per order, as a table.
+    slim = write_and_read(pool.select("user_id", "recipe_id", "rn", "final_score", "_trend", "cosine", *flags.columns[1:]), "row-pool")
+    found = []
     for i, name in enumerate(ROW_ORDER):
-        w = W.partitionBy("user_id").orderBy((~eligible[name]).cast("int"), *orders[name])
-        pos = F.when(eligible[name], F.row_number().over(w))
-        placed = placed.withColumn(f"_p{i}", F.when(pos <= k * (i + 1), pos))
-    near = placed.where(F.coalesce(*[F.col(f"_p{i}") for i in range(len(ROW_ORDER))]).isNotNull())
-    entries = near.select("user_id", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("row"), F.col(f"_p{i}").alias("pos"), "recipe_id", F.col("final_score").alias("score"))
-        for i in range(len(ROW_ORDER))])).alias("e")).where(F.col("e.pos").isNotNull())
+        w = W.partitionBy("user_id").orderBy(*orders[name])
+        found.append(slim.where(eligible[name]).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k * (i + 1)).select(
+            "user_id", F.struct(F.lit(i).alias("row"), "pos", "recipe_id", F.col("final_score").alias("score")).alias("e")))
+    entries = reduce(DataFrame.unionByName, found)
     lists = entries.groupBy("user_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
     kind = lists.schema["es"].dataType.simpleString()
     taken = F.aggregate(
