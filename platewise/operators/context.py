@@ -194,14 +194,12 @@ def feature_columns() -> list[str]:
 
 def train_symptom_model(examples: DataFrame, columns: Sequence[str] | None = None, trees: int = 120, depth: int = 3,
                         step: float = 0.05, subsample: float = 0.9, seed: int = 42):
-    """Gradient-boosted classifier with class weights: (model, one-row metrics).
+    """Boosted trees with class weights: (model, one-row metrics).
 
-    Metrics come from the held-out part; the returned model is refit on all rows.  Returns
-    (None, gate row) if the gate refuses.
+    Metrics come from the held-out part, with `train_log_loss` and `base_log_loss` (that of the share of positives) of the part
+    learned from; the returned model is refit on all rows.  Returns (None, gate row) if the gate refuses.
     """
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-
+    from .boost import fit_together
     from .evaluation import classifier_metrics
 
     columns = list(columns or feature_columns())
@@ -209,34 +207,29 @@ def train_symptom_model(examples: DataFrame, columns: Sequence[str] | None = Non
     if not gate.first()["can_train"]:
         return None, gate
     # Boosting reads its rows many times: the split is written once.
-    filled = write_and_read(split_group_disjoint(examples.fillna(0.0, subset=columns)), "split")
-    data = VectorAssembler(inputCols=columns, outputCol="features").transform(filled)
-
-    def fit(rows: DataFrame):
-        weight = class_balance(rows).scalar()
-        weighted = rows.withColumn("w", F.when(F.col("label") == 1, weight).otherwise(F.lit(1.0)))
-        weighted = weighted.withColumn("label", F.col("label").cast("double"))
-        return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=subsample,
-                             featureSubsetStrategy="0.9", weightCol="w", seed=seed).fit(weighted)
-
-    from pyspark.ml.functions import vector_to_array
-    first = fit(data.where("part = 'train'"))
-    held = first.transform(data.where("part = 'test'").withColumn("label", F.col("label").cast("double")))
-    scored = held.select("label", vector_to_array("probability")[1].alias("p"))
-    return fit(data), classifier_metrics(scored)
-
-
-def score_symptom(features: DataFrame, model=None, columns: Sequence[str] | None = None) -> DataFrame:
-    """Model probability, or the heuristic for all rows when there is no model."""
+    data = write_and_read(split_group_disjoint(examples.fillna(0.0, subset=columns)), "split")
+
+    # The model for the metrics and the one to keep differ in their rows only, and are fitted in the same passes.
+    train = F.col("part") == "train"
+    weight, whole = (float(class_balance(part).first()[0]) for part in (data.where(train), data))
+    first, final = fit_together(data, columns, [(train, weight), (F.lit(True), whole)], trees, depth, step, subsample, seed=seed)
+    score = lambda part: first.predict(data.where(F.col("part") == part), "p")
+    w = F.when(F.col("label") == 1, F.lit(weight)).otherwise(1.0)
+    p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col("p")))
+    loss = -F.sum(w * F.when(F.col("label") == 1, F.log(p)).otherwise(F.log(1 - p))) / F.sum(w)
+    share = F.sum(F.when(F.col("label") == 1, w).otherwise(0.0)) / F.sum(w)
+    base = F.when((share <= 0) | (share >= 1), F.lit(0.0)).otherwise(-(share * F.log(share) + (1 - share) * F.log(1 - share)))
+    seen = score("train").agg(loss.alias("train_log_loss"), base.alias("base_log_loss"))
+    held = score("test").select(F.col("label").cast("double").alias("label"), "p")
+    metrics = classifier_metrics(held)
+    return final, metrics.select("*", *[seen.select(c).scalar().alias(c) for c in seen.columns])
+
+
+def score_symptom(features: DataFrame, model=None) -> DataFrame:
+    """Model probability, or the heuristic for all rows when there is no model.  The model knows its own columns; those that
+    are missing, as when it is older or newer than the features, count as 0."""
     from .risk import heuristic_risk
 
     if model is None:
         return features.withColumn("symptom_risk", heuristic_risk())
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    columns = list(columns or feature_columns())
-    data = VectorAssembler(inputCols=columns, outputCol="_features").transform(features.fillna(0.0, subset=columns))
-    out = model.setFeaturesCol("_features").transform(data)
-    p: Column = vector_to_array("probability")[1]
-    return out.withColumn("symptom_risk", num.clamp01(p)).select(*features.columns, "symptom_risk")
+    return model.predict(features)
