@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import batches, running_total
-from .tokens import token_rows
+from .tokens import encoder, token_rows
 
 #: Frequencies add up to 2**SCALE; lane states lie in [2**31, 2**63) and give off 32-bit words.
 SCALE, LOW = 18, 31
@@ -91,6 +91,7 @@ class Coder:
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, scratch: str, end: int = 2, doc_id: str = "doc_id", text: str = "text", word: bool = False) -> None:
     """Writes the ids of all documents by ascending doc_id (null first; repeated ones in the order of their ids).
+    The vocabulary may have any size; more than 2**SCALE distinct ids in the texts raise ValueError.
 
     `path`/blocks holds one row per block: its range, its place in the range, the ids before it in the range, the
     doc_ids and lengths of its documents and the payload.  `path`/table holds the frequencies that all blocks
@@ -105,18 +106,20 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, scratch: str, end: int
     kind = docs.schema[doc_id].dataType.simpleString()
     token_rows(docs, tokenizer, word, end, doc_id, text, squeeze=True).write.option("compression", "none").parquet(scratch)
     rows = spark.read.parquet(scratch)
-    width = 2  # all files of this library have ids below 2**16
+    known = encoder(tokenizer, word, end)
+    form, size_of = known.kind, known.size
+    width = np.dtype(form).itemsize
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand, total = zstandard.ZstdDecompressor().decompress, np.zeros(1 << 16, np.int64)
+        expand, total = zstandard.ZstdDecompressor().decompress, np.zeros(size_of, np.int64)
         for batch in batches(it):
-            ids = np.frombuffer(b"".join(map(expand, batch.column(0).to_pylist())), "<u2")
-            total += np.bincount(ids, minlength=1 << 16)
+            ids = np.frombuffer(b"".join(map(expand, batch.column(0).to_pylist())), form)
+            total += np.bincount(ids, minlength=size_of)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids])], names=["id", "n"])
 
     counted = rows.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row per id of the vocabulary
-    counts = np.zeros(1 << (8 * width), np.int64)
+    counts = np.zeros(size_of, np.int64)
     counts[counted.column("id").to_numpy()] = counted.column("n").to_numpy()
     freq = frequencies(counts)
     ids = np.flatnonzero(freq)
@@ -129,7 +132,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, scratch: str, end: int
 
         def close():
             nonlocal held, names, size, number, before
-            ids = np.frombuffer(b"".join(held), "<u2")
+            ids = np.frombuffer(b"".join(held), form)
             out = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([before], pa.int64()),
                  pa.array([[d.as_py() for d in names]], pa.list_(names[0].type)), pa.array([[len(b) // width for b in held]], pa.list_(pa.int64())),
@@ -157,8 +160,9 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, scratch: str, end: int
 def read_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
     """The block rows with `start`, the ids of all documents before the block, and the frequencies."""
     table = spark.read.parquet(f"{path}/table").toArrow()  # a row per id of the vocabulary
-    freq = np.zeros(1 << 16, np.int64)
-    freq[table.column("id").to_numpy()] = table.column("freq").to_numpy()
+    known = table.column("id").to_numpy()
+    freq = np.zeros(int(known.max()) + 1 if len(known) else 0, np.int64)
+    freq[known] = table.column("freq").to_numpy()
     rows = spark.read.parquet(f"{path}/blocks")
     totals = rows.groupBy("range").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, b: a + b)).alias("__n"))
     ahead = running_total(totals, "range", "__n", "__ahead").select("range", "__ahead")

@@ -15,7 +15,8 @@ from platewise.session import scratch_path
 
 BASE = "/root/testdata/sf0.001"
 ODD = ["", " ", "a  b", " a b ", "a\n\nb c\n d", "don't  it's\tok", "x y z", "<|endoftext|> a b", "é é ́x", "a\x1cb c", "İSTANBUL ΑΣ ΑΣ.", "  lead",
-       "tail  ", "\n", "12 345 6.7", "a b", "a　b", "a\r\nb", "﻿a b", "a\x85b c", "`x` [y] {z}~ \\", "naïve Straße ÿ", "\x00 a\x00b"]
+       "tail  ", "\n", "12 345 6.7", "a b", "a　b", "a\r\nb", "﻿a b", "a\x85b c", "`x` [y] {z}~ \\", "naïve Straße ÿ", "\x00 a\x00b", "½ m² ªº ¬­b", "‘so’ – it’s … €5 ‹a›", "a" * 1500 + " b", " " * 300 + "x", ("\n " * 150) + "y", "w " * 400 + "\t\t x",
+       "x" * 600 + " y", "a\x0bb a\x1fb", "don’t DON'T 'tis we'll", "a <|endoftext|>"]
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -107,6 +108,20 @@ def test_token_files_odd_rows(spark):
             at += r.n_tokens
 
 
+def test_token_files_of_large_vocabularies(spark, tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    words = {f"ж{i}": i for i in range(70_000)}
+    large = Tokenizer(models.WordLevel(words, unk_token="ж0"))
+    large.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    large.save(f"{tmp_path}/large.json")
+    df = spark.range(300).selectExpr("id as doc_id", "concat('ж', id * 233, ' ж', 69999 - id) as text")
+    path = scratch_path(spark, "large")
+    rans.write_ids(df, f"{tmp_path}/large.json", path, path + "-u", end=69_998, word=True)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rans.read_ids(spark, path).collect()}
+    assert got == {i: [i * 233, 69_999 - i, 69_998] for i in range(300)}
+
+
 def naive_ppm(train, order):
     counts = [collections.defaultdict(collections.Counter) for _ in range(order + 1)]
     for t in train:
