@@ -24,7 +24,8 @@ _NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 # A line end as such or as written in a string literal, and what else string literals escape in base64.
 _BREAK = r"(?<!\\)(?:\\*\r?\n|(?:\\+r)?\\+n|\\+r|\\+u000[aAdD])"
 _ESCAPES = ((re.compile(_BREAK + r"|(?<!\\)\\+t"), "\n"), (re.compile(r"(?<!\\)\\+(?:/|u002[fF])"), "/"), (re.compile(r"(?<!\\)\\+u002[bB]"), "+"), (re.compile(r"(?<!\\)\\+u003[dD]"), "="))
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s:,\\-]*?)-----END \1-----")
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]+)(?=-----)")
+_PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s:,\\-]*")
 # The patterns begin with their letters, which is faster than to look behind first.  A run of base64 begins where none goes on, or
 # behind an escaped line end or tab.  Base64 of a sequence (0x30, then a short length or the size of a long one) is M and one of A to I.
 _BASE64 = re.compile(r"[MAb](?:(?<![A-Za-z0-9+/_-].)|(?<=\\[nrt].))(?:(?<=M)[A-I]|(?<=A)AAA|(?<=b)3Blbn)[A-Za-z0-9+/_-]{26,}={0,2}")
@@ -123,6 +124,23 @@ def is_pem_key(body: str) -> bool:
     return bool(data) and (is_der_key(data) or is_ssh_key(data) or "ENCRYPTED" in body and len(data) >= 32)
 
 
+def pem_blocks(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, body) of every END mark with the mark right before it, if that begins the same kind of block.
+
+    Each mark is met once and bodies do not overlap, so the time is linear in the text, however many blocks stay open.
+    """
+    begun = None
+    for m in _MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begun = m
+            continue
+        if begun and begun[2] == m[2] and begun.end() + 5 <= m.start():
+            body = text[begun.end() + 5:m.start()]
+            if _PEM_BODY.fullmatch(body):
+                yield begun.start(), m.end() + 5, body
+        begun = None
+
+
 def coded_pem_end(run: str) -> int | None:
     """The end in `run`, base64 that may be wrapped, of the first PEM key it decodes to; None if there is none."""
     lines, at = [], 0
@@ -131,9 +149,9 @@ def coded_pem_end(run: str) -> int | None:
         at = gap.end() if gap else at
     plain = "".join(run[a:b] for a, b in lines).rstrip("=")
     text = (unbase64(plain[:len(plain) - (len(plain) % 4 == 1)]) or b"").decode("latin-1")
-    for m in _PEM.finditer(text):
-        if is_pem_key(m[2]):
-            need = -(-m.end() * 4 // 3)
+    for _, end, body in pem_blocks(text):
+        if is_pem_key(body):
+            need = -(-end * 4 // 3)
             for a, b in lines:  # the line that holds the last of it goes whole
                 if need <= b - a:
                     return b
@@ -162,7 +180,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
         if len(m[0]) % 2 == 0 and not HEX.fullmatch(m[0]) and is_der_key(bytes.fromhex(m[0])):
             found.append((m.start(), 4, m.end()))
     if "-----BEGIN " in text:
-        found += [(m.start(), 3, m.end()) for m in _PEM.finditer(text) if is_pem_key(m[2])]
+        found += [(start, 3, end) for start, end, body in pem_blocks(text) if is_pem_key(body)]
     if "LS0tLS1CRUdJTi" in text:
         found += [(m.start(), 3, m.start() + end) for m in _CODED_PEM.finditer(text) if (end := coded_pem_end(m[0]))]
     for m in _BASE64.finditer(text):

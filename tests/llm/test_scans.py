@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 
 import pytest
 
@@ -119,6 +120,20 @@ def test_broken_spellings_are_not_found(text):
     assert not [f for f in secrets.spans(text) if f[1] > 2]
 
 
+def test_open_marks_take_linear_time():
+    mark = "-----BEGIN RSA PRIVATE KEY-----\nabcd\n"
+    text = mark * (2_000_000 // len(mark)) + PEM
+    start = time.perf_counter()
+    found = [f for f in secrets.spans(text) if f[1] == 3]
+    assert time.perf_counter() - start < 5  # under a second alone
+    assert found == [(len(text) - len(PEM), 3, len(text))]
+
+
+@pytest.mark.parametrize("before,after", [("-----BEGIN X-----\n", ""), ("-----END X-----", ""), ("-----BEGIN X-----END X-----", "-----END X-----"), ("-", "-")])
+def test_marks_around_a_block(before, after):
+    assert [f for f in secrets.spans(before + PEM + after) if f[1] == 3] == [(len(before), 3, len(before) + len(PEM))]
+
+
 def test_base_findings_on_documents(spark):
     base = "/root/testdata/sf0.1"  # the smaller ones hold no secrets
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{base}/documents.parquet").collect()}
