@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .common import WORD, numbered_by_range, ranged, shared, text_or_empty
 
 WEIGHTS = (5, 2, 1)
+#: Documents of like size among which the draws of a source are balanced.
+STRATUM = 8
 
 
 def word_count(column: str = "text") -> Column:
@@ -52,15 +54,16 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFram
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS,
-        share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+        share: float = 1.5, most: float = 2.0, seed: str = "mix", stratum: int = STRATUM) -> DataFrame:
     """Copies per document: doc_id, size, source_size, target, copies, taken.
 
     The repetition rate of a source is its target by its size.  A document comes floor(rate) times, and once
-    more by a hash-seeded draw whose probability is the fraction f.  The draws of a source are spread evenly
-    instead of independently: its documents stand by falling size, ties by hash, the document at place k is drawn
-    if a multiple of 1 lies between start + k f and start + (k + 1) f, and start is hashed from seed and source.
-    The words taken then miss the target by about one document's size, however few documents a source has; draws
-    on their own would miss it by the root of their number.  Nothing random is left, so reruns agree.
+    more by a Bernoulli draw from its own hash (of seed and doc_id) whose probability is the fraction f.  The draws are
+    stratified: the documents of a source are dealt by falling size into strata of `stratum`, and in a stratum a draw is the rank
+    of the document's hash among the others' against f, so that n documents of like size get n f copies to within one.
+    Strata go on where the one before ended, from a start hashed from the source; ranks of hashes are
+    even, so the probability stays f for every document.  Unstratified draws would miss the target by the root of their number.
+    All draws are hashes, so reruns agree.
 
     Empty and null texts have size 0 and take 0 words; a source without words has rate 0.  A null source is a
     source.  Rows with a null or repeated doc_id are documents of their own.  An empty table gives no rows.
@@ -72,10 +75,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rated = sources.select(F.col("source").alias("__source"), "source_size", "target", rate.alias("__rate"),
                            (F.conv(F.substring(start, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))).alias("__start"))
-    return (_place(placed).join(rated, F.col("source").eqNullSafe(F.col("__source")))
+    return (_turns(_place(placed), stratum).join(rated, F.col("source").eqNullSafe(F.col("__source")))
             .withColumn("__part", F.col("__rate") - F.floor("__rate"))
-            .withColumn("copies", F.floor("__rate") + F.floor(F.col("__start") + (F.col("__place") + 1) * F.col("__part"))
-                        - F.floor(F.col("__start") + F.col("__place") * F.col("__part")))
+            .withColumn("copies", F.floor("__rate") + F.floor(F.col("__start") + (F.col("__turn") + 1) * F.col("__part"))
+                        - F.floor(F.col("__start") + F.col("__turn") * F.col("__part")))
             .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))
 
 
@@ -94,6 +97,13 @@ def _place(placed: DataFrame) -> DataFrame:
             .withColumn("__place", F.col("__at") + F.col("__before")))
 
 
+def _turns(placed: DataFrame, stratum: int) -> DataFrame:
+    """Adds `__turn`: the places of each stratum dealt anew by the documents' own hashes."""
+    first = F.col("__place") - F.col("__place") % stratum
+    own = W.partitionBy("source", "__first").orderBy("__hash", F.col("size").desc())
+    return placed.withColumn("__first", first).withColumn("__turn", F.col("__first") + F.row_number().over(own) - 1)
+
+
 def digest(value: Column, seed: str) -> Column:
     """md5 of seed and value as hex: the same in SQL, and its first 13 digits are exact in a double."""
     return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(value.cast("string"), F.lit("null"))))

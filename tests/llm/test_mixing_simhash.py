@@ -28,6 +28,18 @@ def test_mix_equals_sql(spark):
     assert abs(by.target.sum() - 1.5 * by.source_size.sum()) < 1e-6 * by.target.sum()
 
 
+def test_mix_draws_by_own_hash_near_target(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "if(id % 10 < 7, 'a', if(id % 10 < 9, 'b', 'c')) as source", "repeat('w ', cast(1 + id * id % 211 as int)) as text")
+    got = mixing.mix(docs).toPandas()
+    for _, rows in got.groupby("source"):
+        assert abs(rows.taken.sum() - rows.target.iloc[0]) < 0.01 * rows.target.iloc[0]
+    # Another seed draws others, each with the same probability.
+    drawn = [mixing.mix(docs.where("source = 'b'"), seed=f"s{k}", share=1.25).toPandas().set_index("doc_id").copies - 1 for k in range(12)]
+    assert all(0 <= d.min() and d.max() <= 1 for d in drawn) and len({tuple(d.sort_index()) for d in drawn}) == 12
+    times = sum(d.sort_index() for d in drawn)
+    assert abs(times.mean() - 3) < 0.1 and abs(times.var() - 12 * 0.25 * 0.75) < 0.5
+
+
 def test_mix_native(spark):
     docs = spark.read.parquet(f"{BASE}/documents.parquet")
     plan = mixing.mix(docs)._jdf.queryExecution().toString()
