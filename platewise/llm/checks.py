@@ -19,7 +19,7 @@ rise as (select (1.5::double * (select sum(source_size) from sources) - used) /
 aimed as (select source, source_size, least(most, w * coalesce((select lvl from rise), 1e300)) as target,
                  cast(('0x' || left(md5('mix:' || coalesce(source, 'null')), 13)) as bigint)::double / 4503599627370496.0::double as start
           from weighed),
-dealt as (select *, (row_number() over (partition by source order by size desc, h) - 1) // 8 * 8 as stratum from sized),
+dealt as (select *, (row_number() over (partition by source order by size desc, h) - 1) // 4 * 4 as stratum from sized),
 placed as (select *, stratum + row_number() over (partition by source, stratum order by h, size desc) - 1 as k from dealt),
 mixed as (select p.doc_id, p.source, p.size, a.source_size, a.target, a.start, p.k,
                  case when a.source_size > 0 then a.target / a.source_size else 0 end as rate

@@ -10,7 +10,7 @@ from .common import WORD, numbered_by_range, ranged, shared, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 #: Documents of like size among which the draws of a source are balanced.
-STRATUM = 8
+STRATUM = 4
 
 
 def word_count(column: str = "text") -> Column:
