@@ -117,10 +117,10 @@ def topn_candidates(d: Domain):
         SELECT user_id, recipe_id, preference_score AS score, 0 AS side, rn AS k FROM cand
         UNION ALL SELECT u.user_id, r.recipe_id, 3.0, 1, r.recipe_id FROM users_ u, recipes r
             WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.user_id = u.user_id AND c.recipe_id = r.recipe_id) AND NOT EXISTS (SELECT 1 FROM excl e WHERE e.user_id = u.user_id AND e.recipe_id = r.recipe_id))) WHERE rn <= 6""", "preference", "recipes", "app_log",
-    users_="SELECT DISTINCT user_id FROM app_log", cand="SELECT p.* FROM preference p WHERE rn <= user_id::BIGINT % 8 AND user_id IN (SELECT user_id FROM app_log)",
+    users_="SELECT DISTINCT user_id FROM app_log", cand="SELECT p.* FROM preference p WHERE preference_score >= 4.5 AND user_id IN (SELECT user_id FROM app_log)",
     excl="SELECT DISTINCT user_id, recipe_id FROM app_log WHERE interaction_type IN ('liked', 'saved')"))
 def topk_with_backfill(d: Domain):
-    cand = d.kept("preference").where("rn <= cast(user_id as long) % 8").join(d.users, "user_id", "left_semi")
+    cand = d.kept("preference").where("preference_score >= 4.5").join(d.users, "user_id", "left_semi")
     return ranking.topk_with_backfill(cand, d.recipes, d.users, ratings.kept_pairs(d.app_log))
 
 

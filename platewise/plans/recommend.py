@@ -67,12 +67,12 @@ def join_factor_scores(d: Domain):
     SELECT user_id, rn, recipe_id, {r6('sc')} AS preference_score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sc DESC, recipe_id) AS rn FROM (
         SELECT user_id, recipe_id, sc FROM scored JOIN cand USING (user_id, recipe_id) UNION ALL SELECT user_id, recipe_id, sc FROM scored
         WHERE user_id NOT IN (SELECT user_id FROM scored JOIN cand USING (user_id, recipe_id)))) WHERE rn <= 10""", "pairs", "preference", "item_factors", s=_STATE,
-    cand="SELECT user_id, recipe_id FROM preference WHERE user_id::BIGINT % 5 <> 0",
+    cand="SELECT user_id, recipe_id FROM preference WHERE preference_score >= 4.5",
     scored="SELECT p.user_id, p.recipe_id, round(2.5 + bias + ub + list_dot_product(f.vec, s.vec), 9) AS sc FROM pairs p JOIN item_factors f ON f.recipe_id = p.recipe_id JOIN s ON s.user_id = p.user_id"))
 def online_rescore(d: Domain):
     meta = d.spark.range(1).select(F.lit(2.5).alias("global_mean"))
     scores = preference.factor_scores(d.pairs, d.item_factors, _state(d), meta).withColumn("score", F.round("score", 9))
-    return preference.online_rescore(d.preference.where("cast(user_id as long) % 5 != 0"), scores, 10)
+    return preference.online_rescore(d.preference.where("preference_score >= 4.5"), scores, 10)
 
 
 @query("zero_cold_identity", sql(f"""

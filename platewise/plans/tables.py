@@ -110,16 +110,16 @@ def semi_join_needed_ids(d: Domain):
     SELECT user_id, recipe_id, {r6('preference_score')} AS preference_score, model_name FROM (
         SELECT user_id, recipe_id, rating AS preference_score, CASE WHEN recipe_id % 2 = 0 THEN 'base@1' ELSE 'base@2' END AS model_name FROM mean_ratings)
     WHERE NOT (model_name = 'base@2' AND user_id IN (SELECT user_id FROM seg))
-    UNION ALL SELECT user_id, recipe_id, {r6('preference_score + 1')}, 'base@2' FROM preference WHERE user_id IN (SELECT user_id FROM seg) AND user_id::BIGINT % 3 <> 0""",
+    UNION ALL SELECT user_id, recipe_id, {r6('preference_score + 1')}, 'base@2' FROM preference WHERE user_id IN (SELECT user_id FROM seg) AND preference_score >= 4""",
     "mean_ratings", "preference", seg="SELECT c_custkey::VARCHAR AS user_id FROM customer WHERE c_mktsegment = 'BUILDING'"))
 def sink_replace_generation(d: Domain):
     current = d.mean_ratings.withColumnRenamed("rating", "preference_score").withColumn(
         "model_name", F.when(F.col("recipe_id") % 2 == 0, "base@1").otherwise("base@2"))
     segment = d.table("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("user_id"))
-    new = d.preference.where("cast(user_id as long) % 3 != 0").join(segment, "user_id", "left_semi").select(
+    new = d.preference.where("preference_score >= 4").join(segment, "user_id", "left_semi").select(
         "user_id", "recipe_id", (F.col("preference_score") + 1).alias("preference_score"), F.lit("base@2").alias("model_name"))
     root = scratch_path(d.spark, "candidates")
-    sinks.write_table(current, root)
+    sinks.write_table(current, root, ["user_id"], 8)
     for _ in range(2):  # a second run changes nothing
         sinks.replace_generation_table(d.spark, root, new, segment, "base@2")
     return sinks.read_table(d.spark, root)
@@ -138,7 +138,7 @@ def sink_upsert(d: Domain):
     updates = d.reports.select("user_id", name.alias("ingredient_name"), F.col("severity").alias("risk_score"),
                                F.col("report_id").alias("exposure_count"))
     root = scratch_path(d.spark, "risks")
-    sinks.write_table(current, root)
+    sinks.write_table(current, root, ["user_id", "ingredient_name"], 8)
     for _ in range(2):  # a second run changes nothing
         sinks.upsert_table(d.spark, root, updates, ["user_id", "ingredient_name"], "exposure_count")
     return sinks.read_table(d.spark, root)
@@ -229,12 +229,12 @@ def filter_online_delta(d: Domain):
 @query("filter_positive_ratings", sql(f"""
     SELECT user_id, recipe_id, {r6('rating')} AS rating FROM (SELECT CASE WHEN user_id::BIGINT % 2 = 0 THEN 'hist_' || user_id ELSE user_id END AS user_id,
         recipe_id, CASE WHEN recipe_id % 40 = 1 THEN 0 ELSE rating END AS rating FROM ratings)
-    WHERE rating > 0 AND (NOT starts_with(user_id, 'hist_') OR rating >= 4) AND recipe_id IN (SELECT recipe_id FROM recipes WHERE minutes < 40)""", "ratings", "recipes"))
+    WHERE rating > 0 AND (NOT starts_with(user_id, 'hist_') OR rating >= 4) AND recipe_id IN (SELECT recipe_id FROM recipes WHERE minutes IS NOT NULL)""", "ratings", "recipes"))
 def filter_positive_ratings(d: Domain):
     even = F.col("user_id").cast("long") % 2 == 0
     rows = d.ratings.select(F.when(even, F.concat(F.lit("hist_"), "user_id")).otherwise(F.col("user_id")).alias("user_id"), "recipe_id",
                             F.when(F.col("recipe_id") % 40 == 1, 0.0).otherwise(F.col("rating")).alias("rating"))
-    return ratings.filter_positive_ratings(rows, d.recipes.where("minutes < 40"))
+    return ratings.filter_positive_ratings(rows, d.recipes.where("minutes is not null"))
 
 
 @query("filter_catalog_quick", sql("SELECT recipe_id, minutes FROM recipes WHERE minutes < 30", "recipes"))

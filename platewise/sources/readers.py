@@ -12,10 +12,10 @@ RAW_INTERACTIONS = "user_id long, recipe_id long, date string, rating double, re
 FODMAP_LOOKUP = "food_group string, fodmap_category string, fodmap_severity string"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, breaks: bool = True) -> DataFrame:
-    """CSV with a header, quoted commas, doubled quotes and, with `breaks`, line breaks inside quotes.
+def read_csv(spark: SparkSession, path: str, schema: str, breaks: bool = False) -> DataFrame:
+    """CSV with a header, quoted commas and doubled quotes; large files are split over tasks.
 
-    Files with such breaks cannot be split: keep them small, or turn `breaks` off where there are none.
+    `breaks` allows line breaks inside quotes.  Files with such breaks cannot be split: keep them small.
     """
     return (spark.read.schema(schema).option("header", True).option("multiLine", breaks)
             .option("quote", '"').option("escape", '"').csv(path))

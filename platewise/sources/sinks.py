@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from ..functions.text import generation_name
 
@@ -37,36 +38,101 @@ def upsert(current: DataFrame, updates: DataFrame, keys: Sequence[str], order_co
     return current.join(new.select(*keys), list(keys), "left_anti").select(*cols).unionByName(new.select(*cols))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _folder(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, where = _folder(spark, path)
+    return files.exists(where)
+
+
+#: Column and folders of the buckets, and how many a table with keys has if nothing else is said.
+_BUCKET, BUCKETS = "bucket__", 64
+
+
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int") if keys else F.lit(0)
 
 
-def read_table(spark: SparkSession, root: str) -> DataFrame:
-    """The newest complete version of a table written by `write_table`."""
-    newest = spark.read.parquet(f"{root}/versions").agg(F.max_by("folder", "version")).first()[0]
-    return spark.read.parquet(newest)
+def _pointer(spark: SparkSession, root: str, version: int | None = None) -> Row | None:
+    """The row that names the parts of the newest version, or of a given one."""
+    if not _exists(spark, f"{root}/versions"):
+        return None
+    rows = spark.read.parquet(f"{root}/versions")
+    rows = rows if version is None else rows.where(F.col("version") == version)
+    return rows.agg(F.max_by(F.struct("version", "columns", "keys", "buckets", "parts"), "version").alias("p")).first()["p"]
 
 
-def write_table(df: DataFrame, root: str) -> None:
-    """Writes the rows beside the current version, then appends the pointer that makes them current.
+def _read_parts(spark: SparkSession, root: str, at: Row, only: set[int] | None = None) -> DataFrame:
+    """The rows of a version, or of some of its buckets: no other folder is listed or read."""
+    schema = T.StructType.fromJson(json.loads(at["columns"]))
+    paths = [f"{root}/data/{run}/{_BUCKET}={b}" for b, run in sorted(at["parts"].items()) if only is None or b in only]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def read_table(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The newest complete version of a table written by `write_table`, or an earlier one."""
+    at = _pointer(spark, root, version)
+    if at is None:
+        raise ValueError(f"no such version of {root}")
+    return _read_parts(spark, root, at)
+
+
+def _publish(df: DataFrame, root: str, keys: Sequence[str], buckets: int, last: Row | None, touched: set[int] | None) -> None:
+    """Writes rows into a folder of their own by buckets; the new version has them in place of the touched buckets (None:
+    of all) and shares the others with the version before."""
+    spark = df.sparkSession
+    version = last["version"] + 1 if last else 1
+    run = f"{version:09d}-{os.urandom(4).hex()}"
+    # The rebalance keeps a bucket in few files and cuts a large one over several tasks.
+    df.withColumn(_BUCKET, _bucket(keys, buckets)).hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(f"{root}/data/{run}")
+    files, where = _folder(spark, f"{root}/data/{run}")
+    names = [f.getPath().getName() for f in files.listStatus(where)]
+    parts = {b: r for b, r in last["parts"].items() if b not in touched} if last and touched is not None else {}
+    parts.update({int(n.split("=")[1]): run for n in names if n.startswith(f"{_BUCKET}=")})
+    row = (version, df.schema.json(), list(keys), buckets, parts)
+    spark.createDataFrame([row], "version long, columns string, keys array<string>, buckets int, parts map<int,string>").coalesce(1).write.mode(
+        "append").parquet(f"{root}/versions")
+
+
+def write_table(df: DataFrame, root: str, keys: Sequence[str] = (), buckets: int = BUCKETS) -> None:
+    """Writes a whole table, by buckets of `keys` if there are any, then appends the pointer that makes it current.
 
     Readers see the old version until the pointer is there, so a lost writer leaves nothing behind that is read, and
-    `df` may be derived from the version it replaces.
+    `df` may be derived from the version it replaces.  One writer at a time.
     """
-    spark = df.sparkSession
-    last = spark.read.parquet(f"{root}/versions").agg(F.max("version")).first()[0] if _exists(spark, f"{root}/versions") else 0
-    folder = f"{root}/data/{last + 1:09d}-{os.urandom(4).hex()}"
-    df.write.parquet(folder)
-    spark.range(1).select(F.lit(last + 1).cast("long").alias("version"), F.lit(folder).alias("folder")).write.mode("append").parquet(f"{root}/versions")
+    _publish(df, root, keys, buckets if keys else 1, _pointer(df.sparkSession, root), None)
 
 
-def upsert_table(spark: SparkSession, root: str, updates: DataFrame, keys: Sequence[str], order_col: str) -> None:
-    write_table(upsert(read_table(spark, root), updates, keys, order_col), root)
+def _touched(rows: DataFrame, at: Row) -> set[int]:
+    """Buckets that rows fall into: at most as many numbers as the table has buckets."""
+    return {r[0] for r in rows.select(_bucket(at["keys"], at["buckets"])).distinct().collect()}
 
 
-def replace_generation_table(spark: SparkSession, root: str, new: DataFrame, users: DataFrame, model_name: str) -> None:
-    write_table(replace_generation(read_table(spark, root), new, users, model_name), root)
+def upsert_table(spark: SparkSession, root: str, updates: DataFrame, keys: Sequence[str], order_col: str, buckets: int = BUCKETS) -> None:
+    """Reads and writes the buckets that the updates fall into; the others are shared with the version before.
+
+    A table that was not written by these keys is written anew by them once.
+    """
+    at = _pointer(spark, root)
+    if list(at["keys"]) != list(keys):
+        return _publish(upsert(_read_parts(spark, root, at), updates, keys, order_col), root, keys, buckets, at, None)
+    touched = _touched(updates, at)
+    if touched:
+        _publish(upsert(_read_parts(spark, root, at, touched), updates, keys, order_col), root, keys, at["buckets"], at, touched)
+
+
+def replace_generation_table(spark: SparkSession, root: str, new: DataFrame, users: DataFrame, model_name: str, buckets: int = BUCKETS) -> None:
+    """The same for whole generations, by buckets of user_id."""
+    at = _pointer(spark, root)
+    if list(at["keys"]) != ["user_id"]:
+        return _publish(replace_generation(_read_parts(spark, root, at), new, users, model_name), root, ["user_id"], buckets, at, None)
+    touched = _touched(users.select("user_id").unionByName(new.select("user_id")), at)
+    rows = replace_generation(_read_parts(spark, root, at, touched), new, users, model_name)
+    if touched:
+        _publish(rows, root, ["user_id"], at["buckets"], at, touched)
 
 
 def publish_factors(spark: SparkSession, root: str, base_name: str, trained_at: str, item_factors: DataFrame,

@@ -11,7 +11,7 @@ from platewise import session
 from platewise.operators import catalog, checkins as ck, matching, ratings, risk
 from platewise.plans import streams
 from platewise.plans.mapping import Domain
-from platewise.sources import sinks
+from platewise.sources import readers, sinks
 from platewise.streaming import jobs
 
 BASE = "/root/testdata/sf0.001"
@@ -53,6 +53,53 @@ def test_upsert_and_generation_tables(spark, rows):
         assert rows(sinks.read_table(spark, root)) == [("a", 3, 2.0, "m"), ("a", 9, 1.0, "other"), ("b", 2, 1.0, "m")]
 
 
+def test_only_touched_buckets_are_written(spark, rows):
+    root = session.scratch_path(spark, "b")
+    start = spark.range(400).selectExpr("cast(id as string) as user_id", "id as n", "cast(id as double) as risk")
+    sinks.write_table(start, root, ["user_id"], 16)
+    first = sinks._pointer(spark, root)["parts"]
+    assert set(first) == set(range(16)) and len(set(first.values())) == 1
+    change = spark.createDataFrame([("7", 900, 1.5), ("7", 901, 2.5), (None, 902, 3.5)], "user_id string, n long, risk double")
+    for round in (2, 3):  # a null key is nobody's, so it is added each time
+        sinks.upsert_table(spark, root, change, ["user_id"], "n")
+        at = sinks._pointer(spark, root)
+        assert at["version"] == round and 1 <= sum(first[b] != r for b, r in at["parts"].items()) <= 2
+        got = sinks.read_table(spark, root)
+        assert got.columns == start.columns and got.count() == 399 + round
+        assert rows(got.where("user_id = '7'")) == [("7", 901, 2.5)]
+    assert sinks.read_table(spark, root, 1).count() == 400
+    sinks.upsert_table(spark, root, change.limit(0), ["user_id"], "n")
+    assert sinks._pointer(spark, root)["version"] == 3
+    # What a lost writer left behind is not read.
+    start.withColumn("bucket__", F.lit(0)).write.partitionBy("bucket__").parquet(f"{root}/data/000000004-dead")
+    assert sinks.read_table(spark, root).count() == 402
+
+
+def test_tables_without_rows(spark):
+    root = session.scratch_path(spark, "e")
+    schema = "user_id string, recipe_id long, preference_score double, model_name string"
+    sinks.write_table(spark.createDataFrame([], schema), root, ["user_id"], 4)
+    assert sinks.read_table(spark, root).count() == 0
+    users = spark.createDataFrame([("a",), ("b",)], "user_id string")
+    sinks.replace_generation_table(spark, root, spark.createDataFrame([("a", 3, 2.0, "m")], schema), users, "m")
+    assert [tuple(r) for r in sinks.read_table(spark, root).collect()] == [("a", 3, 2.0, "m")]
+    sinks.replace_generation_table(spark, root, spark.createDataFrame([], schema), users, "m")
+    assert sinks.read_table(spark, root).count() == 0 and sinks.read_table(spark, root).columns == ["user_id", "recipe_id", "preference_score", "model_name"]
+
+
+def test_csv_is_split_unless_line_breaks_are_asked_for(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('id,note\n1,"a, ""b"""\n2,"two\nlines"\n')
+    whole = readers.read_csv(spark, str(tmp_path / "x.csv"), "id long, note string", breaks=True)
+    assert [tuple(r) for r in whole.orderBy("id").collect()] == [(1, 'a, "b"'), (2, "two\nlines")]
+    (tmp_path / "y.csv").write_text("id,note\n" + "".join(f'{i},"n, {i}"\n' for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        split = readers.read_csv(spark, str(tmp_path / "y.csv"), "id long, note string")
+        assert split.rdd.getNumPartitions() > 1 and split.where("note = concat('n, ', id)").count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_trending_counts_the_whole_window(spark):
     log = spark.range(120_000).select((F.col("id") % 7).alias("recipe_id"), F.lit("liked").alias("interaction_type"), F.lit("2024-01-30").cast("timestamp").alias("created_at"))
     got = ratings.trending(log, "2024-01-31 00:00:00", n=3).collect()
