@@ -9,12 +9,12 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import batches, binary_views
+from .common import batches, binary_views, shared
 
-#: Bounds of what the fit reads, whatever the size of the tables: labelled rows, unlabelled rows of the pool.
-LABELLED, POOL = 6000, 6000
+#: Labelled rows that the fit reads at most; the unlabelled ones all take part in the exchange.
+LABELLED = 6000
 ROUNDS, EACH = 4, 400
 PAIRS, META_DIMS = 1024, 128
 TEXT_DIMS = PAIRS + 2
@@ -91,34 +91,97 @@ def _balanced(y: np.ndarray) -> np.ndarray:
     return np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, each: int = EACH) -> Model | None:
+class ArrayPool:
+    """Unlabelled rows in arrays; given rows are gone."""
+
+    def __init__(self, views: dict[str, np.ndarray]):
+        self.views, self.free = views, np.arange(len(views["text"]))
+
+    def __len__(self) -> int:
+        return len(self.free)
+
+    def surest(self, view: str, other: str, w: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """What the other view sees of the rows with the lowest and the highest scores."""
+        order = np.argsort(logit(self.views[view][self.free], w), kind="stable")
+        chosen = order[:low], order[len(order) - high:]
+        out = tuple(self.views[other][self.free[c]] for c in chosen)
+        self.free = np.delete(self.free, np.concatenate(chosen))
+        return out
+
+
+class TablePool:
+    """The same over a written table x, m, key of any size, where `key` is the hash of both features.
+
+    Rows with equal features count once, so that a group of copies does not fill a round.  A round scores all rows where they
+    lie; tasks give the keys of their surest rows only, as many as the round takes, and the features of the chosen keys, a bounded number, come
+    to the driver.
+    """
+
+    def __init__(self, rows: DataFrame, given: np.ndarray):
+        self.rows, self.given = rows, np.unique(given)
+        self.size = rows.where(~F.col("key").isin(self.given.tolist())).select("key").distinct().count() if len(given) else rows.select("key").distinct().count()
+
+    def __len__(self) -> int:
+        return self.size
+
+    def surest(self, view: str, other: str, w: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        given, column = self.given, {"text": "x", "meta": "m"}
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = {1: (np.zeros(0), np.zeros(0, np.int64)), -1: (np.zeros(0), np.zeros(0, np.int64))}
+            for batch in it:
+                key, score = batch.column(1).to_numpy(), logit(_matrix(batch.column(0)), w).astype(np.float64)
+                free = ~np.isin(key, given)
+                for sign, many in ((1, low), (-1, high)):
+                    k, at = np.unique(np.r_[best[sign][1], key[free]], return_index=True)
+                    v = np.r_[best[sign][0], sign * score[free]][at]
+                    order = np.lexsort((sign * k, v))[:many]
+                    best[sign] = v[order], k[order]
+            for sign, (v, k) in best.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), sign, np.int32)), pa.array(v), pa.array(k)], names=["sign", "v", "key"])
+
+        found = self.rows.select(column[view], "key").mapInArrow(run, "sign int, v double, key long").groupBy("sign", "key").agg(F.min("v").alias("v"))
+        first = W.partitionBy("sign").orderBy("v", F.col("sign") * F.col("key"))
+        ranked = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= F.when(F.col("sign") == 1, low).otherwise(high)).select("sign", "key").toArrow()
+        sign, key = ranked.column("sign").to_numpy(), ranked.column("key").to_numpy()
+        # The features of a chosen key, once.
+        got = (self.rows.where(F.col("key").isin(key.tolist())).groupBy("key").agg(F.min(column[other]).alias("f"))).toArrow()
+        seen = dict(zip(got.column("key").to_pylist(), _matrix(got.column("f").combine_chunks())))
+        self.given, self.size = np.union1d(self.given, key), self.size - len(key)
+        return tuple(np.stack([seen[k] for k in np.sort(key[sign == s]).tolist()]) for s in (1, -1))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    offsets, data = binary_views(column)
+    return data[offsets[0]:offsets[-1]].view("<f2").reshape(len(column), -1).astype(np.float32)
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, each: int = EACH,
+             pool: ArrayPool | TablePool | None = None) -> Model | None:
     """Fits on rows with a label (1, 0; -1: none) that are not held out.  In each round either view gives the other
     the pool rows it is surest of, in the proportion of the labels; a row is given once.  Held-out rows calibrate the views, weigh
-    them against each other and set the threshold.  None without both labels on both sides."""
+    them against each other and set the threshold.  None without both labels on both sides.  Without a pool the rows without a label are it."""
     train, cal = np.flatnonzero((label >= 0) & ~held), np.flatnonzero((label >= 0) & held)
     if any(len(np.unique(label[r])) < 2 for r in (train, cal)):
         return None
     share = label[train].mean()
     quota = max(1, round(each * share)), max(1, round(each * (1 - share)))
-    rows = {"text": train, "meta": train}
-    known = {"text": label[train].astype(float), "meta": label[train].astype(float)}
-    views, free = {"text": text, "meta": meta}, label < 0
-    fit = lambda v: fit_logistic(views[v][rows[v]], known[v], _balanced(known[v]))
+    views = {"text": text, "meta": meta}
+    pool = pool if pool is not None else ArrayPool({v: views[v][label < 0] for v in views})
+    rows = {v: views[v][train] for v in views}
+    known = {v: label[train].astype(float) for v in views}
+    fit = lambda v: fit_logistic(rows[v], known[v], _balanced(known[v]))
     for _ in range(rounds):
         for view, other in (("text", "meta"), ("meta", "text")):
-            pool = np.flatnonzero(free)
             if len(pool) < sum(quota):
                 break
             w = fit(view)
-            score = logit(views[view][pool], w)
             own = 1 / (1 + np.exp(-np.clip(logit(views[view][train], w), -30, 30)))
             if ((own > 0.5) == (label[train] == 1)).mean() < max(share, 1 - share):
                 continue  # a view that knows less than the share of the larger class has nothing sure to give
-            order = np.argsort(score, kind="stable")
-            for chosen, value in ((order[:quota[1]], 0.0), (order[len(order) - quota[0]:], 1.0)):
-                rows[other] = np.r_[rows[other], pool[chosen]]
-                known[other] = np.r_[known[other], np.full(len(chosen), value)]
-                free[pool[chosen]] = False
+            for seen, value in zip(pool.surest(view, other, w, quota[1], quota[0]), (0.0, 1.0)):
+                rows[other] = np.concatenate([rows[other], seen])
+                known[other] = np.r_[known[other], np.full(len(seen), value)]
     w = {v: fit(v) for v in views}
     y, even = label[cal].astype(float), np.full(len(cal), 1.0)
     scale, cal_logit = {}, {}
@@ -151,24 +214,28 @@ def _features(docs: DataFrame, names: tuple[str, ...], extra: str) -> DataFrame:
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", columns: tuple[str, ...] = COLUMNS, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    """Reads the labelled and the unlabelled documents with the smallest hashes, `labelled` and `pool` at most: about
-    27 MB of features at the driver at any size of the tables.  A fifth of the labelled rows is held out."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", columns: tuple[str, ...] = COLUMNS, labelled: int = LABELLED) -> Model | None:
+    """Reads the labelled documents with the smallest hashes, `labelled` at most, one row of each doc_id: about 14 MB of features at
+    the driver at any size of the tables.  A fifth of them is held out.  The features of all documents are written once to the
+    shared folder, and the exchange runs over all whose features are not those of a labelled row read."""
     key = columns[0]
     rated = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
              .agg((F.avg(label) >= 0.5).cast("int").alias("__label")).withColumnRenamed("doc_id", "__id"))
     ids = docs.select(F.col(key).alias("__id")).where("__id is not null").distinct()
     place = F.xxhash64(F.col("__id").cast("string"))
     known = ids.join(rated, "__id").withColumn("__place", place).orderBy("__place", "__id").limit(labelled)
-    free = (ids.join(rated, "__id", "left_anti").withColumn("__label", F.lit(-1)).withColumn("__place", place)
-            .orderBy("__place", "__id").limit(pool))
-    chosen = F.broadcast(known.unionByName(free))
-    got = _features(docs.join(chosen, F.col(key) == F.col("__id")), columns, "x binary, m binary, label int, place long").orderBy("place", "x").toArrow()
+    rows = "x binary, m binary, label int, place long"
+    got = (_features(docs.join(F.broadcast(known), F.col(key) == F.col("__id")), columns, rows)
+           .groupBy("place").agg(F.min(F.struct("x", "m", "label")).alias("r")).select("r.x", "r.m", "r.label", "place", F.xxhash64("r.x", "r.m").alias("key"))
+           .orderBy("place").toArrow())
     if not got.num_rows:
         return None
-    x, m = (np.stack([np.frombuffer(b.as_buffer(), "<f2") for b in got.column(k)]).astype(np.float32) for k in (0, 1))
+    x, m = (_matrix(got.column(k).combine_chunks()) for k in (0, 1))
     y, held = got.column(2).to_numpy(), got.column(3).to_numpy() % 5 == 0
-    return co_train(x, m, y, held)
+    nothing = F.lit(None)
+    everything = shared(_features(docs.withColumns({"__label": nothing.cast("int"), "__place": nothing.cast("long")}), columns, rows)
+                        .select("x", "m", F.xxhash64("x", "m").alias("key")), "quality-features")
+    return co_train(x, m, y, held, pool=TablePool(everything, got.column(4).to_numpy()))
 
 
 def score(docs: DataFrame, model: Model | None, columns: tuple[str, ...] = COLUMNS) -> DataFrame:

@@ -161,7 +161,7 @@ def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
     unseen = labels.where("doc_id % 4 = 0")
     slim = docs.select(*COLUMNS)
-    model = cotraining.fit(slim, labels.where("doc_id % 4 != 0"), labelled=1500, pool=1500)
+    model = cotraining.fit(slim, labels.where("doc_id % 4 != 0"), labelled=1500)
     got = cotraining.score(slim, model).join(unseen, "doc_id").select("quality", "__text_score", "__score", "__keep").toPandas()
     assert len(got) > 800
     assert ((got["__keep"]) == (got.quality == 1)).mean() > 0.98
@@ -186,6 +186,28 @@ def test_views_teach_each_other():
     assert cotraining.co_train(text, meta, np.where(label == 1, 1, -1), held) is None
 
 
+def test_exchange_over_a_table_equals_arrays(spark):
+    """Pool rows in many partitions, with copies: the rows given, and so the weights, are those of a plain version over all distinct rows."""
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 1500)
+    text = (rng.standard_normal((1500, 30)) + 0.9 * (2 * y - 1)[:, None] * (np.arange(30) < 8)).astype("<f2")
+    meta = (rng.standard_normal((1500, 10)) + 0.9 * (2 * y - 1)[:, None] * (np.arange(10) < 4)).astype("<f2")
+    label, held = np.where(np.arange(1500) < 90, y, -1), np.arange(1500) % 3 == 0
+    rows = [(a.tobytes(), b.tobytes()) for a, b in zip(text, meta)]
+    df = spark.createDataFrame(rows + rows[100:101] * 700, "x binary, m binary").repartition(7).selectExpr("x", "m", "xxhash64(x, m) as key")
+    given = {(bytes(r.x), bytes(r.m)): r.key for r in df.collect()}
+    keys = np.array([given[r] for r in rows])
+    pool = cotraining.TablePool(df, keys[:90])
+    assert len(pool) == 1410
+    by_key = np.argsort(keys[90:]) + 90
+    text, meta = text.astype(np.float32), meta.astype(np.float32)
+    plain = cotraining.ArrayPool({"text": text[by_key], "meta": meta[by_key]})
+    args = text[:90], meta[:90], label[:90], held[:90]
+    a, b = cotraining.co_train(*args, rounds=3, each=100, pool=pool), cotraining.co_train(*args, rounds=3, each=100, pool=plain)
+    assert len(pool) == len(plain) < 1410
+    assert np.allclose(a.text, b.text, atol=1e-5) and np.allclose(a.meta, b.meta, atol=1e-5) and np.allclose(a.both, b.both, atol=1e-4)
+
+
 def test_classify_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b", "en", "s", -5), (4, "w " * 50000, "en", "s", 100000), (4, "w " * 50000, "en", "s", 100000)],
                                  "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as score", "2 as label")
