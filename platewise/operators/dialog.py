@@ -150,7 +150,7 @@ def context_assembly(meals: DataFrame, reports: DataFrame, checkins: DataFrame,
 
     `recommended`: user_id, rn, name, match, minutes, updated_at.
     """
-    top = lambda df, col, n, key: latest_n(df, "user_id", [F.col(col).desc(), F.col(key)], n)
+    top = lambda df, col, n, *keys: latest_n(df, "user_id", [F.col(col).desc(), *keys], n)
     unk = lambda c: F.coalesce(_pct(c), F.lit("unknown"))
     sev = lambda c: F.concat(F.lit("severity "), unk(c))
     row = lambda df, sec, src, text: df.select("user_id", F.lit(sec).alias("sec"), F.lit(src).alias("src"), F.col("rn").alias("k"),
@@ -182,7 +182,7 @@ def context_assembly(meals: DataFrame, reports: DataFrame, checkins: DataFrame,
         row(recommended.where("rn <= 5"), 4, 0, _join(
             F.col("name"), F.concat(_pct(F.col("match")), F.lit(" match")), F.concat(F.col("minutes").cast("string"), F.lit(" min")),
             F.when(F.col("updated_at").isNotNull(), F.concat(F.lit("updated "), _day(F.col("updated_at")))))),
-        row(top(interactions, "created_at", 8, "recipe_title"), 5, 0, _join(
+        row(top(interactions, "created_at", 8, "recipe_title", "interaction_type"), 5, 0, _join(
             F.concat_ws(" ", _day(F.col("created_at")), _clean(F.col("interaction_type"), 40)), _clean(F.col("recipe_title"), 100))),
     ]
     lines = parts[0]

@@ -309,7 +309,49 @@ def chat_history_trim(d: Domain):
     return dialog.trim_history(d.table("conversations").withColumn("role", role), 5, "Welcome")
 
 
-@query("context_assembly")
+def _short(x: str, n: int) -> str:
+    return f"substring(trim(regexp_replace(coalesce({x}, ''), '\\s+', ' ', 'g')), 1, {n})"
+
+
+def _parts(*parts: str) -> str:
+    return f"array_to_string(list_filter([{', '.join(_short(p, 120) for p in parts)}], lambda x: x <> ''), ', ')"
+
+
+def _share(x: str) -> str:
+    return f"(floor(greatest(0.0, least(1.0, {x})) * 100 + 0.5)::BIGINT || '%')"
+
+
+def _line(sec: int, src: int, text: str, rows: str, order: str = "", n: int = 0) -> str:
+    """Lines of one source: its newest n rows per user, or rows that carry their place rn."""
+    place = f"row_number() OVER (PARTITION BY user_id ORDER BY {order})" if order else "rn"
+    limit = f"QUALIFY k <= {n}" if n else ""
+    return f"SELECT user_id, {sec} AS sec, {src} AS src, {place} AS k, {_short(text, 260)} AS line FROM {rows} {limit}"
+
+
+_DAY = "strftime({}, '%Y-%m-%d')"
+_SEVERITY = "'severity ' || coalesce({}, 'unknown')"
+_FOODS = ", ".join(f"CASE WHEN len(w{i}) > 0 THEN '{label}: ' || array_to_string(list_transform(w{i}[1:4], lambda x: {_short('x', 50)}), ', ') END"
+                   for i, label in enumerate(("0-8h", "9-16h", "17-24h")))
+_LINES = " UNION ALL ".join((
+    _line(0, 0, _parts(f"concat_ws(' ', {_DAY.format('logged_at')}, {_short('food_name', 80)})", "'portion ' || portion_size || ' ' || portion_unit"), "meals", "logged_at DESC, meal_log_id", 8),
+    _line(1, 0, _parts(f"{_DAY.format('reported_at')} || ' ' || CASE WHEN no_symptoms THEN 'no symptoms' ELSE symptom_type END", _SEVERITY.format(_share("severity"))),
+          "reports", "reported_at DESC, report_id", 8),
+    _line(1, 1, _parts(f"{_DAY.format('created_at')} || ' IBS chat check-in'", _SEVERITY.format(_share("sev")), "'symptoms: cramps, gas'", "'summary: ' || nullif(summary, '')",
+                       f"'foods: ' || nullif(concat_ws('; ', {_FOODS}), '')"), "checkins", "created_at DESC, checkin_id", 4),
+    _line(2, 0, _parts("ingredient_name", "restriction_type", "'strict'"), "restrictions", "ingredient_name", 20),
+    _line(3, 0, _parts("ingredient_name", f"'pattern score ' || {_share('risk_score')}", "exposure_count || ' exposures'", "'unknown'", f"'last seen ' || {_DAY.format('last_evidence_at')}"),
+          "generic_risks", "risk_score DESC, ingredient_name", 8),
+    _line(3, 1, _parts("ingredient_name", f"'IBS grade ' || {_share('grade')}", "evidence_count || ' signals'", "trigger_group"), "profile_risks", "grade DESC, ingredient_name", 8),
+    _line(4, 0, _parts("name", f"{_share('preference_score / 7')} || ' match'", "minutes || ' min'", "'updated 2024-01-30'"), "(SELECT * FROM preference JOIN recipes USING (recipe_id) WHERE rn <= 5)"),
+    _line(5, 0, _parts(f"{_DAY.format('created_at')} || ' ' || interaction_type", _short("name", 100)), "(SELECT * FROM orders_log JOIN recipes USING (recipe_id))", "created_at DESC, name, interaction_type", 8)))
+_SECTION = "".join(f" || coalesce(chr(10) || '{title}:' || chr(10) || '- ' || string_agg(line, chr(10) || '- ' ORDER BY pos) FILTER (sec = {i} AND line <> '' AND pos <= {limit}), '')"
+                   for i, (title, limit) in enumerate(zip(dialog.SECTIONS, (99, 10, 99, 12, 99, 99))))
+
+
+@query("context_assembly", sql(f"""
+    SELECT user_id, substring('{dialog.CONTEXT_HEADER}'{_SECTION}, 1, {vocab.CONTEXT_CHARS}) AS context_text, count(*) AS source_count
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, sec ORDER BY src, k) AS pos FROM lines) GROUP BY user_id""",
+    "meals", "reports", "checkins", "restrictions", "generic_risks", "profile_risks", "preference", "recipes", "orders_log", lines=_LINES))
 def context_assembly(d: Domain):
     rec = d.preference.where("rn <= 5").join(d.recipes.select("recipe_id", "name", "minutes"), "recipe_id").select(
         "user_id", "rn", "name", (F.col("preference_score") / 7).alias("match"), "minutes", F.lit("2024-01-30").cast("timestamp").alias("updated_at"))
