@@ -235,11 +235,17 @@ def train_symptom_gbt(d: Domain):
                           (F.col("train_log_loss") < 0.9 * F.col("base_log_loss")).alias("learned"))
 
 
-@query("score_symptom_risk", sql("SELECT count(*) AS n, count(*) AS n_in_range FROM meals WHERE recipe_id IS NOT NULL AND meal_log_id NOT IN (SELECT meal_id FROM x)", "reports", "meals", o=_OUTCOMES, x=_MATCHED))
+@query("score_symptom_risk", sql("SELECT meal_log_id::VARCHAR AS ref_id, true AS in_range, true AS tells_apart FROM meals WHERE recipe_id IS NOT NULL AND meal_log_id NOT IN (SELECT meal_id FROM x)",
+                                "reports", "meals", o=_OUTCOMES, x=_MATCHED))
 def score_symptom_risk(d: Domain):
-    """The model's risk of every meal without an outcome; those with one trained it."""
+    """The model's risk of every meal without an outcome; those with one trained it, and there the mean risk is
+    higher for meals with symptoms than for others, which a constant or reversed model fails."""
     rows = write_and_read(_examples(d), "examples")
     model, _ = context.train_symptom_model(rows, trees=40)
+    told = context.score_symptom(rows, model)
+    mean = lambda label: F.avg(F.when(F.col("label") == label, F.col("symptom_risk")))
+    apart = told.agg(mean(1) > mean(0)).scalar()
     known = rows.select(F.col("meal_id").cast("string").alias("ref_id"))
     others = _features(d, with_risk=False).join(known, "ref_id", "left_anti")
-    return context.score_symptom(others, model).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("symptom_risk").between(0, 1)).alias("n_in_range"))
+    return (context.score_symptom(others, model).select("ref_id", F.col("symptom_risk").between(0, 1).alias("in_range"))
+            .withColumn("tells_apart", apart))

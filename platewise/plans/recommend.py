@@ -322,20 +322,28 @@ def hybrid_preference(d: Domain):
             .withColumn("_above", warp.ranked_above(positive, model)).select("user_id", "n", "n_recipes", "n_excluded", (F.col("_above") > 0.75).alias("ranks_known")))
 
 
-@query("kmeans_items", sql("SELECT count(*) AS n, count(*) AS n_nearest FROM recipes", "recipes"))
+def _apart(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda x, y: x + y)
+
+
+@query("kmeans_items", sql("SELECT recipe_id, true AS nearest, true AS centered FROM recipes", "recipes"))
 def kmeans_items(d: Domain):
-    """Every item is in the cluster whose center is nearest."""
+    """Whether every item is in the cluster whose center is nearest and that center is the mean of its members: what k-means
+    comes to rest at, and other centers do not have."""
     items, centers = preference.kmeans_items(d.recipes)
-    points = F.array(*[F.array(*map(F.lit, r.center)) for r in centers.orderBy("cluster").collect()])  # one row per cluster
-    away = F.transform(points, lambda c: F.aggregate(F.zip_with("scaled", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y))
-    near = F.get(F.col("away"), F.col("cluster")) <= F.array_min("away") + 1e-9
-    return items.withColumn("away", away).agg(F.count(F.lit(1)).alias("n"), F.count_if(near).alias("n_nearest"))
+    points = centers.agg(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "center"))), lambda c: c["center"])).scalar()  # one row per cluster
+    means = (items.select("cluster", F.posexplode("scaled").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("mean"))
+             .join(centers, "cluster").groupBy("cluster").agg(F.bool_and(F.abs(F.col("mean") - F.get("center", F.col("i"))) < 0.02).alias("centered")))
+    away = items.withColumn("_points", points).withColumn("_away", F.transform("_points", lambda c: _apart(F.col("scaled"), c)))
+    return away.join(means, "cluster").select("recipe_id", (F.get("_away", F.col("cluster")) <= F.array_min("_away") + 1e-9).alias("nearest"), "centered")
 
 
-@query("select_training_medoids", "SELECT 5::BIGINT AS n, 5::BIGINT AS n_recipes, 5::BIGINT AS n_own_cluster")
+@query("select_training_medoids", "SELECT unnest(range(5)) AS cluster, true AS own, true AS central")
 def select_training_medoids(d: Domain):
-    """One item per cluster, each from its own cluster."""
+    """One item per cluster, from that cluster and no further from its center than the members are on average."""
     items, centers = preference.kmeans_items(d.recipes)
     found = preference.training_medoids(items, centers, ratings.popularity_stats(d.ratings))
-    own = items.select("recipe_id", F.col("cluster").alias("own"))
-    return found.join(own, "recipe_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("recipe_id").alias("n_recipes"), F.count_if(F.col("own") == F.col("cluster")).alias("n_own_cluster"))
+    placed = items.join(F.broadcast(centers), "cluster").select("recipe_id", F.col("cluster").alias("_cluster"), F.sqrt(_apart(F.col("scaled"), F.col("center"))).alias("_d"))
+    spread = placed.groupBy(F.col("_cluster").alias("cluster")).agg(F.avg("_d").alias("_mean"))
+    return found.join(placed, "recipe_id").join(spread, "cluster").select(
+        "cluster", (F.col("_cluster") == F.col("cluster")).alias("own"), (F.col("_d") <= F.col("_mean")).alias("central"))
