@@ -223,3 +223,16 @@ def test_medoids_of_single_item_clusters(spark):
     stats = spark.createDataFrame([(2, 5, 0.1, 4.0), (3, 5, 0.1, 4.0)], "recipe_id long, review_count long, rating_var double, rating_mean double")
     got = {r["cluster"]: r["recipe_id"] for r in preference.training_medoids(items, centers, stats).collect()}
     assert got == {0: 1, 1: 2}
+
+
+def test_candidates_leave_out_pairs_before_they_arise(spark, rows):
+    users = spark.createDataFrame([("u",), ("u",), ("v",), (None,)], "user_id string")
+    catalog = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 5, None)], "recipe_id long")
+    barred = spark.createDataFrame([("u", 2), ("u", 2), ("u", 5), ("v", None), (None, 1), ("w", 1), ("v", 9)], "user_id string, recipe_id long")
+    for block in (2, 4096):
+        found = ranking.cross_candidates(users, catalog, barred, block)
+        every = [1, 2, 3, 4, 5, None]
+        assert rows(found) == sorted([("u", i) for i in (1, 3, 4, None)] + [("v", i) for i in every] + [(None, i) for i in every], key=repr)
+        plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        last = min(k for k, line in enumerate(plan) if "Generate" in line)
+        assert all(k > last for k, line in enumerate(plan) if "Join" in line)
