@@ -144,3 +144,23 @@ def test_decay_is_zero_after_window(spark, at):
     w = lambda a, b: one(spark, num.decay_weight(F.lit(at(a)), F.lit(at(b))))
     assert w("2024-01-01T00:00", "2024-01-03T00:00") == pytest.approx(math.exp(-48 / 18))
     assert w("2024-01-01T00:00", "2024-01-03T00:01") == 0.0 and w("2024-01-02T00:00", "2024-01-01T00:00") == 1.0
+
+
+def test_sides_that_only_look_small_are_not_broadcast(spark, tmp_path):
+    from platewise.plans.mapping import Domain
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+        Domain(spark, str(tmp_path))
+        spark.range(2000).selectExpr("id", "sequence(0, 499) AS xs").write.parquet(str(tmp_path / "packed"))
+        side = spark.read.parquet(str(tmp_path / "packed")).selectExpr("id", "explode(xs) AS x")
+        # A million rows in a file of some kB, against a table that is larger still.
+        met = spark.range(3000).join(side, "id")
+        assert met.count() == 1_000_000
+        assert "BroadcastHashJoin" not in met._jdf.queryExecution().sparkPlan().toString()
+        few = spark.range(3000).join(spark.range(5), "id")
+        few.collect()
+        assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
