@@ -42,3 +42,23 @@ def test_packs_of_one_block_are_dealt_over_tasks(spark):
             spark.conf.set(k, v)
     assert sorted(u for r in met for u in r["user_ids"]) == sorted(str(i) for i in range(400))
     assert len({r["p"] for r in met}) > 1
+
+
+def test_pairs_meet_their_signals_in_one_row(spark, rows):
+    recipes = spark.createDataFrame([(1, ["hot sauce", "rice"]), (2, [])], "recipe_id long, ingredients array<string>")
+    personal = spark.createDataFrame([("u", "hot", "Hot", 0.8, 0.5, "personal"), ("u", "sauce", "Sauce", 0.6, 0.5, "personal"), ("u", "milk", "Milk", 1.0, 1.0, "personal"),
+                                      ("v", "rice", "Rice", 0.4, 0.1, "personal")], "user_id string, normalized_name string, ingredient_name string, risk_score double, confidence double, source string")
+    population = spark.createDataFrame([("rice", "rice", 0.2, 0.4, "prior")], "normalized_name string, ingredient_name string, risk_score double, confidence double, source string")
+    pairs = spark.createDataFrame([("u", 1), ("u", 1), ("v", 1), ("w", 1), ("u", 2), (None, 1)], "user_id string, recipe_id long")
+    out = risk.recipe_ingredient_risk(pairs, recipes, personal, population, {"hot": 0.4}, masks=(), aliases={"none": ("none",)}, masked_names=("none",))
+    assert not [line for line in _plan(out).splitlines() if "Join" in line and "user_id" in line and "normalized_name" in line]
+    got = {(r["user_id"], r["recipe_id"]): r for r in out.collect()}
+    assert len(got) == out.count() == 5
+    u, v, w = got["u", 1], got["v", 1], got["w", 1]
+    # Of two equally certain signals the riskier counts: .5 * .8 + .5 * .4 beside the prior of rice.
+    assert (round(u["score"], 9), round(u["confidence"], 9), u["matched"], u["max_personal_risk"], u["personal_match_count"], u["personal_coverage"]) == (
+        0.4, 0.45, ["Hot", "rice"], 0.8, 1, 0.5)
+    assert (round(v["score"], 9), round(v["confidence"], 9), v["matched"], v["mean_personal_confidence"], v["ingredient_count"]) == (
+        round((0.4 + 0.25 * 0.4 + 0.75 * 0.2) / 2, 9), 0.2, ["Rice"], 0.1, 2)
+    assert (round(w["score"], 9), w["matched"], w["personal_match_count"]) == (0.3, ["rice"], 0)
+    assert all((got[k]["score"], got[k]["matched"], got[k]["ingredient_count"]) == (0.12, [], 0) for k in (("u", 2), (None, 1)))
