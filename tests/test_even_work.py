@@ -44,6 +44,13 @@ def test_packs_of_one_block_are_dealt_over_tasks(spark):
     assert len({r["p"] for r in met}) > 1
 
 
+def test_items_of_clusters_are_scaled_once(spark):
+    recipes = spark.createDataFrame([(i, i % 7, i % 3, 2, [float(i)] * 7, ["a", "b"]) for i in range(12)],
+                                    "recipe_id long, minutes long, n_steps long, n_ingredients long, nutrition array<double>, ingredients array<string>")
+    items, centers = preference.kmeans_items(recipes, k=2)
+    assert all("kmeans-scaled" in f for f in items.inputFiles()) and items.count() == 12 and centers.count() == 2
+
+
 def test_pairs_meet_their_signals_in_one_row(spark, rows):
     recipes = spark.createDataFrame([(1, ["hot sauce", "rice"]), (2, [])], "recipe_id long, ingredients array<string>")
     personal = spark.createDataFrame([("u", "hot", "Hot", 0.8, 0.5, "personal"), ("u", "sauce", "Sauce", 0.6, 0.5, "personal"), ("u", "milk", "Milk", 1.0, 1.0, "personal"),
