@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import numbers as num, text as tx
 from ..operators import catalog, cookbook, dashboard, preference, ranking, ratings
-from ..session import scratch_path
+from ..session import scratch_path, write_and_read
 from ..sources import readers, sinks
 from .mapping import LI_TRAINED_AT, NOW, Domain, lst, md5_unit, n_ing, n_text, r6, sql, ts
 from .registry import query
@@ -116,8 +116,9 @@ def sink_replace_generation(d: Domain):
     current = d.mean_ratings.withColumnRenamed("rating", "preference_score").withColumn(
         "model_name", F.when(F.col("recipe_id") % 2 == 0, "base@1").otherwise("base@2"))
     segment = d.table("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("user_id"))
-    new = d.preference.where("preference_score >= 4").join(segment, "user_id", "left_semi").select(
-        "user_id", "recipe_id", (F.col("preference_score") + 1).alias("preference_score"), F.lit("base@2").alias("model_name"))
+    # The new rows are checked, placed and written in each run: they are a table from here on.
+    new = write_and_read(d.preference.where("preference_score >= 4").join(segment, "user_id", "left_semi").select(
+        "user_id", "recipe_id", (F.col("preference_score") + 1).alias("preference_score"), F.lit("base@2").alias("model_name")), "new-generation")
     root = scratch_path(d.spark, "candidates")
     sinks.write_table(current, root, ["user_id"], 8)
     for _ in range(2):  # a second run changes nothing

@@ -44,6 +44,14 @@ def test_packs_of_one_block_are_dealt_over_tasks(spark):
     assert len({r["p"] for r in met}) > 1
 
 
+def test_new_generation_is_made_once(spark, base, rows, monkeypatch):
+    seen, real = [], tables.sinks.replace_generation_table
+    monkeypatch.setattr(tables.sinks, "replace_generation_table", lambda s, root, new, *a: (seen.append(new.inputFiles()), real(s, root, new, *a)))
+    out = tables.sink_replace_generation(Domain(spark, base))
+    assert len(seen) == 2 and all("new-generation" in f for files in seen for f in files)
+    assert rows(out) == [("1", 2, 4.0, "base@1"), ("1", 2, 5.0, "base@2"), ("2", 1, 5.0, "base@2")]
+
+
 def test_items_of_clusters_are_scaled_once(spark):
     recipes = spark.createDataFrame([(i, i % 7, i % 3, 2, [float(i)] * 7, ["a", "b"]) for i in range(12)],
                                     "recipe_id long, minutes long, n_steps long, n_ingredients long, nutrition array<double>, ingredients array<string>")
