@@ -44,6 +44,25 @@ def test_packs_of_one_block_are_dealt_over_tasks(spark):
     assert len({r["p"] for r in met}) > 1
 
 
+def test_shuffles_have_more_parts_than_the_session_names(spark):
+    keys = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    for key in keys:
+        spark.conf.unset(key)
+    even_tasks(spark)
+    assert "512)" in _plan(spark.range(10).groupBy((F.col("id") % 3).alias("k")).count())
+    spark.conf.set(keys[0], "7")
+    even_tasks(spark)
+    assert spark.conf.get(keys[0]) == "7"
+    spark.conf.unset(keys[0])
+    even_tasks(spark)
+
+
+def test_candidates_are_put_to_their_users_once(spark, base, rows):
+    d = Domain(spark, base)
+    assert _plan(d.preference).count("Exchange ") == 3  # two for the lines' orders, one by user
+    assert rows(d.preference, "user_id", "rn", "recipe_id", "preference_score") == [("1", 1, 2, 4.0), ("1", 2, 1, 3.0), ("2", 1, 1, 5.0)]
+
+
 def test_new_generation_is_made_once(spark, base, rows, monkeypatch):
     seen, real = [], tables.sinks.replace_generation_table
     monkeypatch.setattr(tables.sinks, "replace_generation_table", lambda s, root, new, *a: (seen.append(new.inputFiles()), real(s, root, new, *a)))
