@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -17,8 +18,10 @@ from .simhash import SEED, fingerprint, links, shingles
 WIDTH, RESEMBLANCE = 5, 0.8
 #: Least hashes per text, by bins of the hash range, and how many of them make a band.
 BINS, ROWS = 128, 5
-#: Members of bands up to this size are all paired; those of larger bands with the smallest key of the band.
+#: Members of bands up to this size are all paired; those of larger bands with the smallest key of the band first, see `crossing`.
 PAIRED = 16
+#: Members of one side of a block of a large band, and pairs of two components that are compared in the first round of `joined`.
+BLOCK, FIRST = 512, 16
 #: From so many shingles on, sketches that agree in less than SIEVE of their places are not compared exactly: over four standard errors.
 LONG, SIEVE = 256, 0.6
 
@@ -42,31 +45,36 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def _prints(docs: DataFrame, doc_id: str, text: str, width: int, whole: bool = False) -> DataFrame:
-    """doc_id, fp, digest and size of the set of shingles, and its sketch or, if `whole`, all its hashes."""
+    """doc_id, fp, digest and size of the set of shingles, and its sketch or, if `whole`, all its hashes as an array."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, 64 if whole else 1024):
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             sets = [hashed(t, width) for t in texts]
             bits = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64)
             digests = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits), pa.array(digests), pa.array([len(h) for h in sets], pa.int32()),
-                                              pa.array([(h if whole else sketch(h)).tobytes() for h in sets], pa.binary())], names=["doc_id", "fp", "digest", "size", "sketch"])
+            shown = pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())) if whole else pa.array([sketch(h).tobytes() for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits), pa.array(digests), pa.array([len(h) for h in sets], pa.int32()), shown],
+                                             names=["doc_id", "fp", "digest", "size", "sketch"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp long, digest long, size int, sketch binary").withColumn("key", F.xxhash64("fp", "digest"))
+        run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp long, digest long, size int, sketch {'array<bigint>' if whole else 'binary'}").withColumn("key", F.xxhash64("fp", "digest"))
 
 
-def proposed(classes: DataFrame, resemblance: float = RESEMBLANCE) -> DataFrame:
-    """a, b: keys of classes (key, size, sketch) that share a band and whose sizes and sketches do not rule `resemblance` out.
+def banded(classes: DataFrame) -> DataFrame:
+    """band, i, key, low, n: the bands of every class that more than one class is in, with the band's smallest key and its size."""
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BINS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
+    bands = shared(classes.select("key", F.posexplode(keys).alias("i", "band")), "sketch-bands")
+    least = bands.groupBy("band").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("of"), "low", "n")
+    return shared(bands.join(least, F.col("band") == F.col("of")).select("band", "i", "key", "low", "n"), "sketch-met")
+
+
+def proposed(classes: DataFrame, met: DataFrame, resemblance: float = RESEMBLANCE) -> DataFrame:
+    """a, b: keys of classes (key, size, sketch) that share a band (see `banded`) and whose sizes and sketches do not rule `resemblance` out.
 
     The members of a small band are all paired.  Those of a large one are paired with its smallest key: the minimum is aggregated
     before the shuffle and met in a join that Spark may split, so that a band of many near copies gives as many
-    pairs as it has members and gathers nowhere.
+    pairs as it has members and gathers nowhere.  The other pairs of a large band are left to `crossing`.
     """
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BINS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    bands = shared(classes.select("key", F.explode(keys).alias("band")), "sketch-bands")
-    least = bands.groupBy("band").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("of"), "low", "n")
-    met = shared(bands.join(least, F.col("band") == F.col("of")).select("band", "key", "low", "n"), "sketch-met")
     small = met.where(F.col("n") <= PAIRED).groupBy("band").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     small = small.select("keys", F.posexplode("keys").alias("i", "b")).select(F.explode(F.slice("keys", F.col("i") + 2, F.lit(PAIRED))).alias("a"), "b")
     pairs = met.where((F.col("n") > PAIRED) & (F.col("key") != F.col("low"))).select(F.col("key").alias("a"), F.col("low").alias("b")).unionByName(small).distinct()
@@ -83,21 +91,80 @@ def proposed(classes: DataFrame, resemblance: float = RESEMBLANCE) -> DataFrame:
     return full.mapInArrow(run, "a long, b long")
 
 
+def crossing(classes: DataFrame, met: DataFrame, placed: DataFrame, resemblance: float = RESEMBLANCE) -> DataFrame:
+    """a, b: the pairs of members of a large band that are in different components so far (`placed`: key, component) and that sizes and
+    sketches do not rule out.  Pairs within a component are settled, so the members outside a band's largest component meet all
+    its members, in blocks of about BLOCK by BLOCK; a pair counts in the first band that it shares."""
+    rows = met.where(F.col("n") > PAIRED).select("band", "i", "key").join(placed, "key")
+    parts = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
+    open_ = (parts.groupBy("band").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("parts"))
+             .where("parts > 1").select("band", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("nl"), F.ceil(F.col("all") / BLOCK).alias("nr")))
+    full = rows.join(open_, "band").join(classes.select("key", "size", "sketch"), "key")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    chunk = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
+    columns = ["band", "i", "key", "component", "size", "sketch", (F.col("component") == F.col("main")).alias("major")]
+    left = full.where("component != main").select(*columns, F.lit(True).alias("left"), chunk("nl").alias("c"), upto("nr").alias("d"))
+    right = full.select(*columns, F.lit(False).alias("left"), upto("nl").alias("c"), chunk("nr").alias("d"))
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y = (table.filter(side) for side in (table.column("left"), pa.compute.invert(table.column("left"))))
+        keys, parts, sizes = ([t.column(c).to_numpy() for t in (x, y)] for c in ("key", "component", "size"))
+        marks = [np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, BINS) for t in (x, y)]
+        major, band = y.column("major").to_numpy(), table.column("i")[0].as_py()
+        found = [np.zeros((0, 2), np.int64)]
+        for k in range(x.num_rows):
+            small = np.minimum(sizes[0][k], sizes[1])
+            at = np.flatnonzero((parts[0][k] != parts[1]) & (major | (keys[0][k] > keys[1])) & (small / np.maximum(sizes[0][k], sizes[1]) >= resemblance))
+            same = marks[0][k] == marks[1][at]
+            whole = same[:, :BINS // ROWS * ROWS].reshape(-1, BINS // ROWS, ROWS).all(axis=2)
+            near = at[(whole.argmax(axis=1) == band) & ((same.mean(axis=1) >= min(SIEVE, resemblance - 0.2)) | (small[at] < LONG))]
+            found.append(np.stack([np.full(len(near), keys[0][k]), keys[1][near]], axis=1))
+        pairs = np.concatenate(found)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return left.unionByName(right).groupBy("band", "c", "d").applyInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, resemblance: float = RESEMBLANCE) -> DataFrame:
-    """Those of the pairs a, b of keys whose sets (key, hashes: sorted, 8 bytes each) have a Jaccard of `resemblance` or more."""
+    """Those of the pairs a, b of keys whose sets (key, hashes: distinct) have a Jaccard of `resemblance` or more."""
     full = (pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a")
-            .join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y"))
+            .join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b"))
+    common = F.size(F.array_intersect("x", "y"))
+    return full.where(common / F.greatest(F.lit(1), F.size("x") + F.size("y") - common) >= resemblance).select("a", "b")
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it):
-            near = []
-            for k in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(common / max(1, len(x) + len(y) - common) >= resemblance)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near, pa.bool_())) for c in (0, 1)], names=["a", "b"])
 
-    return full.mapInArrow(run, "a long, b long")
+def _sets(docs: DataFrame, doc_id: str, text: str, width: int, pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """key, hashes of the classes in `pairs`, taken anew from the texts of one document each."""
+    wanted = shared(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(known.select("key", "rep"), "key"), "copies-wanted")
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    return shared(_prints(texts, "id", "t", width, whole=True).join(wanted.select("key"), "key", "left_semi")
+                  .dropDuplicates(["key"]).select("key", F.col("sketch").alias("hashes")), "copies-sets")
+
+
+def joined(pairs: DataFrame, sets: DataFrame, placed: DataFrame, resemblance: float = RESEMBLANCE) -> DataFrame | None:
+    """node, component: the components of `placed` (key, component) that links among the pairs a, b join; None if there are none.
+
+    All pairs whose ends are not in one component by then are compared exactly, a few of every two components at first, then
+    64 times as many: most components that belong together are found so with few comparisons."""
+    moved, many = None, FIRST
+    at = lambda c: placed.select(F.col("key").alias(c), F.col("component").alias(f"p{c}"))
+    rest = shared(pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", F.least("pa", "pb").alias("p"), F.greatest("pa", "pb").alias("q")), "copies-rest")
+    while rest.limit(1).count():
+        sizes = rest.groupBy("p", "q").agg(F.count(F.lit(1)).alias("m"))
+        rest = shared(rest.join(sizes, ["p", "q"]).withColumn("now", F.pmod(F.xxhash64("a", "b"), F.col("m")) < many), "copies-round")
+        links_ = connected_components(verified(rest.where("now"), sets, resemblance).join(rest, ["a", "b"]).select(F.col("q").alias("a"), F.col("p").alias("b")))
+        links_ = shared(links_, "copies-moved")
+        to = lambda c: F.coalesce(f"_{c}", c).alias(c)
+        name = lambda c: links_.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+        rest = rest.where("not now").select("a", "b", "p", "q").join(name("p"), "p", "left").join(name("q"), "q", "left").select("a", "b", to("p"), to("q"))
+        rest = shared(rest.where("p != q").select("a", "b", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")), "copies-rest")
+        if moved is None:
+            moved = links_
+        else:  # what moved before moves on
+            then = moved.withColumnRenamed("component", "p").join(name("p"), "p", "left").select("node", to("p")).withColumnRenamed("p", "component")
+            moved = shared(then.unionByName(links_.join(moved.select("node"), "node", "left_anti")), "copies-moved")
+        many *= 64
+    return moved
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, resemblance: float = RESEMBLANCE) -> DataFrame:
@@ -105,7 +172,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 
     Fingerprints at two or fewer differing bits are linked by deletion variants.  Texts that share eight of ten
     shingles differ in about nine of 64 bits, more than any two segments with one wildcard can bridge, so they
-    are proposed by bands of least hashes.  A proposed pair is accepted by the Jaccard of all its shingles, which
+    are proposed by bands of least hashes; the members of large bands meet the band's smallest key first and then all
+    members that are in other components.  A proposed pair is accepted by the Jaccard of all its shingles, which
     are taken anew from the texts of proposed classes only.
 
     Null, empty and blank texts are copies of each other.  Rows with a null doc_id take part, under the smallest
@@ -116,16 +184,21 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     classes = shared(prints.groupBy("key").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "copies-classes")
     firsts = classes.groupBy("fp").agg(F.min("rep").alias("rep"))
     known = classes.where("rep is not null")
-    pairs = shared(proposed(known, resemblance), "copies-pairs")
-    wanted = shared(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(known.select("key", "rep"), "key"), "copies-wanted")
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    sets = shared(_prints(texts, "id", "t", width, whole=True).join(wanted.select("key"), "key", "left_semi")
-                  .dropDuplicates(["key"]).select("key", F.col("sketch").alias("hashes")), "copies-sets")
+    met = banded(known)
+    pairs = shared(proposed(known, met, resemblance), "copies-pairs")
+    sets = _sets(docs, doc_id, text, width, pairs, known)
     rep = lambda c: known.select(F.col("key").alias(c), F.col("rep").alias(f"rep_{c}"))
     near = verified(pairs, sets, resemblance).join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     alike = known.select("fp", F.col("rep").alias("a")).join(firsts.select("fp", F.col("rep").alias("b")), "fp").select("a", "b")
     groups = connected_components(links(firsts.where("rep is not null")).unionByName(near.unionByName(alike).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     named = firsts.join(groups, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "rep").alias("component_id"))
+    if met.where(F.col("n") > PAIRED).limit(1).count():
+        named = shared(named, "copies-named")
+        placed = shared(known.join(named, F.col("fp") == F.col("__fp")).select("key", F.col("component_id").alias("component")), "copies-placed")
+        more = shared(crossing(known, met, placed, resemblance), "copies-crossing")
+        moved = joined(more, _sets(docs, doc_id, text, width, more, known), placed, resemblance) if more.limit(1).count() else None
+        if moved is not None:
+            named = named.join(moved, F.col("component_id") == F.col("node"), "left").select("__fp", F.coalesce("component", "component_id").alias("component_id"))
     return prints.join(named, F.col("fp") == F.col("__fp")).select("doc_id", "component_id")
 
 

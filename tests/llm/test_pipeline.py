@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from platewise.llm import cotraining, mixing, resemblance, secrets, simhash
 from tests.llm.test_mixing_simhash import brute_components, brute_prints
@@ -101,6 +103,36 @@ def test_resemblance_is_exact(spark):
     assert {p for p in pairs if got[p[0]] == got[p[1]]} == near
 
 
+def test_members_of_a_large_band_led_by_another_text_meet(spark, monkeypatch):
+    """Thirty classes share one band; 10 and 20 are alike and unlike the smallest key."""
+    rng = np.random.default_rng(3)
+    sketches = rng.integers(0, 1 << 16, (31, resemblance.BINS), dtype=np.uint16)
+    sketches[:, 10:15] = 7
+    sketches[20, :15] = sketches[10, :15]
+    sketches[20, 20:] = sketches[10, 20:]
+    classes = spark.createDataFrame([(k, 400, bytearray(sketches[k].tobytes())) for k in range(1, 31)], "key long, size int, sketch binary")
+    # The pair shares small bands as well, which are taken away here.
+    met = resemblance.banded(classes).where("n > 16")
+    assert (20, 10) not in {(r.a, r.b) for r in resemblance.proposed(classes, met).collect()}
+    monkeypatch.setattr(resemblance, "BLOCK", 4)
+    assert resemblance.crossing(classes, met, classes.select("key", F.lit(1).alias("component"))).count() == 0
+    sketches[20, :10], sketches[20, 20:25] = sketches[0, :10], sketches[0, 20:25]
+    sketches[20, 29::5] += 1
+    classes = spark.createDataFrame([(k, 400, bytearray(sketches[k].tobytes())) for k in range(1, 31)], "key long, size int, sketch binary")
+    placed = classes.select("key", F.when(F.col("key") < 5, 1).otherwise(F.col("key")).alias("component"))
+    assert [(r.a, r.b) for r in resemblance.crossing(classes, resemblance.banded(classes), placed).collect()] == [(20, 10)]
+
+
+def test_components_are_joined_by_exact_links_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(resemblance, "FIRST", 1)
+    sets = {k: list(range(100 * (k % 3), 100 * (k % 3) + 20 + k // 3)) for k in range(12)}  # three groups
+    placed = spark.createDataFrame([(k, k) for k in sets], "key long, component long")
+    pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a > b], "a long, b long")
+    hashes = spark.createDataFrame(list(sets.items()), "key long, hashes array<long>")
+    moved = {r.node: r.component for r in resemblance.joined(pairs, hashes, placed).collect()}
+    assert {k: moved.get(k, k) for k in sets} == {k: k % 3 for k in sets}
+
+
 def test_texts_that_share_a_fingerprint_or_doc_id_keep_their_links(spark):
     line = [f"w{i}" for i in range(34)]
     rows = [(1, "some other words"), (5, " ".join(line)), (5, "one two three"), (7, " ".join(line[:32] + ["x", "y"]))]
