@@ -79,6 +79,21 @@ def test_item_based_equals_brute_force(spark):
     assert not got
 
 
+def test_item_based_by_blocks_keeps_ties_nulls_and_users_without_id(spark, monkeypatch):
+    """Scores are cut to the best in the tasks; sums per user and recipe are not shuffled."""
+    data, _ = random_ratings(spark, 30, 20, 5)
+    data = [(u, i, None if (n := k % 7) == 3 else 2.0 if n else r) for k, (u, i, r) in enumerate(data)] + [(None, 3, 2.0), (None, 4, 1.0)]
+    df = spark.createDataFrame(data, R)
+    whole = cf._best(cf._item_scores(df, cf.item_similarity(df)).withColumn("score", F.round("score", 10)), df, 4)
+    for name, value in ("CELLS", 50), ("BLOCKS", 3), ("DENSE", 9):
+        monkeypatch.setattr(cf, name, value)
+    got = cf.item_based(df, 4)
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()
+    # A rating without user is no one's: its recipes are not left out.
+    shown = lambda rows: {(r.user_id, r.rn, r.recipe_id, r.score if r.score is None else round(r.score, 8)) for r in rows.collect()}
+    assert shown(got) == shown(whole) and len(shown(got)) > 100
+
+
 def test_predict_user_based(spark):
     data, df = random_ratings(spark)
     us, its, m = dense(data)
