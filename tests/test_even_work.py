@@ -96,3 +96,14 @@ def test_pairs_meet_their_signals_in_one_row(spark, rows):
         round((0.4 + 0.25 * 0.4 + 0.75 * 0.2) / 2, 9), 0.2, ["Rice"], 0.1, 2)
     assert (round(w["score"], 9), w["matched"], w["personal_match_count"]) == (0.3, ["rice"], 0)
     assert all((got[k]["score"], got[k]["matched"], got[k]["ingredient_count"]) == (0.12, [], 0) for k in (("u", 2), (None, 1)))
+
+
+def test_shuffled_factors_of_earlier_turns_are_dropped_soon(spark, monkeypatch):
+    """ALS removes the shuffle files of the turns before at its checkpoints only."""
+    from pyspark.ml import recommendation
+
+    seen = {}
+    monkeypatch.setattr(recommendation, "ALS", lambda **params: seen.update(params) or (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        preference._als(spark.createDataFrame([("u", 1, 1.0)], "user_id string, recipe_id long, r double"), 4, 20, False, 0.1, 1)
+    assert seen["checkpointInterval"] <= 2
