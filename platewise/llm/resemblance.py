@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import batches, shared
 from .components import connected_components
-from .simhash import SEED, fingerprint, links, shingles
+from .simhash import SEED, _stars, fingerprint, links, shingles
 
 #: Words in a shingle and the least share of common shingles of near copies.
 WIDTH, RESEMBLANCE = 5, 0.8
@@ -91,18 +91,44 @@ def proposed(classes: DataFrame, met: DataFrame, resemblance: float = RESEMBLANC
     return full.mapInArrow(run, "a long, b long")
 
 
-def crossing(classes: DataFrame, met: DataFrame, placed: DataFrame, resemblance: float = RESEMBLANCE) -> DataFrame:
-    """a, b: the pairs of members of a large band that are in different components so far (`placed`: key, component) and that sizes and
-    sketches do not rule out.  Pairs within a component are settled, so the members outside a band's largest component meet all
-    its members, in blocks of about BLOCK by BLOCK; a pair counts in the first band that it shares."""
+def opened(met: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the large bands that hold more than one component (`placed`: key, component): band, i, key, component of their members, and
+    band, main (the largest component), nl, nr: blocks of the members outside it and of all."""
     rows = met.where(F.col("n") > PAIRED).select("band", "i", "key").join(placed, "key")
     parts = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
-    open_ = (parts.groupBy("band").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("parts"))
-             .where("parts > 1").select("band", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("nl"), F.ceil(F.col("all") / BLOCK).alias("nr")))
+    blocks = (parts.groupBy("band").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("parts"))
+              .where("parts > 1").select("band", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("nl"), F.ceil(F.col("all") / BLOCK).alias("nr")))
+    return rows, blocks
+
+
+def _common(x: pa.ChunkedArray, y: pa.ChunkedArray) -> Iterator[np.ndarray]:
+    """For each array of x the number of values that it has in common with each array of y; values of an array are distinct."""
+    values = [np.concatenate([np.zeros(0, np.int64), *(c.values.to_numpy()[c.offsets[0].as_py():c.offsets[-1].as_py()] for c in side.chunks)]) for side in (x, y)]
+    sizes = [pa.compute.list_value_length(side).to_numpy() for side in (x, y)]
+    order = np.argsort(values[1], kind="stable")
+    of, held = np.repeat(np.arange(len(y)), sizes[1])[order], values[1][order]
+    lo, hi = np.searchsorted(held, values[0]), np.searchsorted(held, values[0], "right")
+    ends = np.r_[0, np.cumsum(sizes[0])]
+    for k in range(len(x)):
+        first, many = lo[ends[k]:ends[k + 1]], (hi - lo)[ends[k]:ends[k + 1]]
+        at = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
+        yield np.bincount(of[at], minlength=len(y))
+
+
+def crossing(classes: DataFrame, met: DataFrame, placed: DataFrame, resemblance: float = RESEMBLANCE, sets: DataFrame | None = None) -> DataFrame:
+    """a, b, sure: the pairs of members of a large band that are in different components so far (`placed`: key, component) and that sizes and
+    sketches do not rule out.  Pairs within a component are settled, so the members outside a band's largest component meet all
+    its members, in blocks of about BLOCK by BLOCK; a pair counts in the first band that it shares.
+
+    With `sets` (key, hashes: distinct) the pairs that have theirs and that sketches say nothing of, being short, are compared
+    exactly in the block, which gives fewer links than it has components, `sure`: a band of many texts that are unlike each other but for
+    a passage gives none, however many pairs it has."""
+    rows, open_ = opened(met, placed)
     full = rows.join(open_, "band").join(classes.select("key", "size", "sketch"), "key")
+    full = full.withColumn("hashes", F.lit(None).cast("array<bigint>")) if sets is None else full.join(sets.select("key", "hashes"), "key", "left")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     chunk = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
-    columns = ["band", "i", "key", "component", "size", "sketch", (F.col("component") == F.col("main")).alias("major")]
+    columns = ["band", "i", "key", "component", "size", "sketch", "hashes", (F.col("component") == F.col("main")).alias("major")]
     left = full.where("component != main").select(*columns, F.lit(True).alias("left"), chunk("nl").alias("c"), upto("nr").alias("d"))
     right = full.select(*columns, F.lit(False).alias("left"), upto("nl").alias("c"), chunk("nr").alias("d"))
 
@@ -110,19 +136,35 @@ def crossing(classes: DataFrame, met: DataFrame, placed: DataFrame, resemblance:
         x, y = (table.filter(side) for side in (table.column("left"), pa.compute.invert(table.column("left"))))
         keys, parts, sizes = ([t.column(c).to_numpy() for t in (x, y)] for c in ("key", "component", "size"))
         marks = [np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, BINS) for t in (x, y)]
+        held = [t.column("hashes").is_valid().to_numpy() for t in (x, y)]
         major, band = y.column("major").to_numpy(), table.column("i")[0].as_py()
-        found = [np.zeros((0, 2), np.int64)]
+        found, sure = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+        names, code = np.unique(np.concatenate(parts), return_inverse=True)
+        of = code[:x.num_rows], code[x.num_rows:]
+        mine, theirs = (np.flatnonzero(h) for h in held)
+        for k, common in zip(mine.tolist(), _common(*(t.column("hashes").filter(pa.array(h)) for t, h in zip((x, y), held)))):
+            both = np.maximum(1, sizes[0][k] + sizes[1][theirs] - common)
+            alike = theirs[(np.minimum(sizes[0][k], sizes[1][theirs]) < LONG) & (common / both >= resemblance) & (of[1][theirs] != of[0][k])]
+            near = np.unique(of[1][alike])
+            sure.append(np.stack([np.full(len(near), of[0][k]), near], axis=1))
         for k in range(x.num_rows):
             small = np.minimum(sizes[0][k], sizes[1])
-            at = np.flatnonzero((parts[0][k] != parts[1]) & (major | (keys[0][k] > keys[1])) & (small / np.maximum(sizes[0][k], sizes[1]) >= resemblance))
+            at = np.flatnonzero((of[0][k] != of[1]) & (major | (keys[0][k] > keys[1])) & (small / np.maximum(sizes[0][k], sizes[1]) >= resemblance)
+                                & ~(held[0][k] & held[1] & (small < LONG)))
+            if not len(at):
+                continue
             same = marks[0][k] == marks[1][at]
             whole = same[:, :BINS // ROWS * ROWS].reshape(-1, BINS // ROWS, ROWS).all(axis=2)
             near = at[(whole.argmax(axis=1) == band) & ((same.mean(axis=1) >= min(SIEVE, resemblance - 0.2)) | (small[at] < LONG))]
             found.append(np.stack([np.full(len(near), keys[0][k]), keys[1][near]], axis=1))
-        pairs = np.concatenate(found)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        pairs, linked = np.concatenate(found), np.concatenate(sure)
+        some = np.zeros(len(names), np.int64)  # a member of every component
+        some[of[1]], some[of[0]] = keys[1], keys[0]
+        links_ = np.stack(_stars(linked[:, 0], linked[:, 1]), axis=1) if len(linked) else linked
+        pairs = np.concatenate([pairs, some[links_]])
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "sure": np.arange(len(pairs)) >= len(pairs) - len(links_)})
 
-    return left.unionByName(right).groupBy("band", "c", "d").applyInArrow(run, "a long, b long")
+    return left.unionByName(right).groupBy("band", "c", "d").applyInArrow(run, "a long, b long, sure boolean")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, resemblance: float = RESEMBLANCE) -> DataFrame:
@@ -133,9 +175,13 @@ def verified(pairs: DataFrame, sets: DataFrame, resemblance: float = RESEMBLANCE
     return full.where(common / F.greatest(F.lit(1), F.size("x") + F.size("y") - common) >= resemblance).select("a", "b")
 
 
-def _sets(docs: DataFrame, doc_id: str, text: str, width: int, pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """key, hashes of the classes in `pairs`, taken anew from the texts of one document each."""
-    wanted = shared(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(known.select("key", "rep"), "key"), "copies-wanted")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
+
+
+def _sets(docs: DataFrame, doc_id: str, text: str, width: int, keys: DataFrame, known: DataFrame) -> DataFrame:
+    """key, hashes of the classes in `keys`, taken anew from the texts of one document each."""
+    wanted = shared(keys.distinct().join(known.select("key", "rep"), "key"), "copies-wanted")
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     return shared(_prints(texts, "id", "t", width, whole=True).join(wanted.select("key"), "key", "left_semi")
                   .dropDuplicates(["key"]).select("key", F.col("sketch").alias("hashes")), "copies-sets")
@@ -148,7 +194,7 @@ def joined(pairs: DataFrame, sets: DataFrame, placed: DataFrame, resemblance: fl
     64 times as many: most components that belong together are found so with few comparisons."""
     moved, many = None, FIRST
     at = lambda c: placed.select(F.col("key").alias(c), F.col("component").alias(f"p{c}"))
-    rest = shared(pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", F.least("pa", "pb").alias("p"), F.greatest("pa", "pb").alias("q")), "copies-rest")
+    rest = shared(pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", F.least("pa", "pb").alias("p"), F.greatest("pa", "pb").alias("q")).where("p != q"), "copies-rest")
     while rest.limit(1).count():
         sizes = rest.groupBy("p", "q").agg(F.count(F.lit(1)).alias("m"))
         rest = shared(rest.join(sizes, ["p", "q"]).withColumn("now", F.pmod(F.xxhash64("a", "b"), F.col("m")) < many), "copies-round")
@@ -186,7 +232,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     known = classes.where("rep is not null")
     met = banded(known)
     pairs = shared(proposed(known, met, resemblance), "copies-pairs")
-    sets = _sets(docs, doc_id, text, width, pairs, known)
+    sets = _sets(docs, doc_id, text, width, _ends(pairs), known)
     rep = lambda c: known.select(F.col("key").alias(c), F.col("rep").alias(f"rep_{c}"))
     near = verified(pairs, sets, resemblance).join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     alike = known.select("fp", F.col("rep").alias("a")).join(firsts.select("fp", F.col("rep").alias("b")), "fp").select("a", "b")
@@ -195,10 +241,22 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     if met.where(F.col("n") > PAIRED).limit(1).count():
         named = shared(named, "copies-named")
         placed = shared(known.join(named, F.col("fp") == F.col("__fp")).select("key", F.col("component_id").alias("component")), "copies-placed")
-        more = shared(crossing(known, met, placed, resemblance), "copies-crossing")
-        moved = joined(more, _sets(docs, doc_id, text, width, more, known), placed, resemblance) if more.limit(1).count() else None
+        rows, blocks = opened(met, placed)
+        short = known.where(F.col("size") <= LONG / resemblance).select("key").join(rows.join(blocks, "band").select("key"), "key", "left_semi")
+        more = shared(crossing(known, met, placed, resemblance, _sets(docs, doc_id, text, width, short, known)), "copies-crossing")
+        named = named.withColumnRenamed("component_id", "component")
+        at = lambda c: placed.select(F.col("key").alias(c), F.col("component").alias(f"p{c}"))
+        sure = shared(more.where("sure").select("a", "b").join(at("a"), "a").join(at("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "copies-sure")
+        if sure.limit(1).count():
+            moved = shared(connected_components(sure), "copies-moved").withColumnRenamed("component", "_to")
+            named, placed = (shared(df.join(moved, F.col("component") == F.col("node"), "left").select(df.columns[0], F.coalesce("_to", "component").alias("component")), "copies-placed")
+                             for df in (named, placed))
+        rest = more.where("not sure").select("a", "b")
+        moved = joined(rest, _sets(docs, doc_id, text, width, _ends(rest), known), placed, resemblance) if rest.limit(1).count() else None
         if moved is not None:
-            named = named.join(moved, F.col("component_id") == F.col("node"), "left").select("__fp", F.coalesce("component", "component_id").alias("component_id"))
+            moved = moved.withColumnRenamed("component", "_to")
+            named = named.join(moved, F.col("component") == F.col("node"), "left").select("__fp", F.coalesce("_to", "component").alias("component"))
+        named = named.withColumnRenamed("component", "component_id")
     return prints.join(named, F.col("fp") == F.col("__fp")).select("doc_id", "component_id")
 
 
