@@ -63,6 +63,21 @@ def test_late_rows_are_counted_and_a_restart_goes_on(spark, rows, evidence):
     assert {(r.user_id, r.ingredient_name): r.late for r in got.where("late > 0").collect()} == {("u0", "f0"): 1, ("new", "f0"): 1}
 
 
+def test_a_state_call_serves_many_keys(spark, rows, at):
+    """Three hundred keys in two groups of state have the batch grades, each its own."""
+    rng = random.Random(3)
+    many = [(f"u{i % 100}", f"f{i % 3}", i, at(f"2024-01-{1 + i // 300:02d}T{i % 24:02d}:00"), rng.random(), rng.random(), rng.random()) for i in range(1200)]
+    root = session.scratch_path(spark, "grades")
+    close = [tuple(r) for r in grades.closing_mark(spark.createDataFrame(many, ROWS), "1 day").collect()]
+    stream = grades.stream_checkin_ewma(fed(spark, [many[:600], many[600:], close]), "1 day", groups=2)
+    each = lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/batch={i}")
+    jobs.run_once(stream, "ewma", "update", each, **grades.ON_DISK)
+    got = grades.newest_grades(spark.read.schema(grades.OUT).parquet(root))
+    cols = ("user_id", "ingredient_name", "grade", "confidence", "evidence_count")
+    assert rows(got, *cols) == rows(ck.checkin_grades(spark.createDataFrame(many, ROWS)), *cols)
+    assert got.count() == 300
+
+
 PAIRS = "user_id string, normalized_name string, severity double, no_symptoms boolean, weight double"
 
 
