@@ -126,13 +126,14 @@ def test_members_of_a_large_band_led_by_another_text_meet(spark, monkeypatch):
 def test_short_members_of_a_large_band_are_compared_in_its_blocks(spark, monkeypatch):
     """Sixty short classes share a band and a passage; three groups of four are alike.  Pairs of unlike ones leave no row."""
     monkeypatch.setattr(resemblance, "BLOCK", 16)
-    sets = {k: [*range(30), *range(1000 * min(k // 4, 3) if k < 12 else 1000 * k, (1000 * min(k // 4, 3) if k < 12 else 1000 * k) + 60), 10**6 + k] for k in range(1, 61)}
+    own = {k: 1000 * (k // 4 + 1 if k < 12 else k) for k in range(1, 61)}
+    sets = {k: [*range(30), *range(at, at + 60), 10**6 + k] for k, at in own.items()}
     classes = spark.createDataFrame([(k, 91, bytearray(2 * resemblance.BINS)) for k in sets], "key long, size int, sketch binary")
     met = resemblance.banded(classes).where("i = 0")
-    placed = spark.createDataFrame([(k, 1 if k > 40 else k) for k in sets], "key long, component long")
+    placed = spark.createDataFrame([(k, 41 if k > 40 else k) for k in sets], "key long, component long")
     hashes = spark.createDataFrame(list(sets.items()), "key long, hashes array<long>")
     found = resemblance.crossing(classes, met, placed, sets=hashes).collect()
-    assert all(r.sure for r in found) and {frozenset({r.a, r.b} & set(range(12))) == {r.a, r.b} for r in found} == {True}
+    assert all(r.sure and max(r.a, r.b) < 12 for r in found)
     group = {k: {k} for k in sets}
     for r in found:
         both = group[r.a] | group[r.b]
