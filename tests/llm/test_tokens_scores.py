@@ -177,6 +177,23 @@ def test_scores_equal_naive_model(spark, docs, monkeypatch):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+def test_scores_come_from_the_whole_trie_whatever_tasks_know(spark):
+    rows = [(i, f"plum {chr(97 + i % 26) * (i % 7)} tart {i * 7919} and {i * i} pears é") for i in range(120)]
+    want = sorted(brute_scores(rows))
+    grams = ppm.gram_counts(spark.createDataFrame([(t,) for _, t in rows], "t string"), "t")
+    assert ppm.trie_nodes(grams).count() > 4000
+    for most in (0, 300, 10 ** 6):
+        got = sorted(map(tuple, ppm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()))
+        for a, b in zip(got, want, strict=True):
+            assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
+def test_grams_are_counted_apart_in_training_texts(spark):
+    df = spark.createDataFrame([("abab", True), ("ab", False), (None, False)], "t string, training boolean")
+    got = {r.gram: (r.n, r.m) for r in ppm.gram_counts(df, "t", 0, "training").collect()}
+    assert got == {97: (2, 3), 98: (2, 3), 0xFF: (1, 3)}
+
+
 def test_score_beats_base_on_held_out(spark):
     got = ppm.score_documents(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").toPandas()
     assert got.score.sum() > got.base_score.sum()
