@@ -63,3 +63,21 @@ def test_empty_sides(spark):
     assert preference.recommend(items.limit(0), users, none, n=3).collect() == []
     assert preference.recommend(items, users.limit(0), none, n=3).collect() == []
     assert preference.recommend(items, users, none, n=9).count() == 10
+
+
+def test_packs_are_scored_in_pieces_and_few_reach_python_at_a_time(spark):
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(5)
+    x, b, u = rng.normal(size=(40, 6)), rng.normal(size=40), rng.normal(size=(1000, 6))
+    pieces = list(maxproduct._scores(SimpleNamespace(flat=x.ravel(), recipe_ids=np.arange(40), user_flat=u.ravel(), user_ids=np.arange(1000), biases=b)))
+    assert max(len(p) for _, p in pieces) <= maxproduct.SCORED and np.allclose(np.vstack([p for _, p in pieces]), u @ x.T + b)
+    assert np.concatenate([np.arange(1000)[part] for part, _ in pieces]).tolist() == list(range(1000))
+    none = spark.createDataFrame([], "user_id string, recipe_id long")
+    maxproduct.recommend(spark.createDataFrame([(1, 0.0, [1.0])], I), spark.createDataFrame([("a", [1.0])], U), none, 1).collect()
+    wide = spark.range(0, 64, 1, 1).withColumn("x", F.array_repeat(F.lit(1.0), 1 << 17))  # 1 MB a row
+    def count(it):
+        import pandas as pd
+        for pdf in it:
+            yield pd.DataFrame({"n": [len(pdf)]})
+    assert max(r.n for r in wide.mapInPandas(count, "n int").collect()) <= 16
