@@ -51,3 +51,14 @@ def test_category_rows_take_one_cosine_per_recipe(spark, rows):
                           for of in (ranked, ranked.select("recipe_id")))
     assert rows(by_recipe) == rows(by_pair)
     assert ("b", "trending", 1, 9, 0.1) in rows(by_recipe) or ("b", "trending", 1, 9, 0.1) in rows(by_pair)
+
+
+def test_no_row_per_user_and_block_is_shuffled(spark):
+    users = spark.range(300).select(F.col("id").cast("string").alias("user_id"))
+    recipes = spark.range(400).select(F.col("id").alias("recipe_id"))
+    barred = spark.createDataFrame([("7", 3), ("7", 399), (None, 5)], "user_id string, recipe_id long")
+    found = ranking.cross_candidates(users, recipes, barred, block=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Generate" not in plan[plan.index("Exchange"):]  # what is shuffled is a row per user
+    assert found.distinct().count() == found.count() == 300 * 400 - 2
+    assert found.where("user_id = '7' and recipe_id in (3, 399)").count() == 0
