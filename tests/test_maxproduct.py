@@ -65,6 +65,17 @@ def test_empty_sides(spark):
     assert preference.recommend(items, users, none, n=9).count() == 10
 
 
+def test_packs_share_copies_of_their_block(spark):
+    users = spark.range(3000).select(F.col("id").cast("string").alias("user_id"), F.array(F.lit(1.0)).alias("vec"), F.lit(1).cast("long").alias("need"),
+                                     F.lit(0.0).alias("least"), F.when(F.col("id") < 2900, "a").otherwise("b").alias("block"))
+    blocks = spark.createDataFrame([("a", [1, 2], [0.0, 0.0], [1.0, 2.0]), ("b", [3], [0.0], [3.0]), ("c", [4], [0.0], [4.0])],
+                                   "block string, recipe_ids array<long>, biases array<double>, flat array<double>")
+    met = maxproduct._met(users, blocks, 100).collect()
+    assert sorted(int(u) for r in met for u in r.user_ids) == list(range(3000)) and len(met) > 25
+    assert all(r.recipe_ids == {"a": [1, 2], "b": [3]}[r.block] and r.block == ("a" if int(u) < 2900 else "b") for r in met for u in r.user_ids)
+    assert len({(r.block, r._share) for r in met}) <= -(-29 // maxproduct.SHARE) + 1
+
+
 def test_packs_are_scored_in_pieces_and_few_reach_python_at_a_time(spark):
     from types import SimpleNamespace
 
