@@ -62,3 +62,23 @@ def test_no_row_per_user_and_block_is_shuffled(spark):
     assert "hashpartitioning" not in plan and "Generate" not in plan[plan.index("Exchange"):]  # what is shuffled is a row per user
     assert found.distinct().count() == found.count() == 300 * 400 - 2
     assert found.where("user_id = '7' and recipe_id in (3, 399)").count() == 0
+
+
+def test_candidates_without_a_recipe_count_as_recipe_0(spark):
+    """As they did when risks were joined by user and recipe."""
+    candidates = spark.createDataFrame([("a", 0, 4.0, 1), ("a", 5, 3.0, 2), ("a", None, 2.0, 3), ("b", 0, 4.0, 1), (None, 5, 4.0, 1)],
+                                       "user_id string, recipe_id long, preference_score double, rn int")
+    recipes = spark.createDataFrame([(0, ["red onion"], [900.0] + [50.0] * 6, 5, 1, 1), (5, ["rice"], [1.0] * 7, 5, 1, 1)],
+                                    "recipe_id long, ingredients array<string>, nutrition array<double>, minutes long, n_steps long, n_ingredients long")
+    bars = spark.createDataFrame([], "user_id string, ingredient_name string, normalized_name string, restriction_type string")
+    personal = spark.createDataFrame([("a", "onion", "onion", 0.9, 0.8, "personal")],
+                                     "user_id string, normalized_name string, ingredient_name string, risk_score double, confidence double, source string")
+    meals = spark.createDataFrame([], "user_id string, logged_at timestamp, trigger_load double")
+    reports = spark.createDataFrame([], "user_id string, reported_at timestamp, severity double, no_symptoms boolean")
+    out = refresh.ranked(candidates, recipes, bars, personal, personal.drop("user_id").limit(0).select(
+        "normalized_name", "ingredient_name", "risk_score", "confidence", "source"), meals, reports, "2024-01-31 00:00:00").collect()
+    keys = sorted((r.user_id, r.recipe_id) for r in out)
+    assert keys == [("a", 0)] * 4 + [("a", 5), ("b", 0)]
+    mine = [r for r in out if (r.user_id, r.recipe_id) == ("a", 0)]
+    assert len({r.ingredient_risk for r in mine}) == 2 and min(r.ingredient_risk for r in mine) == 0.12 and len({r.symptom_risk for r in mine}) == 2
+    assert sorted(r.rn for r in out if r.user_id == "a") == [1, 2, 3, 4, 5]
